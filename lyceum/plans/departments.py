@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lyceum.functions import bands
@@ -18,10 +18,13 @@ LOW_ATTENDANCE = 75
 LOW_GPA_ON_PAGE = 2.5
 
 DEPT_PERIOD = ["department_key", *PERIOD]
-_IN_TIME = Window.partitionBy("department_key").orderBy(*PERIOD)
 _POINT_UNITS = 10_000
 
 
+def _in_time() -> WindowSpec:
+    return Window.partitionBy("department_key").orderBy(*PERIOD)
+
+
 def _rank(value: str, *within: str) -> Column:
     """Rank among departments: the input has one row per department and semester."""
     return F.rank().over(Window.partitionBy(*within).orderBy(F.col(value).desc_nulls_last()))
@@ -77,7 +80,7 @@ def metrics(performance: DataFrame, departments: DataFrame) -> DataFrame:
                 "pass_rate": percent(F.col("courses_passed"), F.col("courses_taken")),
                 "credit_completion_rate": percent(F.col("total_credits_earned"), F.col("total_credits_attempted")),
                 "fail_rate": percent(F.col("fail_count"), F.col("courses_taken")),
-                "prev_avg_gpa": F.lag("avg_gpa").over(_IN_TIME),
+                "prev_avg_gpa": F.lag("avg_gpa").over(_in_time()),
                 "gpa_rank": _rank("avg_gpa", *PERIOD),
             }
         )
@@ -131,7 +134,7 @@ def scorecard(semesters: DataFrame, departments: DataFrame) -> DataFrame:
     return (
         base.withColumns(
             {
-                "prev_avg_gpa": F.lag("avg_gpa").over(_IN_TIME),
+                "prev_avg_gpa": F.lag("avg_gpa").over(_in_time()),
                 "overall_rank": _rank("avg_gpa", *PERIOD),
                 "attendance_rank": _rank("avg_attendance", *PERIOD),
                 "pass_rate_rank": _rank("pass_rate", *PERIOD),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lyceum.functions import bands
@@ -42,29 +42,37 @@ DROPOUT_FLAG = "Potential Dropout – No Recent Enrollment"
 SCHOLARSHIP_LOST = "Scholarship at risk — GPA below 3.0 minimum"
 SCHOLARSHIP_KEPT = "Scholarship maintained"
 
-_TIME = Window.partitionBy("student_key").orderBy(*PERIOD)
-_SO_FAR = _TIME.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_LAST_THREE = _TIME.rowsBetween(-2, Window.currentRow)
+
+def _time() -> WindowSpec:
+    return Window.partitionBy("student_key").orderBy(*PERIOD)
+
+
+def _so_far() -> WindowSpec:
+    return _time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _last_three() -> WindowSpec:
+    return _time().rowsBetween(-2, Window.currentRow)
 
 
 def _three_term_mean(column: str, digits: int) -> Column:
     """Exact mean over this and the two previous semesters."""
-    total = F.sum(scaled(F.col(column), digits)).over(_LAST_THREE)
-    return total / (F.count(column).over(_LAST_THREE) * F.lit(10**digits))
+    total = F.sum(scaled(F.col(column), digits)).over(_last_three())
+    return total / (F.count(column).over(_last_three()) * F.lit(10**digits))
 
 
 def _history(semesters: DataFrame) -> DataFrame:
     """Look-backs of both models: one shuffle on the student, one sort, bounded partitions."""
-    gpa_units = F.sum(scaled(F.col("semester_gpa"), 3)).over(_LAST_THREE)
-    gpa_count = F.count("semester_gpa").over(_LAST_THREE)
+    gpa_units = F.sum(scaled(F.col("semester_gpa"), 3)).over(_last_three())
+    gpa_count = F.count("semester_gpa").over(_last_three())
     return semesters.withColumns(
         {
-            "prev_gpa": F.lag("semester_gpa", 1).over(_TIME),
+            "prev_gpa": F.lag("semester_gpa", 1).over(_time()),
             "gpa_mean3": _three_term_mean("semester_gpa", 3),
             "gpa_mean3_shown": half_up(gpa_units, gpa_count * F.lit(1000), 2),
-            "low_gpa_semester_count": F.count_if(F.col("semester_gpa") < PROBATION_GPA).over(_SO_FAR),
-            "low_attendance_semester_count": F.count_if(F.col("avg_attendance_pct") < LOW_ATTENDANCE).over(_SO_FAR),
-            "semester_sequence": F.row_number().over(_TIME),
+            "low_gpa_semester_count": F.count_if(F.col("semester_gpa") < PROBATION_GPA).over(_so_far()),
+            "low_attendance_semester_count": F.count_if(F.col("avg_attendance_pct") < LOW_ATTENDANCE).over(_so_far()),
+            "semester_sequence": F.row_number().over(_time()),
         }
     )
 
@@ -161,7 +169,7 @@ def scoring(semesters: DataFrame, students: DataFrame, departments: DataFrame, f
 
 def probation(semesters: DataFrame, students: DataFrame, departments: DataFrame) -> DataFrame:
     """Semesters under 2.0 with the number of earlier ones and the resulting status."""
-    earlier = _TIME.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _time().rowsBetween(Window.unboundedPreceding, -1)
     low = semesters.filter(F.col("semester_gpa") < PROBATION_GPA).withColumn(
         "prior_low_gpa_semesters", F.count(F.lit(1)).over(earlier)
     )

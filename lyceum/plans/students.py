@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lyceum.functions import bands, text
@@ -21,7 +21,7 @@ DEANS_LIST_CREDITS = 12
 
 
 
-def _in_time(student: str = "student_key") -> Window:
+def _in_time(student: str = "student_key") -> WindowSpec:
     return Window.partitionBy(student).orderBy(*PERIOD)
 
 
