@@ -7,7 +7,6 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lyceum.functions.bands import at_least
 from lyceum.functions.numeric import half_up, scaled
 
 # Grade ladder and constants of the grading rules.
@@ -18,6 +17,7 @@ GRADE_POINTS = {
     "D+": 1.3, "D": 1.0, "D-": 0.7,
     "F": 0.0,
 }
+MAX_POINTS = 4.0
 UNGRADED = ("W", "I", "AU")
 VALID_GRADES = (*GRADE_POINTS, *UNGRADED)
 PASSING_GRADES = tuple(g for g in GRADE_POINTS if g != "F")
@@ -40,9 +40,17 @@ def points_for(letter: Column) -> Column:
 
 
 def letter_for(points: Column) -> Column:
-    """Nearest letter at or below ``points`` on the ladder (``A+`` shares its points with ``A``)."""
-    ladder = [(value, letter) for letter, value in GRADE_POINTS.items() if letter not in ("A+", "F")]
-    return at_least(points, ladder, "F")
+    """Nearest letter at or below ``points`` on the ladder (``A+`` shares its points with ``A``).
+
+    The ladder moves in tenths, so the letter is an array lookup by tenths: a CASE with one branch
+    per letter would be copied into every filter on the letter and outgrow the size up to which
+    the JVM compiles generated code.
+    """
+    ladder = sorted((value, letter) for letter, value in GRADE_POINTS.items() if letter != "A+")
+    tenths = range(int(MAX_POINTS * 10) + 1)
+    letters = [[letter for value, letter in ladder if round(value * 10) <= t][-1] for t in tenths]
+    place = F.floor(F.rint(points * 100) / 10).cast("int")
+    return F.element_at(F.array(*(F.lit(x) for x in letters)), place + 1)
 
 
 def grade_position(letter: Column) -> Column:

@@ -391,7 +391,7 @@ def rejection_rate(spark, sf):
 
 @query
 def enriched_grades(spark, sf):
-    return campus.graded_lines(spark, sf).select(
+    return cleaning.enrich_grades(campus.enrollment_lines(spark, sf)).select(
         "l_orderkey", "l_linenumber", "grade_letter", "grade_points", "credit_hours", "quality_points", "is_passing",
         "is_withdrawn", "is_incomplete", "overall_score",
     )

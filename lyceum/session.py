@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 # AQE does three jobs here: it merges small shuffle partitions, splits skewed join
 # partitions and turns a join into a broadcast once a side has proved small.
 SETTINGS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # saves a call-site lookup per expression
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",

@@ -58,7 +58,7 @@ def compare(spark_table: pa.Table, duck_table: pa.Table) -> str:
 
 def check(spark, con, sf_dir: str, name: str) -> str:
     result = entry.queries()[name](spark, sf_dir).toArrow()
-    twin = con.execute(entry.oracle_sql()[name]).fetch_arrow_table()
+    twin = con.sql(entry.oracle_sql()[name]).to_arrow_table()
     return compare(result, twin)
 
 
