@@ -22,9 +22,9 @@ def half_up(numerator: Column, denominator: Column, digits: int) -> Column:
 
     Written for numerators >= 0, which holds for every rate and mean in the library.
     """
-    below = F.nullif(denominator.cast("bigint"), F.lit(0).cast("bigint"))
-    twice = numerator.cast("bigint") * F.lit(2 * 10**digits).cast("bigint") + below
-    units = F.call_function("div", twice, below * F.lit(2).cast("bigint"))
+    whole = denominator.cast("bigint")
+    twice = numerator.cast("bigint") * F.lit(2 * 10**digits).cast("bigint") + whole
+    units = F.call_function("div", twice, F.nullif(whole * F.lit(2).cast("bigint"), F.lit(0).cast("bigint")))
     return units / F.lit(float(10**digits))
 
 
@@ -45,7 +45,7 @@ def reround(value: Column, digits_in: int, digits_out: int) -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     """Limit to ``[low, high]`` and keep NULL (``least``/``greatest`` alone would turn it into ``low``)."""
-    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def count_where(condition: Column) -> Column:

@@ -31,16 +31,20 @@ def value_ranks(
     order = F.col(value).desc_nulls_last() if best == "high" else F.col(value).asc_nulls_last()
 
     def column(rank: Rank) -> Column:
-        group = Window.partitionBy(*rank.within)
-        by_value = group.orderBy(order)
+        by_value = Window.partitionBy(*rank.within).orderBy(order)
         if rank.kind == "dense_rank":
             return F.dense_rank().over(by_value)
         reached = F.sum("_n").over(by_value)
-        everyone = F.sum("_n").over(group)
         if rank.kind == "percent_rank":
+            # Same partitioning and order as the other ranks, so Spark sorts once for all of them.
+            whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            everyone = F.sum("_n").over(whole)
             below = (everyone - reached).cast("double")
             return F.when(everyone > 1, below / (everyone - 1)).otherwise(F.lit(0.0))
-        peers = F.sum("_n").over(Window.partitionBy(*rank.within, value))
+        if list(rank.within) == groups:
+            peers = F.col("_n")
+        else:
+            peers = F.sum("_n").over(Window.partitionBy(*rank.within, value))
         return (reached - peers + 1).cast("int")
 
     return counts.select(*groups, value, *(column(r).alias(name) for name, r in ranks.items()))

@@ -58,7 +58,7 @@ def cumulative_gpa(spark, sf):
 @query
 def gpa_pipeline_from_raw(spark, sf):
     lines = campus.enrollment_lines(spark, sf)
-    term = campus.terms(spark, sf).withColumn("student_id", F.col("student_key").cast("string"))
+    term = campus.labelled_terms(spark, sf).withColumn("student_id", F.col("student_key").cast("string"))
     return loads.from_raw_enrollments(lines.join(term, lines.l_orderkey == term.o_orderkey))
 
 

@@ -150,15 +150,20 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey"),
         F.col("o_custkey").alias("student_key"),
         F.col("c_nationkey").cast("bigint").alias("department_key"),
-        calendar.academic_year(day).alias("academic_year"),
-        calendar.semester(day).alias("semester"),
+        calendar.term_key(day).alias("term_key"),
         calendar.date_key(day).alias("enrollment_date_key"),
     )
 
 
+def labelled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``terms`` with the labels of the semester instead of its key."""
+    rows = terms(spark, sf_dir)
+    return rows.withColumns(calendar.term_labels(F.col("term_key"))).drop("term_key")
+
+
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FACT_ACADEMIC_PERFORMANCE: one row per enrollment."""
-    lines, term = graded_lines(spark, sf_dir), terms(spark, sf_dir)
+    lines, term = graded_lines(spark, sf_dir), labelled_terms(spark, sf_dir)
     return lines.join(term, lines.l_orderkey == term.o_orderkey).drop("l_orderkey", "o_orderkey")
 
 
@@ -167,12 +172,13 @@ def semester_gpa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Additive sums are taken per order before the join: the join then moves one row per order
     instead of one per line, and an order that holds a large share of the lines is folded on
-    the map side.
+    the map side.  Terms are grouped by their integer key and labelled afterwards.
     """
     per_order = gpa.credit_sums(graded_lines(spark, sf_dir), ["l_orderkey"])
     term = terms(spark, sf_dir).drop("enrollment_date_key")
     joined = per_order.join(term, per_order.l_orderkey == term.o_orderkey)
-    return gpa.finish(gpa.combine(joined, gpa.SEMESTER_KEYS), gpa.SEMESTER_KEYS)
+    sums = gpa.combine(joined, ["student_key", "department_key", "term_key"])
+    return gpa.finish(sums.withColumns(calendar.term_labels(F.col("term_key"))), gpa.SEMESTER_KEYS)
 
 
 def semester_gpa_full(spark: SparkSession, sf_dir: str) -> DataFrame:
