@@ -100,7 +100,8 @@ def visible_students(
         return students.join(own, "student_id", "left_semi")
     if who.role == "INSTRUCTOR":
         me = instructors.filter(F.col("instructor_id") == who.user).select("instructor_key")
-        taught = performance.join(me, "instructor_key", "left_semi").select("student_key")
+        # Distinct first: repeats fold on the map side, and the join needs no further shuffle.
+        taught = performance.join(me, "instructor_key", "left_semi").select("student_key").distinct()
         return students.join(taught, "student_key", "left_semi")
     return students.filter(F.lit(False))
 

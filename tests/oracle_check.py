@@ -9,7 +9,6 @@ import time
 import duckdb
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -56,10 +55,12 @@ def compare(spark_table: pa.Table, duck_table: pa.Table) -> str:
     return f"{bad.sum()} rows differ, e.g.\n  {left[bad].iloc[0]}\n  {right[bad].iloc[0]}\n  {columns}" if bad.any() else ""
 
 
+def twin(con: duckdb.DuckDBPyConnection, name: str) -> pa.Table:
+    return con.sql(entry.oracle_sql()[name]).to_arrow_table()
+
+
 def check(spark, con, sf_dir: str, name: str) -> str:
-    result = entry.queries()[name](spark, sf_dir).toArrow()
-    twin = con.sql(entry.oracle_sql()[name]).to_arrow_table()
-    return compare(result, twin)
+    return compare(entry.queries()[name](spark, sf_dir).toArrow(), twin(con, name))
 
 
 def main() -> None:
