@@ -120,7 +120,7 @@ def from_raw_enrollments(enrollments: DataFrame) -> DataFrame:
     return gpa.cumulative_gpa(semesters, student="student_id")
 
 
-def _existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A table of the warehouse folder, empty before its first load."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -165,7 +165,7 @@ def run(
 
     def numbered(name: str, schema: StructType, incoming: DataFrame, natural: str, key: str) -> DataFrame:
         path = f"{warehouse}/{name}"
-        old = _existing(spark, path, schema)
+        old = existing(spark, path, schema)
         fresh = incoming.join(old.select(natural), natural, "left_anti")
         shaped = fresh.select(
             *(
@@ -189,9 +189,9 @@ def run(
 
     performance_path, attendance_path = f"{warehouse}/fact_performance", f"{warehouse}/fact_attendance"
     incoming = performance_rows(raw["enrollments"], students, courses, instructors)
-    merged = merge_performance(_existing(spark, performance_path, schemas.FACT_PERFORMANCE), incoming)
+    merged = merge_performance(existing(spark, performance_path, schemas.FACT_PERFORMANCE), incoming)
     present = attendance_rows(raw["attendance"], students, courses, default_instructor(instructors))
-    attendance = merge_attendance(_existing(spark, attendance_path, schemas.FACT_ATTENDANCE), present)
+    attendance = merge_attendance(existing(spark, attendance_path, schemas.FACT_ATTENDANCE), present)
     counts["fact_attendance"] = sinks.replace_table(attendance, attendance_path)
 
     stored = spark.read.schema(schemas.FACT_ATTENDANCE).parquet(attendance_path)
@@ -220,7 +220,7 @@ def _load_students(
 ) -> DataFrame:
     """Type-2 merge of the student dimension; new versions get keys after the highest one."""
     schema = schemas.DIM_STUDENT
-    old = _existing(spark, path, schema)
+    old = existing(spark, path, schema)
     attributes = [f.name for f in schema.fields if f.name not in ("student_key", *merge.VALIDITY)]
     source = clean.select(*attributes).withColumn("student_key", F.lit(None).cast("bigint"))
     state = stage(merge.scd2(old, source, "student_id", as_of), "dim-student")

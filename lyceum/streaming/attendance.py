@@ -18,8 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lyceum.functions.numeric import count_where, percent
 from lyceum.operators.ranking import latest_per_key
-from lyceum.schemas import ATTENDANCE_EVENT
+from lyceum.plans import loads
+from lyceum.schemas import ATTENDANCE_EVENT, FACT_ATTENDANCE
 from lyceum.sources.readers import parse_payload
+from lyceum.sources.staging import stage
 
 # Timing of the job and the alert limit.
 WINDOW = "5 minutes"
@@ -152,14 +154,24 @@ def start_console(events: DataFrame, checkpoint: str) -> StreamingQuery:
     )
 
 
-def upsert_attendance_batch(merge_batch):
-    """``foreachBatch`` function for a micro-batch load of the attendance fact.
+def fact_sink(path: str):
+    """``foreachBatch`` function that upserts attendance fact rows into a table partitioned by day.
 
-    ``merge_batch`` merges one batch into the fact; empty batches are skipped.
+    Only the days of the batch are read, merged and overwritten, so the cost follows the batch and
+    not the table.  Repeating a batch changes nothing, since equal statuses do not update.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            merge_batch(batch, batch_id)
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        order = [F.col(c).asc() for c in ("status", "minutes_late", "source_system")]
+        incoming = stage(latest_per_key(batch, loads.ATTENDANCE_KEYS, order), "attendance-batch")
+        days = incoming.select("date_key").distinct()
+        current = loads.existing(spark, path, FACT_ATTENDANCE).join(days, "date_key", "left_semi")
+        merged = stage(
+            loads.merge_attendance(current.select(*FACT_ATTENDANCE.names), incoming), f"attendance-merged-{batch_id}"
+        )
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(path)
 
     return write

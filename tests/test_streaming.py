@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lyceum.plans import attendance
+from lyceum.schemas import FACT_ATTENDANCE
 from lyceum.streaming import attendance as stream
 
 EVENTS = [
@@ -115,3 +116,25 @@ def test_bad_times_are_dropped_by_the_decoder(spark):
     record = {**dict(zip(NAMES, EVENTS[0])), "timestamp": "soon"}
     rows = spark.createDataFrame([(json.dumps(record).encode(),), (json.dumps(dict(zip(NAMES, EVENTS[1]))).encode(),)], "value binary")
     assert stream.decode(rows).count() == 1
+
+
+def test_micro_batches_upsert_the_attendance_fact(spark, tmp_path):
+    names = FACT_ATTENDANCE.names
+    path = str(tmp_path / "fact")
+
+    def rows(*changes):
+        base = dict(
+            student_key=1, course_key=1, instructor_key=1, department_key=1, date_key=20240902, status="ABSENT",
+            is_present=False, is_excused=False, minutes_late=0, source_system="LMS",
+        )
+        return spark.createDataFrame([[{**base, **c}[n] for n in names] for c in changes], FACT_ATTENDANCE)
+
+    sink = stream.fact_sink(path)
+    sink(rows({}, {"date_key": 20240903}), 0)
+    sink(rows({"status": "EXCUSED", "is_excused": True}, {"student_key": 2}), 1)
+    sink(rows({"status": "EXCUSED", "is_excused": True}, {"student_key": 2}), 1)
+    sink(rows({}).limit(0), 2)
+    stored = spark.read.schema(FACT_ATTENDANCE).parquet(path)
+    assert sorted((r["student_key"], r["date_key"], r["status"], r["is_excused"]) for r in stored.collect()) == [
+        (1, 20240902, "EXCUSED", True), (1, 20240903, "ABSENT", False), (2, 20240902, "ABSENT", False),
+    ]
