@@ -65,6 +65,20 @@ def write_clustered(
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, name: str, *, by: str, buckets: int, path: str | None = None, partition_by: Sequence[str] = ()
+) -> None:
+    """Catalog table bucketed and sorted by a join key.
+
+    Facts and the student dimension bucketed alike by ``student_key`` join, aggregate and window per
+    student without a shuffle.
+    """
+    writer = df.repartition(buckets, by).write.mode("overwrite").format("parquet")
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    writer = writer.option("path", path) if path else writer
+    writer.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+
+
 def append_rows(df: DataFrame, path: str) -> int:
     return write_table(df, path, mode="append")
 

@@ -113,3 +113,19 @@ def test_stage_reads_back_the_same_rows(spark):
 def test_published_view(spark):
     sinks.publish_view(spark.range(3), "three")
     assert readers.read_table(spark, "three").count() == 3
+
+
+def test_tables_bucketed_alike_join_without_a_shuffle(spark, tmp_path):
+    for name in ("facts_b", "students_b"):
+        df = spark.range(200).select((F.col("id") % 50).alias("student_key"), F.col("id").alias(f"v_{name}"))
+        sinks.write_bucketed(df, name, by="student_key", buckets=4, path=str(tmp_path / name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("facts_b").join(spark.table("students_b"), "student_key")
+        per_student = joined.groupBy("student_key").count()
+        assert per_student.count() == 50
+        assert "Exchange hashpartitioning" not in per_student._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE facts_b")
+        spark.sql("DROP TABLE students_b")
