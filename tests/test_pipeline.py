@@ -5,9 +5,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lyceum import schemas
+from lyceum import jobs, schemas
 from lyceum.operators.quality import QualityGateError
-from lyceum.plans import loads
+from lyceum.plans import loads, views
+from lyceum.sources import date_dim
 
 AS_OF = date(2024, 10, 1)
 SMALL = {"students": 3, "enrollments": 3, "attendance": 3}
@@ -119,3 +120,24 @@ def test_raw_enrollments_to_running_gpa(spark):
     out = loads.from_raw_enrollments(delivery(spark)["enrollments"].withColumn("credit_hours", F.lit(3)))
     row = {r["student_id"]: r for r in out.collect()}["STU000001"]
     assert (row["semester_gpa"], row["midterm_avg"], row["final_avg"], row["cumulative_gpa"]) == (3.0, 70.0, 70.0, 3.0)
+
+
+def test_jobs_and_views_run_on_a_loaded_warehouse(spark, tmp_path):
+    folder = str(tmp_path / "warehouse")
+    loads.run(spark, delivery(spark), folder, AS_OF, minimums=SMALL)
+    assert jobs.semester_job(spark, folder) == 1
+    assert jobs.department_job(spark, folder) == {"department_metrics": 1, "course_difficulty": 2}
+    ranked = read(spark, folder, "fact_semester_gpa_ranked").first()
+    assert (ranked["dept_gpa_rank"], ranked["class_gpa_rank"]) == (1, 1)
+    metrics = read(spark, folder, "department_metrics").first()
+    assert (metrics["department_name"], metrics["courses_taken"], metrics["enrolled_students"]) == ("Computing", 2, 1)
+    names = views.publish(
+        read(spark, folder, "fact_semester_gpa"), read(spark, folder, "fact_attendance"), read(spark, folder, "dim_student"),
+        read(spark, folder, "dim_department"), date_dim.date_dim(spark),
+    )
+    counts = {n: spark.table(n).count() for n in names}
+    assert counts == {
+        "v_attendance_summary": 2, "v_at_risk_students": 0, "v_probation_candidates": 0, "v_scholarship_at_risk": 1,
+    }
+    computing = spark.sql("SELECT * FROM v_attendance_summary WHERE department_name = 'Computing'").first()
+    assert (computing["total_records"], computing["attendance_rate_pct"], computing["month_name"]) == (2, 50.0, "September")
