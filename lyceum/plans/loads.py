@@ -102,6 +102,45 @@ def merge_attendance(target: DataFrame, source: DataFrame, *, update: bool = Tru
     return merge.upsert(target, source, ATTENDANCE_KEYS, update=ATTENDANCE_UPDATES, changed=("status",))
 
 
+def upsert_attendance_table(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """Upsert rows (one per key) into the attendance table, which is partitioned by day.
+
+    The day is part of the key, so only the days of the delivery are read, merged and overwritten.
+    """
+    new = stage(incoming, "attendance-incoming")
+    days = new.select("date_key").distinct()
+    current = existing(spark, path, schemas.FACT_ATTENDANCE).join(days, "date_key", "left_semi")
+    merged = merge_attendance(current.select(*schemas.FACT_ATTENDANCE.names), new)
+    sinks.overwrite_partitions(merged, path, ["date_key"])
+
+
+def dated(attendance: DataFrame) -> DataFrame:
+    """Attendance facts with the labels of their semester."""
+    day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    return attendance.withColumns(calendar.term_labels(calendar.term_key(day)))
+
+
+def upsert_performance_table(
+    spark: SparkSession, path: str, incoming: DataFrame, attendance: DataFrame, days: DataFrame
+) -> None:
+    """Upsert enrollments and bring their attendance up to date, in the semesters concerned only.
+
+    Those are the semesters of the incoming rows, the semesters in which their ids are already
+    stored (found by a scan of three columns) and the semesters of the attendance ``days`` that
+    were loaded.  The table is partitioned by semester; other partitions are not touched.
+    """
+    new = stage(incoming, "performance-incoming")
+    stored = existing(spark, path, schemas.FACT_PERFORMANCE)
+    ids = new.select("enrollment_id")
+    known = stored.select("enrollment_id", *FACT_PARTITIONS).join(ids, "enrollment_id", "left_semi")
+    parts = [df.select(*FACT_PARTITIONS).distinct() for df in (known, new, dated(days))]
+    touched = stage(parts[0].union(parts[1]).union(parts[2]).distinct(), "semesters-touched")
+    current = stored.join(touched, FACT_PARTITIONS, "left_semi").select(*schemas.FACT_PERFORMANCE.names)
+    recorded = dated(attendance).join(touched, FACT_PARTITIONS, "left_semi")
+    merged = backfill_attendance(merge_performance(current, new), recorded)
+    sinks.overwrite_partitions(merged, path, FACT_PARTITIONS)
+
+
 def backfill_attendance(performance: DataFrame, attendance: DataFrame) -> DataFrame:
     """Replace the attendance percentage of enrollments by what the attendance records say."""
     actual = att.student_course_pct(attendance)
@@ -124,7 +163,9 @@ def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A table of the warehouse folder, empty before its first load."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -188,18 +229,17 @@ def run(
     students = _load_students(spark, clean.join(dept, "department_id"), f"{warehouse}/dim_student", as_of, counts)
 
     performance_path, attendance_path = f"{warehouse}/fact_performance", f"{warehouse}/fact_attendance"
-    incoming = performance_rows(raw["enrollments"], students, courses, instructors)
-    merged = merge_performance(existing(spark, performance_path, schemas.FACT_PERFORMANCE), incoming)
-    present = attendance_rows(raw["attendance"], students, courses, default_instructor(instructors))
-    attendance = merge_attendance(existing(spark, attendance_path, schemas.FACT_ATTENDANCE), present)
-    counts["fact_attendance"] = sinks.replace_table(attendance, attendance_path)
-
-    stored = spark.read.schema(schemas.FACT_ATTENDANCE).parquet(attendance_path)
-    day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
-    dated = stored.withColumns({"academic_year": calendar.academic_year(day), "semester": calendar.semester(day)})
-    counts["fact_performance"] = sinks.replace_table(backfill_attendance(merged, dated), performance_path)
+    present = stage(
+        attendance_rows(raw["attendance"], students, courses, default_instructor(instructors)), "attendance-rows"
+    )
+    upsert_attendance_table(spark, attendance_path, present)
+    attendance = existing(spark, attendance_path, schemas.FACT_ATTENDANCE)
+    counts["fact_attendance"] = attendance.count()
 
-    facts = spark.read.schema(schemas.FACT_PERFORMANCE).parquet(performance_path)
+    incoming = performance_rows(raw["enrollments"], students, courses, instructors)
+    upsert_performance_table(spark, performance_path, incoming, attendance, present.select("date_key").distinct())
+    facts = existing(spark, performance_path, schemas.FACT_PERFORMANCE)
+    counts["fact_performance"] = facts.count()
     counts["fact_semester_gpa"] = sinks.write_table(
         refresh_semester_gpa(facts), f"{warehouse}/fact_semester_gpa", partition_by=FACT_PARTITIONS
     )

@@ -52,6 +52,17 @@ def replace_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = ())
     return seen.get["rows"]
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions that ``df`` has rows for; the result is written aside first."""
+    kept = stage(df, "partitions")
+    (
+        kept.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
 def write_clustered(
     df: DataFrame, path: str, *, partition_by: Sequence[str], cluster_by: Sequence[str], files: int | None = None
 ) -> None:

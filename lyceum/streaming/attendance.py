@@ -21,7 +21,6 @@ from lyceum.operators.ranking import latest_per_key
 from lyceum.plans import loads
 from lyceum.schemas import ATTENDANCE_EVENT, FACT_ATTENDANCE
 from lyceum.sources.readers import parse_payload
-from lyceum.sources.staging import stage
 
 # Timing of the job and the alert limit.
 WINDOW = "5 minutes"
@@ -164,14 +163,8 @@ def fact_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
         order = [F.col(c).asc() for c in ("status", "minutes_late", "source_system")]
-        incoming = stage(latest_per_key(batch, loads.ATTENDANCE_KEYS, order), "attendance-batch")
-        days = incoming.select("date_key").distinct()
-        current = loads.existing(spark, path, FACT_ATTENDANCE).join(days, "date_key", "left_semi")
-        merged = stage(
-            loads.merge_attendance(current.select(*FACT_ATTENDANCE.names), incoming), f"attendance-merged-{batch_id}"
-        )
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(path)
+        single = latest_per_key(batch, loads.ATTENDANCE_KEYS, order)
+        loads.upsert_attendance_table(batch.sparkSession, path, single)
 
     return write

@@ -141,3 +141,45 @@ def test_jobs_and_views_run_on_a_loaded_warehouse(spark, tmp_path):
     }
     computing = spark.sql("SELECT * FROM v_attendance_summary WHERE department_name = 'Computing'").first()
     assert (computing["total_records"], computing["attendance_rate_pct"], computing["month_name"]) == (2, 50.0, "September")
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    names = schemas.FACT_ATTENDANCE.names
+    base = dict(zip(names, (1, 1, 1, 1, 20240902, "ABSENT", False, False, 0, "LMS")))
+
+    def rows(*changes):
+        return spark.createDataFrame([[{**base, **c}[n] for n in names] for c in changes], schemas.FACT_ATTENDANCE)
+
+    def files(day):
+        return set(spark.read.parquet(path).filter(f"date_key = {day}").inputFiles())
+
+    loads.upsert_attendance_table(spark, path, rows({}, {"date_key": 20240903}))
+    first, second = files(20240902), files(20240903)
+    loads.upsert_attendance_table(spark, path, rows({"date_key": 20240903, "status": "EXCUSED", "is_excused": True}))
+    assert files(20240902) == first and files(20240903) != second
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_an_enrollment_stays_in_the_semester_it_was_stored_in(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    row = dict(
+        enrollment_id="E1", student_key=1, course_key=1, academic_year="2024-2025", semester="Fall 2024",
+        grade_letter="A", attendance_pct=80.0, row_hash="x",
+    )
+
+    def facts(**changes):
+        values = {**row, **changes}
+        return spark.createDataFrame([[values.get(n) for n in schemas.FACT_PERFORMANCE.names]], schemas.FACT_PERFORMANCE)
+
+    none = spark.createDataFrame([], schemas.FACT_ATTENDANCE)
+    for change in ({}, {"semester": "Spring 2025", "grade_letter": "B", "row_hash": "y"}):
+        loads.upsert_performance_table(spark, path, facts(**change), none, none.select("date_key"))
+    stored = loads.existing(spark, path, schemas.FACT_PERFORMANCE).collect()
+    assert [(r["enrollment_id"], r["semester"], r["grade_letter"]) for r in stored] == [("E1", "Fall 2024", "B")]
+
+
+def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
+    assert loads.existing(spark, str(tmp_path / "none"), schemas.FACT_ATTENDANCE).isEmpty()
+    with pytest.raises(Exception):
+        loads.existing(spark, "nosuchscheme://x/y", schemas.FACT_ATTENDANCE).count()
