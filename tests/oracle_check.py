@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 
 import __spark_entry__ as entry  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
