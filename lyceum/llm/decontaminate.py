@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyceum.llm.tables import sized
-from lyceum.llm.words import grams, slices, words
+from lyceum.llm.words import grams, text_slices, words
 from lyceum.sources.staging import stage
 
 WORDS = 5
@@ -47,12 +47,11 @@ def item_grams(items: DataFrame, n: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("item_id").to_numpy(False), batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                w = words(texts[lo:hi])
-                d, h = _shingles(texts[lo:hi], n)
+            for part, texts in text_slices(batch):
+                ids, w = part.column("item_id").to_numpy(False), words(texts)
+                d, h = _shingles(texts, n)
                 size = np.minimum(np.diff(w.first), n)[d].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][d]), pa.array(h.view(np.int64)), pa.array(size)], ["item_id", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(h.view(np.int64)), pa.array(size)], ["item_id", "h", "n"])
 
     chosen = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     return stage(chosen.mapInArrow(run, "item_id long, h long, n int").distinct(), "item-grams")
@@ -75,9 +74,8 @@ class Items:
         self.q = np.bincount(item, minlength=len(self.ids))
         k, self.least = signature_size(self.q, containment)
         self.need = np.ceil(containment * self.q - 1e-9).astype(np.int64)
-        h = h.view(np.uint64)
         order = np.lexsort((h, item))
-        item, h = item[order], h[order]
+        item, h = item[order], h[order].view(np.uint64)
         place = np.arange(len(h)) - np.searchsorted(item, item)
         chosen = place < k[item]
         self.signature = self._sorted(h[chosen], item[chosen])
@@ -140,11 +138,11 @@ def find(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Items(*sent.value, containment)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(False), batch.column("text").to_pylist()
-            for lo, hi in slices(texts) if len(table.ids) else ():
-                doc, item, found = table.contained(texts[lo:hi])
+            for part, texts in text_slices(batch) if len(table.ids) else ():
+                ids = part.column("doc_id").to_numpy(False)
+                doc, item, found = table.contained(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][doc]), pa.array(table.ids[item]), pa.array(table.q[item]), pa.array(found)],
+                    [pa.array(ids[doc]), pa.array(table.ids[item]), pa.array(table.q[item]), pa.array(found)],
                     ["doc_id", "item_id", "n_grams", "n_found"],
                 )
 
@@ -159,21 +157,19 @@ def _find_shuffled(docs: DataFrame, known: DataFrame, containment: float, n: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(False), batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                w = words(texts[lo:hi])
+            for part, texts in text_slices(batch):
+                ids, w = part.column("doc_id").to_numpy(False), words(texts)
                 for size in sizes:
                     g = grams(w, size, whole_short=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][g.doc]), pa.array(g.hash.view(np.int64))], ["doc_id", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[g.doc]), pa.array(g.hash.view(np.int64))], ["doc_id", "h"])
 
     # An item's k smallest hashes: the number per item is bounded by its own length.
     item = known.groupBy("item_id").agg(F.count("*").alias("q"))
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.col("q") + 1))) - 1
     lack = lambda m: m - F.ceil(F.lit(containment) * m - 1e-9)
     item = item.withColumn("k", F.least("q", lack(largest).cast("long") + SPARE)).withColumn("lack", lack(F.col("q")))
-    by = known.groupBy("item_id").agg(F.sort_array(F.collect_list(F.col("h").cast("decimal(20,0)") + F.when(F.col("h") < 0, F.lit(2**64)).otherwise(0))).alias("hs"))
-    chosen = by.join(item, "item_id").select("item_id", "k", "lack", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("u"))
-    signature = chosen.select("item_id", "k", "lack", F.when(F.col("u") >= 2**63, F.col("u") - 2**64).otherwise(F.col("u")).cast("long").alias("h"))
+    by = known.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    signature = by.join(item, "item_id").select("item_id", "k", "lack", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
     doc_grams = docs.mapInArrow(run, "doc_id long, h long")
     hits = doc_grams.join(signature, "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("s"), F.first("k").alias("k"), F.first("lack").alias("lack"))
     candidates = stage(hits.filter("s >= greatest(k - lack, 1)").select("doc_id", "item_id"), "candidate-items")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyceum.llm.tables import components, release, sized
-from lyceum.llm.words import grams, slices, words
+from lyceum.llm.words import grams, slices, text_slices, words
 from lyceum.sources.staging import stage
 
 WORDS = 5
@@ -83,9 +83,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                part = texts[lo:hi]
+            for rows_, part in text_slices(batch):
                 g = grams(words(part), n)
                 has = np.zeros(len(part), bool)
                 has[g.doc] = True
@@ -94,7 +92,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo),
+                        rows_.column("doc_id"),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[has].ravel())),
                     ],
@@ -219,11 +217,12 @@ def _digest_filter(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [
-                hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() == k
-                for t, k in zip(batch.column("text").to_pylist(), batch.column("rep_key").to_pylist())
-            ]
-            yield batch.filter(pa.array(same, pa.bool_())).drop_columns(["rep_key"])
+            for part, texts in text_slices(batch):
+                same = [
+                    hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() == k
+                    for t, k in zip(texts, part.column("rep_key").to_pylist())
+                ]
+                yield part.filter(pa.array(same, pa.bool_())).drop_columns(["rep_key"])
 
     kept = df.mapInArrow(run, "doc_id long, text string, grp long")
     return stage(kept, "candidate-texts").dropDuplicates(["doc_id"])

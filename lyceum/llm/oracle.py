@@ -31,7 +31,7 @@ def contained_items(containment: float = decontaminate.CONTAINMENT, n: int = dec
         SELECT DISTINCT {key}, list_slice(w, i, i + s - 1) AS g FROM (
           SELECT {key}, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM (
             SELECT {key}, w, {sizes} AS s FROM (
-              SELECT {key}, list_filter(string_split_regex(lower(text), '{_BLANK}'), x -> x <> '') AS w FROM {table}))
+              SELECT {key}, [x FOR x IN string_split_regex(lower(text), '{_BLANK}') IF x <> ''] AS w FROM {table}))
           WHERE s > 0)"""
 
     return f"""
@@ -47,3 +47,60 @@ ORACLE = {
     "op7_line_dedup": line_dedup(),
     "op4_decontamination": contained_items(),
 }
+
+
+def host_verdicts() -> str:
+    from lyceum.llm import reputation as r
+
+    suffixes = ", ".join(f"'{s}'" for s in r.SUFFIXES)
+    name = r"regexp_extract(host, '^(?:[^@]*@)?([^:]*)', 1)"
+    rules, verdicts = [], []
+    for action, text in sorted(r.RULES, key=lambda x: -len(x[1])):
+        host, _, rest = text.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}')"
+        rules.append(f"WHEN {fits} THEN '{text}'")
+        verdicts.append(f"WHEN {fits} THEN '{action}'")
+
+    def strength(table: str) -> str:
+        return f"""(SELECT 1 / greatest(0.001::DOUBLE, least(0.5::DOUBLE, coalesce(
+            sum(CASE WHEN n > 0 THEN n * pow(g / n - m, 2) - m * (1 - m) END)
+            / nullif(sum(CASE WHEN n > 1 THEN (n - 1) * m * (1 - m) END), 0), 0))) - 1 FROM {table})"""
+
+    def level(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT *, k * m + g AS a, k * (1 - m) + n - g AS b FROM (SELECT *, {strength(source)} AS k FROM {source}))"""
+
+    return f"""
+    WITH rest AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages
+    ), split AS (
+      SELECT page_id, translate(coalesce(regexp_extract(r, '^[^/?#]*', 0), ''), '{r.UPPER}', '{r.UPPER.lower()}') AS host,
+             coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest
+    ), votes AS (
+      SELECT doc_id AS page_id, (avg(quality) >= 0.5)::BIGINT AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+    ), host AS (
+      SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS g,
+             string_split({name}, '.') AS parts
+      FROM split LEFT JOIN votes USING (page_id) GROUP BY host
+    ), named AS (
+      SELECT host, n, g, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-3:], '.') AS three, parts[-1] AS one FROM host
+    ), keyed AS (
+      SELECT host, n, g, CASE WHEN two IN ({suffixes}) THEN two ELSE one END AS suffix,
+             CASE WHEN two IN ({suffixes}) THEN three ELSE two END AS domain FROM named
+    ), s0 AS (
+      SELECT suffix, sum(n) AS n, sum(g) AS g, (SELECT (sum(g) + 1) / (sum(n) + 2) FROM keyed) AS m FROM keyed GROUP BY suffix
+    ), {level('s1', 's0')}, d0 AS (
+      SELECT k.domain, k.suffix, sum(k.n) AS n, sum(k.g) AS g, any_value(a / (a + b)) AS m
+      FROM keyed k JOIN s1 ON k.suffix = s1.suffix GROUP BY k.domain, k.suffix
+    ), {level('d1', 'd0')}, h0 AS (
+      SELECT k.host, k.n, k.g, a / (a + b) AS m FROM keyed k JOIN d1 ON k.domain = d1.domain
+    ), {level('h1', 'h0')}, bounds AS (
+      SELECT host, a / (a + b) AS mean, a + b + 1 AS w FROM h1
+    ), judged AS (
+      SELECT host, CASE WHEN least(1.0, mean + {r.Z} * sqrt(mean * (1 - mean) / w)) < {r.MIN_GOOD}
+                         AND (SELECT sum(n) FROM keyed) > 0 THEN 'block' ELSE 'allow' END AS own FROM bounds
+    )
+    SELECT page_id, host, path, CASE {' '.join(rules)} END AS rule, CASE {' '.join(verdicts)} ELSE own END AS verdict
+    FROM split JOIN judged USING (host)"""
+
+
+ORACLE["op6_host_reputation"] = host_verdicts()

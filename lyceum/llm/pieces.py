@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 200_000
 #: Segments longer than this (such as pages of blanks) take one merge at a time from a heap instead of rounds.
 LONG_SEGMENT = 2_000
 #: Of sentencepiece's model format: kinds of pieces.
@@ -270,7 +270,7 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` without ``text``, with the packed ids (little-endian unsigned 32-bit integers) in ``ids``."""
-    from lyceum.llm.words import slices
+    from lyceum.llm.words import text_slices
 
     rest = df.drop(ids) if ids != text else df
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
@@ -279,10 +279,8 @@ def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Encoder(sent.value)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for lo, hi in slices(texts, 4 << 20):
-                part = batch.slice(lo, hi - lo)
-                yield _with(part.drop_columns([text]), ids, pa.array(tool.encode(texts[lo:hi]), pa.binary()))
+            for part, texts in text_slices(batch, text, 1 << 20):
+                yield _with(part.drop_columns([text]), ids, pa.array(tool.encode(texts), pa.binary()))
 
     return rest.mapInArrow(run, f"{schema}, `{ids}` binary" if schema else f"`{ids}` binary")
 
@@ -296,7 +294,8 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Decoder(Model(*sent.value))
         for batch in batches:
-            yield _with(batch, text, pa.array(map(tool.decode, batch.column(ids).to_pylist()), pa.string()))
+            for part, packed in text_slices(batch, ids, 1 << 20):
+                yield _with(part, text, pa.array(map(tool.decode, packed), pa.string()))
 
     return rest.mapInArrow(run, f"{schema}, `{text}` string")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.words import grams, slices, words
+from lyceum.llm.words import grams, text_slices, words
 from lyceum.sources.staging import stage
 
 #: Rows that a model is fitted on, at most: those with the smallest hashes.
@@ -169,12 +169,11 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                x = statistics(texts[lo:hi])
+            for part, texts in text_slices(batch):
+                x = statistics(texts)
                 offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
@@ -222,9 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(*sent.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                good = predict(model, statistics(texts[lo:hi])) >= 0.5
-                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+            for part, texts in text_slices(batch):
+                yield part.filter(pa.array(predict(model, statistics(texts)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

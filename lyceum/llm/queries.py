@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lyceum.llm import decontaminate, jaccard, lines, pieces, quality
+from lyceum.llm import decontaminate, jaccard, language_model, licences, lines, neighbours, pieces, quality, reputation, suffixes
 from lyceum.llm.tables import documents, read
 
 #: Folder and name of the tokenizer's file; the name of an installed package's file unless a path is set.
@@ -25,14 +26,36 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), piece_model())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(neighbours.usable(read(spark, sf_dir, "embeddings")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels name documents by number; a page's outcome is the quality label with its page_id."""
+    outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return reputation.judge(read(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(documents(spark, sf_dir))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(documents(spark, sf_dir))
 
@@ -42,5 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op4_decontamination, op7_line_dedup, op9_jaccard_join, op10_quality)
+    f.__name__: f for f in (
+        op1_sentencepiece, op2_suffix_dedup, op3_nearest_neighbours, op4_decontamination, op5_language_model, op6_host_reputation, op7_line_dedup, op8_licence_scan, op9_jaccard_join, op10_quality,
+    )
 }

@@ -10,7 +10,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that are worked on at a time, unless one text is longer.
+SLICE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -23,7 +27,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0 to n - 1; kept by the worker."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         made = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
@@ -107,7 +111,18 @@ def grams(w: Words, n: int, whole_short: bool = True) -> Grams:
     return Grams(doc, start, mix(h))
 
 
-def slices(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch of about ``limit`` bytes of text, and their texts: Python holds one part's strings at a time."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0), np.int64) + 1)
+    lo, before = 0, 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        part = batch.slice(lo, hi - lo)
+        yield part, part.column(name).to_pylist()
+        lo, before = hi, int(sizes[hi - 1])
+
+
+def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters, so that working arrays stay small; a longer text stands alone."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
