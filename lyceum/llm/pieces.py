@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lyceum.llm.words import text_slices
+
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 CACHE_SEGMENTS = 200_000
@@ -86,6 +88,8 @@ def merge_tables(model: Model) -> dict:
                 made.append(i)
                 ranks.append(rank[piece])
                 careful.update(rank[part] for part in parts if len(part) > 1 and rank[part] >= rank[piece])
+    if not keys:  # a model without merges: one pair that never occurs
+        keys, made, ranks = [-1], [0], [NONE]
     order = np.argsort(np.array(keys, np.int64))
     is_careful = np.zeros(len(scores) + 1, bool)
     is_careful[list(careful)] = True
@@ -270,8 +274,6 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` without ``text``, with the packed ids (little-endian unsigned 32-bit integers) in ``ids``."""
-    from lyceum.llm.words import text_slices
-
     rest = df.drop(ids) if ids != text else df
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
     sent = df.sparkSession.sparkContext.broadcast(merge_tables(model))
