@@ -42,6 +42,8 @@ def points_for(letter: Column) -> Column:
 def letter_for(points: Column) -> Column:
     """Nearest letter at or below ``points`` on the ladder (``A+`` shares its points with ``A``).
 
+    Points above the ladder are an A and points below it an F.
+
     The ladder moves in tenths, so the letter is an array lookup by tenths: a CASE with one branch
     per letter would be copied into every filter on the letter and outgrow the size up to which
     the JVM compiles generated code.
@@ -50,7 +52,8 @@ def letter_for(points: Column) -> Column:
     tenths = range(int(MAX_POINTS * 10) + 1)
     letters = [[letter for value, letter in ladder if round(value * 10) <= t][-1] for t in tenths]
     place = F.floor(F.rint(points * 100) / 10).cast("int")
-    return F.element_at(F.array(*(F.lit(x) for x in letters)), place + 1)
+    held = F.when(place < 0, 0).when(place > len(letters) - 1, len(letters) - 1).otherwise(place)
+    return F.element_at(F.array(*(F.lit(x) for x in letters)), held + 1)
 
 
 def grade_position(letter: Column) -> Column:

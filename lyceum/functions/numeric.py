@@ -18,12 +18,13 @@ def scaled(value: Column, digits: int) -> Column:
 
 
 def half_up(numerator: Column, denominator: Column, digits: int) -> Column:
-    """``numerator / denominator`` of two whole numbers, rounded half-up; NULL when dividing by 0.
+    """``numerator / denominator`` of two whole numbers, rounded half away from 0; NULL when dividing by 0.
 
-    Written for numerators >= 0, which holds for every rate and mean in the library.
+    ``denominator`` is a count and never negative; half of it is added with the sign of the numerator.
     """
-    whole = denominator.cast("bigint")
-    twice = numerator.cast("bigint") * F.lit(2 * 10**digits).cast("bigint") + whole
+    whole, top = denominator.cast("bigint"), numerator.cast("bigint")
+    half = F.when(top < 0, -whole).otherwise(whole)
+    twice = top * F.lit(2 * 10**digits).cast("bigint") + half
     units = F.call_function("div", twice, F.nullif(whole * F.lit(2).cast("bigint"), F.lit(0).cast("bigint")))
     return units / F.lit(float(10**digits))
 

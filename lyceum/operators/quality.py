@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lyceum.functions import calendar, grades, text
 from lyceum.functions.status import STATUSES
+from lyceum.operators import profile
 
 PASS, FAIL, WARN = "PASS", "FAIL", "WARN"
 WARN_SHARE = 0.01
@@ -102,33 +103,33 @@ def min_rows(n: int) -> Rule:
 def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule: check_name, result, expected, actual, row_count.
 
-    Counting rules share one scan.  Each ``unique`` column is counted per value first (partial
-    counts on the map side), so a value that fills a large share of the table does not gather
-    in one task; these counts are joined to the report, not to the data.
+    The whole suite is one scan.  With ``unique`` rules the rows are first counted per value of each
+    such column in one grouping-sets pass (partial counts on the map side, so a value that fills a
+    large share of the table does not gather in one task); the other rules are sums of that pass.
     """
     plain = [(i, r) for i, r in enumerate(rules) if r.distinct_of is None]
     repeats = [(i, r) for i, r in enumerate(rules) if r.distinct_of is not None]
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *(r.bad.cast("bigint").alias(f"_bad{i}") for i, r in plain))
-    lines = []
-    if plain:
-        lines.append(
-            counted.select(
-                F.inline(F.array(*(_line(i, r, F.col(f"_bad{i}"), F.col("_rows")) for i, r in plain)))
-            )
-        )
-    for i, rule in repeats:
-        # NULLs form one value here; they count as rows but never as duplicates.
-        per_value = df.groupBy(rule.distinct_of).agg(F.count(F.lit(1)).alias("_n"))
-        known = F.col(rule.distinct_of).isNotNull()
-        sums = per_value.agg(
-            F.coalesce(F.sum(F.when(known, F.col("_n") - 1)), F.lit(0)).alias("_bad"),
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"),
+    if not repeats:
+        counted = df.agg(F.count(F.lit(1)).alias("_rows"), *(r.bad.cast("bigint").alias(f"_bad{i}") for i, r in plain))
+    else:
+        columns = list(dict.fromkeys(r.distinct_of for _, r in repeats))
+        copies = df.withColumns({f"_u{k}": F.col(c) for k, c in enumerate(columns)})
+        sums = {"_n": F.count(F.lit(1)), **{f"_bad{i}": r.bad.cast("bigint") for i, r in plain}}
+        per_value = profile.member_counts(copies, [], [f"_u{k}" for k in range(len(columns))], sums)
+        # NULLs form one value; they count as rows but never as duplicates.
+        over = {
+            i: F.sum(F.when((F.col("_member") == u) & F.col(u).isNotNull(), F.col("_n") - 1))
+            for i, r in repeats
+            for u in [f"_u{columns.index(r.distinct_of)}"]
+        }
+        counted = per_value.agg(
+            F.coalesce(profile.sum_from("_u0", "_n"), F.lit(0)).alias("_rows"),
+            *(F.coalesce(profile.sum_from("_u0", f"_bad{i}"), F.lit(0)).alias(f"_bad{i}") for i, _ in plain),
+            *(F.coalesce(c, F.lit(0)).alias(f"_bad{i}") for i, c in over.items()),
         )
-        lines.append(sums.select(F.inline(F.array(_line(i, rule, F.col("_bad"), F.col("_rows"))))))
-    merged = lines[0]
-    for more in lines[1:]:
-        merged = merged.unionByName(more)
-    return merged
+    return counted.select(
+        F.inline(F.array(*(_line(i, r, F.col(f"_bad{i}"), F.col("_rows")) for i, r in enumerate(rules))))
+    )
 
 
 def _line(position: int, rule: Rule, bad: Column, rows: Column) -> Column:

@@ -12,10 +12,11 @@ _GPA2 = shorten("x.semester_gpa", 3, 2) + " AS semester_gpa"
 _CUM2 = shorten("x.cumulative_gpa", 3, 2) + " AS cumulative_gpa"
 _ATT1 = shorten("x.avg_attendance_pct", 2, 1) + " AS attendance_pct"
 _CURRENT = "academic_year = '2000-2001' AND semester = 'Fall 2000'"
-_SEMESTERS = [f"{term} {year}" for year in range(1995, 2002) for term in ("Spring", "Summer", "Fall")]
 
 _TOP = """
-, changed AS (SELECT *, lag(semester_gpa) OVER (PARTITION BY student_key ORDER BY academic_year, semester) AS prev_semester_gpa FROM cum)
+, changed AS (SELECT *, lag(semester_gpa) OVER (PARTITION BY student_key ORDER BY academic_year, semester) AS prev_semester_gpa
+  FROM cum WHERE student_key IN (SELECT student_key FROM student WHERE is_current)
+    AND department_key IN (SELECT department_key FROM dept))
 , ranked AS (
   SELECT *, CAST(rank() OVER (PARTITION BY department_key, academic_year, semester ORDER BY semester_gpa DESC) AS INTEGER) AS dept_rank,
     CAST(dense_rank() OVER (PARTITION BY academic_year, semester ORDER BY semester_gpa DESC) AS INTEGER) AS overall_rank,
@@ -88,6 +89,7 @@ SQL: dict[str, str] = {
       semester_gpa, credit_hours_earned, credit_hours_attempted, courses_taken, courses_passed, avg_attendance_pct,
       cumulative_gpa FROM cum c JOIN scores USING (student_key, academic_year, semester)""",
     "top_students_by_department": with_(CUM, STUDENT, DEPT) + _TOP,
+    "top_students_with_history": with_(CUM, STUDENT.replace("TRUE AS is_current", "c_acctbal >= 0 AS is_current"), DEPT) + _TOP,
     "top_students_by_department_period": with_(CUM, STUDENT, DEPT) + _TOP + " AND " + _CURRENT,
     "deans_list": with_(SEM, STUDENT, DEPT, """good AS (
       SELECT x.*, student_id, student_name, department_name,
@@ -268,17 +270,8 @@ SQL: dict[str, str] = {
     "grade_distribution": with_(LINES) + """SELECT grade_letter, count(*) AS count,
       CAST(coalesce(list_position(['A+','A','A-','B+','B','B-','C+','C','C-','D','F','W','I'], grade_letter), 14) AS INTEGER) AS position
       FROM lines GROUP BY grade_letter""",
-    "attendance_heatmap": with_(SEM, DEPT) + "SELECT department_id, "
-    + ", ".join(
-        half_up(
-            f"sum({units('avg_attendance_pct', 2)}) FILTER (WHERE semester = '{s}')",
-            f"count(avg_attendance_pct) FILTER (WHERE semester = '{s}') * 100",
-            1,
-        )
-        + f' AS "{s}"'
-        for s in _SEMESTERS
-    )
-    + " FROM sem JOIN dept USING (department_key) GROUP BY department_id",
+    "attendance_heatmap": with_(SEM, DEPT) + f"""SELECT department_id, semester, {mean('avg_attendance_pct', 2, 1)} AS attendance
+      FROM sem JOIN dept USING (department_key) GROUP BY department_id, semester""",
     "student_profile": with_(CUM, STUDENT, DEPT, _LATEST.format(source="cum"))
     + """SELECT s.student_key, student_id, first_name, last_name, program, student_type, department_name,
       l.academic_year AS latest_academic_year, l.semester AS latest_semester, l.semester_gpa AS latest_semester_gpa,

@@ -165,9 +165,14 @@ SQL: dict[str, str] = {
       {big("count(*) FILTER (WHERE status = 'ABSENT')", 'absences')},
       {pct("count(*) FILTER (WHERE status = 'ABSENT')", 'count(*)')} AS absence_rate,
       count(DISTINCT student_key) AS unique_students FROM att GROUP BY 1""",
-    "attendance_backfill": with_(PERF, f"""actual AS (
-      SELECT student_key, course_key, academic_year, semester, {pct('count(*) FILTER (WHERE attendance_pct >= 75)', 'count(*)')} AS actual_pct
-      FROM perf WHERE l_shipdate < DATE '2001-01-01' GROUP BY 1, 2, 3, 4)""")
+    "attendance_backfill": with_(PERF, ATT, f"""day AS (
+      SELECT *, row_number() OVER (PARTITION BY student_key, course_key, date_key ORDER BY event_time DESC, event_id DESC) AS rn FROM att),
+    meeting AS (
+      SELECT student_key, course_key, academic_year, semester, is_present FROM day WHERE rn = 1
+      UNION ALL SELECT student_key, course_key, academic_year, semester, attendance_pct >= 75 FROM perf WHERE NOT is_withdrawn),
+    actual AS (
+      SELECT student_key, course_key, academic_year, semester, {pct('count(*) FILTER (WHERE is_present)', 'count(*)')} AS actual_pct
+      FROM meeting GROUP BY 1, 2, 3, 4)""")
     + """SELECT student_key, course_key, instructor_key, l_linenumber, l_shipdate, academic_year, semester, grade_letter,
       coalesce(actual_pct, attendance_pct) AS attendance_pct
       FROM perf LEFT JOIN actual USING (student_key, course_key, academic_year, semester)""",
@@ -242,7 +247,7 @@ SQL: dict[str, str] = {
       (CASE WHEN month(d) >= 9 THEN 'Fall' WHEN month(d) >= 6 THEN 'Summer' ELSE 'Spring' END) || ' ' || year(d) AS semester,
       isodow(d) <= 5 AS is_weekday, FALSE AS is_holiday,
       (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = d) AS enrollments
-      FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)""",
+      FROM (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)""",
     "parameterised_period": with_(SEM) + """SELECT student_key, semester_gpa, avg_attendance_pct FROM sem
       WHERE academic_year = '2000-2001' AND semester = 'Fall 2000' AND semester_gpa >= 3.5""",
     "mask_student_analyst": with_(STUDENT) + """SELECT student_key, student_id, first_name, last_name,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.functions import bands
+from lyceum.functions import bands, calendar
 from lyceum.functions.numeric import count_where, mean_of, percent
 from lyceum.operators import ranking
 from lyceum.operators.gpa import PERIOD
@@ -17,10 +17,19 @@ DIFFICULTY = [(3.5, "Easy"), (2.5, "Moderate"), (2.0, "Challenging")]
 HARDEST = "Very Hard"
 
 
+def _term(rows: DataFrame) -> list[str]:
+    """Columns of the semester: its integer key where the rows have one, since that is narrower in shuffles."""
+    return ["term_key"] if "term_key" in rows.columns else list(PERIOD)
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(calendar.term_labels(F.col("term_key"))) if "term_key" in rows.columns else rows
+
+
 def _stats(performance: DataFrame, keys: list[str]) -> DataFrame:
     letter = F.col("grade_letter")
     return (
-        performance.groupBy(*keys, *PERIOD)
+        performance.groupBy(*keys, *_term(performance))
         .agg(
             F.count(F.lit(1)).alias("enrollment_count"),
             mean_of(F.col("grade_points"), 4, 3).alias("avg_grade_points"),
@@ -46,17 +55,17 @@ def _with_rank(rows: DataFrame) -> DataFrame:
     The aggregated rows feed the rank table and the result, so they are written once.
     """
     kept = stage(rows, "course-stats")
-    rank = {"difficulty_rank": Rank("rank", ("department_key", *PERIOD))}
+    rank = {"difficulty_rank": Rank("rank", ("department_key", *_term(rows)))}
     return ranking.add_ranks(kept, "avg_grade_points", rank, best="low")
 
 
 def difficulty(performance: DataFrame, courses: DataFrame, departments: DataFrame) -> DataFrame:
     """Difficulty of each course and semester, ranked in the department that owns the course."""
     about = courses.select(
-        "course_key", "course_code", "course_name", "credit_hours", "level", "category", "department_key"
+        "course_key", "course_code", "course_name", "credit_hours", "level", "category"
     )
-    rows = _stats(performance, ["course_key"]).join(about, "course_key")
-    ranked = _with_rank(rows)
+    owner = courses.select("course_key", "department_key")
+    ranked = _labelled(_with_rank(_stats(performance, ["course_key"]).join(owner, "course_key"))).join(about, "course_key")
     return ranked.join(departments.select("department_key", "department_name"), "department_key").select(
         "course_key", "department_key", *PERIOD, "enrollment_count", "avg_grade_points", "avg_score",
         "avg_attendance", "grade_stddev", "f_count", "w_count", "fail_rate", "withdrawal_rate", "course_code",
@@ -66,7 +75,7 @@ def difficulty(performance: DataFrame, courses: DataFrame, departments: DataFram
 
 def grade_buckets(performance: DataFrame, courses: DataFrame, departments: DataFrame) -> DataFrame:
     """Grade counts of each course and semester within the department of the enrolled students."""
-    ranked = _with_rank(_stats(performance, ["course_key", "department_key"]))
+    ranked = _labelled(_with_rank(_stats(performance, ["course_key", "department_key"])))
     about = courses.select("course_key", "course_code", "course_name", "level")
     return (
         ranked.join(about, "course_key")

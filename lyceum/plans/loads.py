@@ -108,12 +108,25 @@ def upsert_attendance_table(spark: SparkSession, path: str, incoming: DataFrame)
     The day is part of the key, so only the days of the delivery are read, merged and overwritten.
     """
     new = stage(incoming, "attendance-incoming")
-    days = new.select("date_key").distinct()
-    current = existing(spark, path, schemas.FACT_ATTENDANCE).join(days, "date_key", "left_semi")
-    merged = merge_attendance(current.select(*schemas.FACT_ATTENDANCE.names), new)
+    merged = merge_attendance(touched_days(existing(spark, path, schemas.FACT_ATTENDANCE), new), new)
     sinks.overwrite_partitions(merged, path, ["date_key"])
 
 
+def touched_days(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows on the days of ``new``.  The days are literals (at most one per partition), so the scan opens
+    their partitions only."""
+    days = [r[0] for r in new.select("date_key").distinct().collect()]
+    return stored.filter(F.col("date_key").isin(days)).select(*schemas.FACT_ATTENDANCE.names)
+
+
+def touched_semesters(stored: DataFrame, touched: DataFrame) -> DataFrame:
+    """Stored rows of the semesters in ``touched`` (at most one row per partition), as literals too."""
+    names = [r[0] for r in touched.select("semester").distinct().collect()]
+    years = [r[0] for r in touched.select("academic_year").distinct().collect()]
+    chosen = stored.filter(F.col("semester").isin(names) & F.col("academic_year").isin(years))
+    return chosen.select(*schemas.FACT_PERFORMANCE.names)
+
+
 def dated(attendance: DataFrame) -> DataFrame:
     """Attendance facts with the labels of their semester."""
     day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
@@ -135,7 +148,7 @@ def upsert_performance_table(
     known = stored.select("enrollment_id", *FACT_PARTITIONS).join(ids, "enrollment_id", "left_semi")
     parts = [df.select(*FACT_PARTITIONS).distinct() for df in (known, new, dated(days))]
     touched = stage(parts[0].union(parts[1]).union(parts[2]).distinct(), "semesters-touched")
-    current = stored.join(touched, FACT_PARTITIONS, "left_semi").select(*schemas.FACT_PERFORMANCE.names)
+    current = touched_semesters(stored, touched)
     recorded = dated(attendance).join(touched, FACT_PARTITIONS, "left_semi")
     merged = backfill_attendance(merge_performance(current, new), recorded)
     sinks.overwrite_partitions(merged, path, FACT_PARTITIONS)

@@ -58,16 +58,19 @@ def grade_distribution(performance: DataFrame) -> DataFrame:
     return counts.withColumn("position", grade_position(F.col("grade_letter"))).orderBy("position", "grade_letter")
 
 
-def attendance_heatmap(semesters: DataFrame, departments: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Mean attendance, one row per department and one column per semester label.
-
-    The labels are given, so Spark needs no extra job to find the columns.
-    """
+def attendance_heatmap(semesters: DataFrame, departments: DataFrame) -> DataFrame:
+    """Mean attendance of each department and semester on file."""
     cells = semesters.groupBy("department_key", "semester").agg(
         mean_of(F.col("avg_attendance_pct"), 2, 1).alias("attendance")
     )
-    grid = cells.groupBy("department_key").pivot("semester", list(labels)).agg(F.first("attendance"))
-    return grid.join(departments.select("department_key", "department_id"), "department_key").drop("department_key")
+    named = cells.join(departments.select("department_key", "department_id"), "department_key")
+    return named.select("department_id", "semester", "attendance")
+
+
+def heatmap_grid(cells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """The heat map with one column per semester: those given, or all that are on file (one label per semester)."""
+    pivoted = cells.groupBy("department_id").pivot("semester", list(labels) if labels is not None else None)
+    return pivoted.agg(F.first("attendance"))
 
 
 def risk_summary(semesters: DataFrame) -> DataFrame:

@@ -62,9 +62,13 @@ def top_by_department(
 ) -> DataFrame:
     """Best ``n`` GPA ranks of every department (ties kept), with tier and change since the last semester.
 
+    Only current students of known departments are ranked, so a superseded version takes no place.
     The change looks at all semesters, so it is taken before the period is selected.  Ranks are cut
     on the table of distinct GPAs; only students at a surviving GPA are joined to their names.
     """
+    semesters = semesters.join(students.filter("is_current").select("student_key"), "student_key", "left_semi").join(
+        departments.select("department_key"), "department_key", "left_semi"
+    )
     change = semesters.withColumn("prev_semester_gpa", F.lag("semester_gpa").over(_in_time()))
     chosen = change if period is None else change.filter(
         (F.col("academic_year") == period[0]) & (F.col("semester") == period[1])
@@ -119,8 +123,9 @@ def deans_list(semesters: DataFrame, students: DataFrame, departments: DataFrame
 
 
 def by_id(rows: DataFrame, student_id: str, column: str = "student_id") -> DataFrame:
-    """Point lookup; the id is trimmed and upper-cased as typed ids are, and compared in upper case."""
-    return rows.filter(F.upper(F.col(column)) == F.lit(student_id.strip().upper()))
+    """Point lookup of a typed id.  Stored ids are normalised already; the bare column lets statistics and
+    buckets skip files."""
+    return rows.filter(F.col(column) == F.lit(student_id.strip().upper()))
 
 
 def profiles(semesters: DataFrame, students: DataFrame, departments: DataFrame) -> DataFrame:

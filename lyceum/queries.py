@@ -20,9 +20,6 @@ CURRENT_PERIOD = ("2000-2001", "Fall 2000")
 CURRENT_YEAR = "2000-2001"
 FIRST_LOAD_BEFORE = "1999-01-01"
 FIRST_EVENTS_BEFORE = "2024-01-16"
-SEMESTERS = [
-    f"{term} {year}" for year in range(1995, 2002) for term in ("Spring", "Summer", "Fall")
-]
 ADMIN = governance.Principal("dean", "DEPARTMENT_ADMIN", ("DEPT_ASIA_ADMIN", "DEPT_EUROPE_ADMIN"))
 TEACHER = governance.Principal("Supplier#000000001", "INSTRUCTOR")
 GUEST = governance.Principal("guest", "VISITOR")
@@ -76,6 +73,14 @@ def top_students_by_department_period(spark, sf):
     )
 
 
+@query
+def top_students_with_history(spark, sf):
+    """The same where accounts in debt are superseded versions of a student: they neither appear nor take a rank."""
+    kept = staging.stage(campus.semester_gpa_full(spark, sf), "semester-gpa")
+    people = campus.students(spark, sf).withColumn("is_current", F.col("scholarship_amount") >= 0)
+    return students.top_by_department(kept, people, campus.departments(spark, sf), n=10)
+
+
 @query
 def deans_list(spark, sf):
     return students.deans_list(
@@ -99,14 +104,14 @@ def department_scorecard(spark, sf):
 @query
 def course_difficulty(spark, sf):
     return courses.difficulty(
-        campus.performance(spark, sf), campus.courses(spark, sf), campus.departments(spark, sf)
+        campus.performance_terms(spark, sf), campus.courses(spark, sf), campus.departments(spark, sf)
     )
 
 
 @query
 def course_grade_buckets(spark, sf):
     return courses.grade_buckets(
-        campus.performance(spark, sf), campus.courses(spark, sf), campus.departments(spark, sf)
+        campus.performance_terms(spark, sf), campus.courses(spark, sf), campus.departments(spark, sf)
     )
 
 
@@ -244,7 +249,7 @@ def grade_distribution(spark, sf):
 
 @query
 def attendance_heatmap(spark, sf):
-    return overview.attendance_heatmap(campus.semester_gpa(spark, sf), campus.departments(spark, sf), SEMESTERS)
+    return overview.attendance_heatmap(campus.semester_gpa(spark, sf), campus.departments(spark, sf))
 
 
 # --- students -----------------------------------------------------------------------------
@@ -351,18 +356,19 @@ def course_absence(spark, sf):
 
 @query
 def attendance_backfill(spark, sf):
-    """Class meetings are the lines in status F of the same orders: one meeting per line."""
+    """Class meetings are all attendance facts and, as their semesters hardly overlap with those of the
+    enrollments, every line that was not withdrawn: one meeting per line."""
     facts = staging.stage(
         campus.performance(spark, sf).select(
             "student_key", "course_key", "instructor_key", "l_linenumber", "l_shipdate", *gpa.PERIOD, "grade_letter",
-            "attendance_pct",
+            "attendance_pct", "is_withdrawn",
         ),
         "performance",
     )
-    meetings = facts.filter(F.col("l_shipdate") < F.lit("2001-01-01").cast("date")).withColumn(
-        "is_present", F.col("attendance_pct") >= 75
-    )
-    return loads.backfill_attendance(facts, meetings)
+    keys_ = ["student_key", "course_key", *gpa.PERIOD, "is_present"]
+    recorded = _attendance(spark, sf).select(*keys_)
+    lines = facts.filter("NOT is_withdrawn").withColumn("is_present", F.col("attendance_pct") >= 75).select(*keys_)
+    return loads.backfill_attendance(facts.drop("is_withdrawn"), recorded.unionByName(lines))
 
 
 # --- cleaning and quality -----------------------------------------------------------------
@@ -567,11 +573,12 @@ def instructor_lookup(spark, sf):
 
 @query
 def orders_by_calendar(spark, sf):
-    """Date dimension of the years on file with the enrollments of each day."""
+    """Date dimension from the first to the last enrollment on file, with the enrollments of each day."""
     per_day = campus.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("full_date")).agg(
         F.count(F.lit(1)).alias("enrollments")
     )
-    days = date_dim.date_dim(spark, date(1995, 1, 1), date(2001, 12, 31))
+    first, last = per_day.agg(F.min("full_date"), F.max("full_date")).first()
+    days = date_dim.date_dim(spark, first, last) if first else date_dim.date_dim(spark).limit(0)
     return days.join(per_day, "full_date", "left").na.fill(0, ["enrollments"])
 
 

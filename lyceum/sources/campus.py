@@ -167,6 +167,12 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(term, lines.l_orderkey == term.o_orderkey).drop("l_orderkey", "o_orderkey")
 
 
+def performance_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``performance`` with the integer key of the semester in place of its two labels."""
+    lines, term = graded_lines(spark, sf_dir), terms(spark, sf_dir)
+    return lines.join(term, lines.l_orderkey == term.o_orderkey).drop("l_orderkey", "o_orderkey")
+
+
 def semester_gpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FACT_SEMESTER_GPA without its running column.
 
