@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.tables import sized
+from lyceum.llm.tables import sized, small_batches
 from lyceum.llm.words import grams, text_slices, words
 from lyceum.sources.staging import stage
 
@@ -130,7 +130,7 @@ def _columns(grams_: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def find(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n: int = WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``doc_id, item_id, n_grams, n_found, containment`` of each document that contains an item."""
     known = item_grams(items, n)
-    chosen = docs.filter("doc_id is not null").select("doc_id", "text")
+    chosen = small_batches(docs.filter("doc_id is not null").select("doc_id", "text"))
     if known.count() * 20 > item_bytes:
         return _find_shuffled(chosen, known, containment, n)
     sent = docs.sparkSession.sparkContext.broadcast(_columns(known))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.tables import components, release, sized
+from lyceum.llm.tables import components, release, sized, small_batches
 from lyceum.llm.words import grams, slices, text_slices, words
 from lyceum.sources.staging import stage
 
@@ -99,7 +99,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "key", "bands"],
                 )
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return small_batches(docs.filter("doc_id is not null").select("doc_id", "text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +224,7 @@ def _digest_filter(df: DataFrame) -> DataFrame:
                 ]
                 yield part.filter(pa.array(same, pa.bool_())).drop_columns(["rep_key"])
 
-    kept = df.mapInArrow(run, "doc_id long, text string, grp long")
+    kept = small_batches(df).mapInArrow(run, "doc_id long, text string, grp long")
     return stage(kept, "candidate-texts").dropDuplicates(["doc_id"])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.tables import release
+from lyceum.llm.tables import release, small_batches
 from lyceum.llm.words import text_slices
 from lyceum.sources.staging import stage
 
@@ -337,7 +337,7 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = TRAIN_ONE_IN, rounds
 def score(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     counts = count_words(training(docs))
     vocab = vocabulary(counts, known)
     model = train(training(docs), vocab, one_in, rounds)

@@ -13,6 +13,7 @@ texts are whole; other columns are left alone unless they have the name of a res
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -21,13 +22,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from lyceum.llm.tables import small_batches
 from lyceum.llm.words import text_slices
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 60_000
 #: Segments longer than this (such as pages of blanks) take one merge at a time from a heap instead of rounds.
 LONG_SEGMENT = 2_000
 #: Of sentencepiece's model format: kinds of pieces.
@@ -113,7 +114,7 @@ class Encoder:
         self.base, self.keys, self.made, self.ranks, self.careful, self.bytes = (
             tables[k] for k in ("base", "keys", "made", "ranks", "careful", "bytes")
         )
-        self.chars = np.arange(0x110000, dtype=np.int64) + self.base
+        self.chars = np.arange(0x110000, dtype=np.int32) + self.base
         self.chars[list(tables["chars"])] = list(tables["chars"].values())
         self.cut = re.compile(tables["pattern"]).findall if tables["pattern"] else lambda t: [t]
         self.packed: dict[int, bytes] = tables.setdefault("packed", {i: i.to_bytes(4, "little") for i in range(self.base)})
@@ -128,7 +129,7 @@ class Encoder:
 
     def _rounds(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left of all segments, and the segment of each, in order."""
-        sym = self.chars[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sym = self.chars[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         seg = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(sym), NONE, np.int32)
@@ -179,7 +180,7 @@ class Encoder:
 
     def _heap(self, segment: str) -> list[int]:
         """The same merges one at a time: for one very long segment."""
-        sym = self.chars[[ord(c) for c in segment]]
+        sym = self.chars[[ord(c) for c in segment]].astype(np.int64)
         ranks, made = self._pairs(sym[:-1], sym[1:])
         syms, n = sym.tolist(), len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -284,7 +285,7 @@ def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") ->
             for part, texts in text_slices(batch, text, 1 << 20):
                 yield _with(part.drop_columns([text]), ids, pa.array(tool.encode(texts), pa.binary()))
 
-    return rest.mapInArrow(run, f"{schema}, `{ids}` binary" if schema else f"`{ids}` binary")
+    return small_batches(rest).mapInArrow(run, f"{schema}, `{ids}` binary" if schema else f"`{ids}` binary")
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -299,15 +300,27 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded")
             for part, packed in text_slices(batch, ids, 1 << 20):
                 yield _with(part, text, pa.array(map(tool.decode, packed), pa.string()))
 
-    return rest.mapInArrow(run, f"{schema}, `{text}` string")
+    return small_batches(rest).mapInArrow(run, f"{schema}, `{text}` string")
 
 
 def digests(df: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, number of ids and digests of ids and of the text decoded from them, for each row of ``df``."""
-    coded = decode(encode(df.select("doc_id", "text"), model), model)
-    return coded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    sent = df.sparkSession.sparkContext.broadcast(merge_tables(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(sent.value)
+        back = Decoder(coder.model)
+        for batch in batches:
+            for part, texts in text_slices(batch, "text", 1 << 19):
+                ids = coder.encode(texts)
+                again = [back.decode(x) for x in ids]
+                sha = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, (t.encode() for t in again))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sha)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    # Encoded and decoded in one worker: neither ids nor texts pass between processes only to be hashed.
+    return small_batches(df.select("doc_id", "text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyceum.llm.tables import small_batches
 from lyceum.llm.words import grams, text_slices, words
 from lyceum.sources.staging import stage
 
@@ -175,7 +176,7 @@ def features(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def votes(labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -224,4 +225,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array(predict(model, statistics(texts)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

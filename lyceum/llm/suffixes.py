@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.tables import release, sized
+from lyceum.llm.tables import release, sized, small_batches
 from lyceum.llm.words import mix, powers, prefix_sums, text_slices
 from lyceum.sources.staging import stage
 
@@ -38,7 +38,7 @@ LENGTH = 100
 KEY = 40
 #: A perfect difference set; every difference modulo 31 is one of its pairs'.
 PERIOD, COVER = 31, [1, 5, 11, 24, 25, 27]
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET = 10_000
 
 
@@ -255,7 +255,7 @@ def _large(contexts: DataFrame, length: int) -> DataFrame:
 def repeated(docs: DataFrame, length: int = LENGTH, key: int = KEY, bucket: int = BUCKET) -> DataFrame:
     """``doc``, and its repeated byte ranges as arrays ``a`` and ``b`` (b exclusive): maximal runs in order; staged."""
     spark = docs.sparkSession
-    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    docs = small_batches(docs.filter("doc_id is not null").select("doc_id", "text"))
     twice = stage(_anchor_rows(docs, True, length, key).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared-buckets")
     release(spark)
     places = stage(_anchor_rows(docs, False, length, key).join(sized(twice, 16), "h"), "shared-anchors")

@@ -15,6 +15,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of one Arrow batch: some MB of ordinary texts on either side of a worker's pipe.
+ARROW_ROWS = 1_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for texts.  A session that has set a size of its own
+    below Spark's default keeps it."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW)) <= ARROW_ROWS:
+        conf.set(_ARROW, str(ARROW_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
