@@ -11,7 +11,7 @@ from lyceum.operators import gpa
 from lyceum.plans import courses, departments, loads, students
 from lyceum.session import build_session
 from lyceum.sources import readers, sinks
-from lyceum.sources.staging import stage
+from lyceum.sources.staging import scratch_run, stage
 from lyceum.streaming import attendance as stream
 
 
@@ -57,12 +57,14 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--checkpoint", help="stream checkpoint folder")
     args = parser.parse_args(argv)
     spark = build_session(f"lyceum-{args.job}")
-    if args.job == "semester":
-        semester_job(spark, args.warehouse)
-    elif args.job == "departments":
-        department_job(spark, args.warehouse)
-    elif args.job == "load":
-        loads.run(spark, loads.read_extracts(spark, args.landing), args.warehouse, args.as_of)
+    if args.job != "stream":
+        with scratch_run(spark):
+            if args.job == "semester":
+                semester_job(spark, args.warehouse)
+            elif args.job == "departments":
+                department_job(spark, args.warehouse)
+            else:
+                loads.run(spark, loads.read_extracts(spark, args.landing), args.warehouse, args.as_of)
     else:
         stream_job(spark, args.servers, args.topic, args.warehouse, args.checkpoint)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lyceum.functions import text
@@ -133,9 +133,27 @@ def seed_grants(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return existing.unionByName(missing.select(*existing.columns))
 
 
+def audited(
+    df: DataFrame, who: Principal, table: str, context: str
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The same rows, observed, and the access-log row to take once they have been read: no second run counts them."""
+    seen = Observation("seen")
+    rows = df.observe(seen, F.count(F.lit(1)).alias("row_count"))
+
+    def record() -> DataFrame:
+        line = df.sparkSession.range(1).select(F.lit(seen.get["row_count"]).cast("bigint").alias("row_count"))
+        return _access_row(line, who, table, context)
+
+    return rows, record
+
+
 def access_record(spark_df: DataFrame, who: Principal, table: str, context: str) -> DataFrame:
-    """One access-log row with the number of rows seen."""
-    return spark_df.agg(F.count(F.lit(1)).alias("row_count")).select(
+    """One access-log row with the number of rows seen, for rows that are not read otherwise (see ``audited``)."""
+    return _access_row(spark_df.agg(F.count(F.lit(1)).alias("row_count")), who, table, context)
+
+
+def _access_row(counted: DataFrame, who: Principal, table: str, context: str) -> DataFrame:
+    return counted.select(
         F.expr("uuid()").alias("log_id"),
         F.lit(who.user).alias("session_user"),
         F.lit(who.role).alias("session_role"),

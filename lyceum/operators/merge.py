@@ -1,7 +1,7 @@
 """Upserts and slowly changing dimensions over plain tables.
 
 Every function returns the new state of the target.  Write it to a new place (or let
-``sinks.swap`` do so) and never over the files it reads.
+``sinks.replace_table`` do so) and never over the files it reads.
 """
 
 from __future__ import annotations

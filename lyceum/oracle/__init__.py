@@ -4,4 +4,4 @@ from __future__ import annotations
 
 from lyceum.oracle import academics, operations
 
-ORACLE: dict[str, str] = {**academics.SQL, **operations.SQL}
+ORACLE: dict[str, str] = {**academics.SQL, **operations.SQL, "view_scholarship_at_risk": academics.SQL["scholarship_at_risk"]}

@@ -273,3 +273,46 @@ SQL: dict[str, str] = {
     "attendance_alerts": with_(ATT, _WINDOWS)
     + "SELECT window_start, course_id, attendance_rate FROM windows WHERE attendance_rate < 60",
 }
+
+_FACTS = """facts AS (
+  SELECT student_key, course_key, (SELECT min(s_suppkey) FROM supplier WHERE s_acctbal > 0) AS instructor_key, department_key,
+    date_key, status, is_present, is_excused, minutes_late, source_system
+  FROM (SELECT att.* REPLACE (coalesce(minutes_late, 0) AS minutes_late), CAST(c_nationkey AS BIGINT) AS department_key,
+          row_number() OVER (PARTITION BY student_key, course_key, date_key ORDER BY status, coalesce(minutes_late, 0), source_system) AS rn
+        FROM att JOIN customer ON c_custkey = student_key JOIN part ON p_partkey = course_key
+        WHERE isodow(attendance_date) <= 5 AND status IS NOT NULL)
+  WHERE rn = 1)"""
+
+SQL |= {
+    "attendance_stream_json": SQL["attendance_stream"].replace("course_id,", "course_id,", 1),
+    "attendance_stream_alerts": SQL["attendance_alerts"],
+    "csv_round_trip": """SELECT o_orderkey, 'said "' || o_orderpriority || '",' || chr(10) || 'then ' || o_orderstatus AS note,
+      CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS amount,
+      o_orderstatus = 'P' AS is_corrupt FROM orders""",
+    "json_round_trip": """SELECT s_suppkey AS instructor_key, s_name AS instructor_id, CAST(s_nationkey AS BIGINT) AS department_key,
+      s_acctbal > 0 AS is_active FROM supplier""",
+    "clustered_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
+    "staging_reload": """SELECT 'students.csv' AS source_file, TRUE AS is_valid, count(*) AS row_count FROM customer
+      UNION ALL SELECT 'attendance.csv', TRUE, 2 * count(*) FROM events""",
+    "view_attendance_summary": SQL["attendance_summary"],
+    "performance_facts": with_(PERF) + """SELECT p.l_orderkey || '-' || l_linenumber AS enrollment_id, student_key, course_key, instructor_key,
+      department_key, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS enrollment_date_key, academic_year, semester, grade_letter, grade_points,
+      CAST(1 + p_size % 4 AS INTEGER) AS credit_hours, grade_points * (1 + p_size % 4) AS quality_points, attendance_pct, overall_score, is_passing
+      FROM perf p JOIN part ON p_partkey = course_key JOIN orders ON o_orderkey = p.l_orderkey""",
+    "attendance_facts": with_(ATT, _FACTS) + "SELECT * FROM facts",
+    "student_lookup": """SELECT c_custkey AS student_key, upper(c_name) AS student_id, CAST(c_nationkey AS BIGINT) AS department_key
+      FROM customer WHERE upper(c_name) = 'CUSTOMER#000000007'""",
+    "department_scope_rows": "SELECT c_custkey AS student_key, CAST(c_nationkey AS BIGINT) AS department_key FROM customer WHERE c_nationkey = 3",
+    "rls_student_portal": "SELECT c_custkey AS student_key, c_name AS student_id FROM customer WHERE c_name = 'Customer#000000011'",
+    "pii_inventory": """SELECT * FROM (VALUES ('email', 'HIGH'), ('date_of_birth', 'HIGH'), ('first_name', 'MEDIUM'), ('last_name', 'MEDIUM'),
+      ('scholarship_amount', 'HIGH')) AS t(column_name, sensitivity), (SELECT count(*) AS filled FROM customer)""",
+    "access_log": """SELECT 'dean' AS session_user, 'DEPARTMENT_ADMIN' AS session_role, 'DIM_STUDENT' AS table_name,
+      'department grants' AS filter_context, count(*) AS row_count
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')""",
+    "scd2_null_hash": with_(
+        FORMS, _versions("old0", "WHERE enrollment_date < DATE '1999-01-01'"), _versions("new0"),
+        "old AS (SELECT * REPLACE (CASE WHEN student_type <> 'Part-Time' THEN row_hash END AS row_hash) FROM old0)",
+        "new AS (SELECT * REPLACE (CASE WHEN student_type <> 'Part-Time' THEN row_hash END AS row_hash) FROM new0)",
+    )
+    + SQL["scd2_student"][SQL["scd2_student"].index("SELECT old.*"):],
+}

@@ -17,7 +17,7 @@ from lyceum.functions import calendar, text
 from lyceum.operators import cleaning, gpa, keys, merge, quality, ranking
 from lyceum.plans import attendance as att
 from lyceum.sources import readers, sinks
-from lyceum.sources.staging import stage
+from lyceum.sources.staging import scratch_run, stage
 
 log = logging.getLogger(__name__)
 
@@ -72,7 +72,8 @@ def performance_rows(
 
 def default_instructor(instructors: DataFrame) -> int:
     """Smallest active instructor key; reads one row."""
-    return instructors.filter("is_active").agg(F.min("instructor_key")).first()[0] or UNKNOWN_INSTRUCTOR
+    least = instructors.filter("is_active").agg(F.min("instructor_key")).first()[0]
+    return UNKNOWN_INSTRUCTOR if least is None else least
 
 
 def attendance_rows(raw: DataFrame, students: DataFrame, courses: DataFrame, instructor_key: int) -> DataFrame:
@@ -194,8 +195,15 @@ def run(
 
     ``raw`` holds students, courses, instructors, departments, enrollments and attendance.  Each
     table is written once and read back by the steps after it, so no step recomputes another.
-    Returns the row count of every table written.
+    Returns the row count of every table written.  What is staged on the way is removed at the end.
     """
+    with scratch_run(spark):
+        return _run(spark, raw, warehouse, as_of, minimums)
+
+
+def _run(
+    spark: SparkSession, raw: Mapping[str, DataFrame], warehouse: str, as_of: date, minimums: Mapping[str, int] | None
+) -> dict[str, int]:
     least = {"students": 100, "enrollments": 500, "attendance": 1000, **(minimums or {})}
     run_id, started = str(uuid.uuid4()), datetime.now(timezone.utc)
     counts: dict[str, int] = {}

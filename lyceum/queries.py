@@ -7,12 +7,13 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lyceum.functions import text
 from lyceum.operators import cleaning, governance, gpa, keys, merge, quality, ranking
 from lyceum.plans import attendance as att
-from lyceum.plans import courses, departments, loads, overview, risk, students
-from lyceum.sources import campus, date_dim, readers, staging
+from lyceum.plans import courses, departments, loads, overview, risk, students, views
+from lyceum.sources import campus, date_dim, readers, sinks, staging
 from lyceum.streaming import attendance as stream
 
 AS_OF = date(2002, 1, 1)
@@ -710,3 +711,275 @@ def attendance_alerts(spark, sf):
     return _naive(windows.filter("absence_alert")).select("window_start", "course_id", "attendance_rate")
 
 
+
+
+@query
+def attendance_stream_json(spark, sf):
+    """Events as JSON messages, delivered in four stretches of time and decoded by a stream that resumes for each."""
+    rows = stream.current_state(spark, _replayed(spark, sf)[0])
+    return _naive(rows).withColumn("course_id", F.col("course_id").cast("bigint"))
+
+
+@query
+def attendance_stream_alerts(spark, sf):
+    """What the alert output of the same stream says last of each window."""
+    alerts = stream.current_alerts(spark, _replayed(spark, sf)[1])
+    return _naive(alerts).select("window_start", F.col("course_id").cast("bigint").alias("course_id"), "attendance_rate")
+
+
+def _replayed(spark, sf) -> tuple[str, str]:
+    """Window and alert folders of a replay in four deliveries that are cut between windows."""
+    rows = campus.attendance_events(spark, sf)
+    message = F.to_json(
+        F.struct(
+            F.col("student_key").cast("string").alias("student_id"),
+            F.col("course_key").cast("string").alias("course_id"),
+            F.col("attendance_date").cast("string").alias("attendance_date"),
+            "status",
+            "source_system",
+            F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        )
+    )
+    slot = F.floor(F.unix_micros("event_time") / 300_000_000)
+    first, last = rows.agg(F.min(slot), F.max(slot)).first()
+    base = staging.scratch_path(spark, "attendance-json")
+    folders = f"{base}/windows", f"{base}/alerts"
+    cuts = [first + (last - first + 1) * k // 4 for k in range(5)] if first is not None else [0, 0]
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = rows.filter((slot >= low) & (slot < high)).select(F.encode(message, "UTF-8").alias("value"))
+        part.write.parquet(f"{base}/messages/part{k}")
+        source = spark.readStream.schema("value binary").parquet(f"{base}/messages/*")
+        job = stream.start(
+            stream.decode(source), folders[0], f"{base}/checkpoint", alerts_path=folders[1], available_now=True
+        )
+        job.awaitTermination()
+    return folders
+
+
+# --- sources, sinks and loads -------------------------------------------------------------
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Orders written as CSV with quotes, separators and line breaks inside a field and some numbers that are none."""
+    amount = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\nthen '), "o_orderstatus")
+    path = staging.scratch_path(spark, "orders-csv")
+    sinks.write_csv(campus.table(spark, sf, "orders").select("o_orderkey", note.alias("note"), amount.alias("amount")), path)
+    schema = "o_orderkey long, note string, amount double"
+    rows = readers.read_csv(spark, path, T.StructType.fromDDL(schema), multi_line=True, keep_corrupt=True)
+    return rows.select("o_orderkey", "note", "amount", F.col(readers.CORRUPT).isNotNull().alias("is_corrupt"))
+
+
+@query
+def json_round_trip(spark, sf):
+    """Suppliers written as JSON lines and read with a schema."""
+    path = staging.scratch_path(spark, "suppliers-json")
+    sinks.write_table(campus.instructors(spark, sf), path, fmt="json")
+    schema = T.StructType.fromDDL("instructor_key long, instructor_id string, department_key long, is_active boolean")
+    return readers.read_json(spark, path, schema, outer_array=False)
+
+
+@query
+def clustered_table(spark, sf):
+    """Orders appended in two deliveries, laid out by status and sorted within, and read through a catalog-free table."""
+    orders = campus.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    path = staging.scratch_path(spark, "orders-appended")
+    for half in (0, 1):
+        sinks.append_rows(orders.filter(F.col("o_orderkey") % 2 == half), path)
+    target = staging.scratch_path(spark, "orders-clustered")
+    sinks.write_clustered(
+        readers.read_table(spark, path, "parquet"), target, partition_by=["o_orderstatus"], cluster_by=["o_custkey"]
+    )
+    return readers.read_table(spark, target, "parquet").select(*orders.columns)
+
+
+@query
+def staging_reload(spark, sf):
+    """Staging tables after two deliveries: students are replaced, attendance is appended."""
+    folder = staging.scratch_path(spark, "staging")
+    for _ in range(2):
+        sinks.load_staging(campus.students(spark, sf), folder, "students", "students.csv")
+        sinks.load_staging(campus.attendance_events(spark, sf), folder, "attendance", "attendance.csv")
+    tables = [
+        spark.read.parquet(f"{folder}/stg_{name}").groupBy("source_file", "is_valid").agg(F.count(F.lit(1)).alias("row_count"))
+        for name in ("students", "attendance")
+    ]
+    return tables[0].unionByName(tables[1])
+
+
+def _published(spark, sf):
+    return views.publish(
+        campus.semester_gpa_full(spark, sf),
+        _attendance_with_department(spark, sf).drop("academic_year", "semester", "month_name"),
+        campus.students(spark, sf), campus.departments(spark, sf), date_dim.date_dim(spark),
+    )
+
+
+@query
+def view_scholarship_at_risk(spark, sf):
+    _published(spark, sf)
+    return readers.query(spark, f"SELECT * FROM {views.SCHOLARSHIP_AT_RISK}")
+
+
+@query
+def view_attendance_summary(spark, sf):
+    _published(spark, sf)
+    return readers.query(spark, f"SELECT * FROM {views.ATTENDANCE_SUMMARY}")
+
+
+def _raw_enrollments(spark, sf):
+    """Enrollments as extracts bring them: natural keys, raw grades, labels and text dates."""
+    lines, term = campus.enrollment_lines(spark, sf), campus.labelled_terms(spark, sf)
+    people = campus.students(spark, sf).select("student_key", "student_id")
+    teachers = campus.instructors(spark, sf).select("instructor_key", "instructor_id")
+    joined = lines.join(term, lines.l_orderkey == term.o_orderkey).join(people, "student_key").join(teachers, "instructor_key")
+    return joined.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("enrollment_id"), "student_id",
+        F.col("course_key").cast("string").alias("course_id"), "instructor_id", "semester", "academic_year",
+        F.to_date(F.col("enrollment_date_key").cast("string"), "yyyyMMdd").cast("string").alias("enrollment_date"), "grade",
+        "grade_points", "attendance_pct", "assignments_completed", "assignments_total", "midterm_score", "final_score",
+    )
+
+
+@query
+def performance_facts(spark, sf):
+    """Raw enrollments to fact rows: keys of students, courses and instructors, measures and flags."""
+    rows = loads.performance_rows(
+        _raw_enrollments(spark, sf), campus.students(spark, sf), campus.courses(spark, sf), campus.instructors(spark, sf)
+    )
+    return rows.select(
+        "enrollment_id", "student_key", "course_key", "instructor_key", "department_key", "enrollment_date_key", *gpa.PERIOD,
+        "grade_letter", "grade_points", "credit_hours", "quality_points", "attendance_pct", "overall_score", "is_passing",
+    )
+
+
+def _raw_attendance(spark, sf):
+    people = campus.students(spark, sf).select("student_key", "student_id")
+    rows = campus.attendance_events(spark, sf).join(people, "student_key")
+    return rows.select(
+        "student_id", F.col("course_key").cast("string").alias("course_id"),
+        F.col("attendance_date").cast("string").alias("attendance_date"), "status", "source_system", "minutes_late",
+    )
+
+
+@query
+def attendance_facts(spark, sf):
+    """Raw attendance to fact rows: known students and courses on weekdays, one row per student, course and day."""
+    teacher = loads.default_instructor(campus.instructors(spark, sf))
+    return loads.attendance_rows(_raw_attendance(spark, sf), campus.students(spark, sf), campus.courses(spark, sf), teacher)
+
+
+def _delivery(spark, sf, before: str | None) -> dict[str, DataFrame]:
+    """Extracts of one delivery: those up to a date, or all."""
+    forms = campus.registrations(spark, sf)
+    enrollments = _raw_enrollments(spark, sf)
+    teachers = campus.instructors(spark, sf).join(campus.departments(spark, sf), "department_key")
+    owner = campus.departments(spark, sf).select(F.col("department_key"), "department_id")
+    return {
+        "students": forms if before is None else forms.filter(F.col("enrollment_date") < before),
+        "departments": campus.departments(spark, sf).select(F.col("department_key").cast("string").alias("department_id"), "department_name", "college"),
+        "courses": campus.courses(spark, sf).join(owner.drop("department_id"), "department_key").withColumn(
+            "department_id", F.col("department_key").cast("string")
+        ).drop("department_key", "course_key"),
+        "instructors": teachers.withColumn("department_id", F.col("department_key").cast("string")).select("instructor_id", "department_id", "is_active"),
+        "enrollments": enrollments if before is None else enrollments.filter(F.col("enrollment_date") < before),
+        "attendance": _raw_attendance(spark, sf),
+    }
+
+
+def _loaded(spark, sf) -> str:
+    """Warehouse after two deliveries."""
+    folder = staging.scratch_path(spark, "warehouse")
+    least = {"students": 1, "enrollments": 1, "attendance": 1}
+    loads.run(spark, _delivery(spark, sf, FIRST_LOAD_BEFORE), folder, date.fromisoformat(FIRST_LOAD_BEFORE), minimums=least)
+    loads.run(spark, _delivery(spark, sf, None), folder, AS_OF, minimums=least)
+    return folder
+
+
+@query
+def load_two_deliveries(spark, sf):
+    """Rows and keys of every table after two loads into an empty warehouse."""
+    folder = _loaded(spark, sf)
+    student = spark.read.parquet(f"{folder}/dim_student")
+    tables = {
+        "dim_student": (student, "student_key"),
+        "dim_student_current": (student.filter("is_current"), "student_id"),
+        "fact_performance": (spark.read.parquet(f"{folder}/fact_performance"), "enrollment_id"),
+        "fact_attendance": (spark.read.parquet(f"{folder}/fact_attendance"), "course_key"),
+    }
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(key).alias("keys")).withColumn("table_name", F.lit(name))
+        for name, (df, key) in tables.items()
+    ]
+    merged = counted[0]
+    for more in counted[1:]:
+        merged = merged.unionByName(more)
+    return merged
+
+
+# --- governance on rows -------------------------------------------------------------------
+
+
+@query
+def student_lookup(spark, sf):
+    """Point lookup of an id as typed, over ids that are stored in upper case."""
+    stored = campus.students(spark, sf).withColumn("student_id", F.upper("student_id"))
+    return students.by_id(stored, " customer#000000007 ").select("student_key", "student_id", "department_key")
+
+
+@query
+def department_scope_rows(spark, sf):
+    """A department admin asks for department 5 and gets department 3, the one that is theirs."""
+    rows = governance.department_scope(campus.students(spark, sf), who_department=3, asked=5)
+    return rows.select("student_key", "department_key")
+
+
+@query
+def rls_student_portal(spark, sf):
+    """Students in the portal see their own row only."""
+    people = campus.students(spark, sf)
+    accounts = people.select(F.lower("student_id").alias("username"), "student_id")
+    return governance.visible_students(
+        people, governance.Principal("customer#000000011", "STUDENT_PORTAL"), grants=_grants(spark, sf),
+        departments=campus.departments(spark, sf), performance=campus.performance(spark, sf),
+        instructors=campus.instructors(spark, sf), user_map=accounts,
+    ).select("student_key", "student_id")
+
+
+@query
+def pii_inventory(spark, sf):
+    """Tagged columns with their sensitivity and how many rows fill them."""
+    tagged = governance.tag_pii(campus.students(spark, sf))
+    columns = governance.pii_columns(tagged)
+    counts = tagged.agg(*(F.count(c).alias(c) for c in columns))
+    lines = [F.struct(F.lit(c).alias("column_name"), F.lit(level).alias("sensitivity"), F.col(c).alias("filled")) for c, level in columns.items()]
+    return counts.select(F.inline(F.array(*lines)))
+
+
+@query
+def access_log(spark, sf):
+    """What an admin's read of the visible students leaves in the access log, apart from its id and clock."""
+    visible = governance.visible_students(
+        campus.students(spark, sf), ADMIN, grants=_grants(spark, sf), departments=campus.departments(spark, sf),
+        performance=campus.performance(spark, sf), instructors=campus.instructors(spark, sf),
+    )
+    rows, record = governance.audited(visible, ADMIN, "DIM_STUDENT", "department grants")
+    staging.stage(rows, "visible-students")
+    return record().select("session_user", "session_role", "table_name", "filter_context", "row_count")
+
+
+@query
+def scd2_null_hash(spark, sf):
+    """The type-2 merge where part-time forms carry no hash: such rows can neither close nor repeat a version."""
+    forms = campus.registrations(spark, sf)
+    blank = F.when(F.col("student_type") != "Part-Time", F.col("row_hash"))
+    first_load = _versions(forms.filter(F.col("enrollment_date") < FIRST_LOAD_BEFORE)).withColumns(
+        {
+            "row_hash": blank,
+            "effective_date": F.lit(FIRST_LOAD_BEFORE).cast("date"),
+            "expiry_date": F.lit(merge.OPEN_END),
+            "is_current": F.lit(True),
+        }
+    )
+    return merge.scd2(first_load, _versions(forms).withColumn("row_hash", blank), "student_id", AS_OF)

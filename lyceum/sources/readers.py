@@ -9,14 +9,25 @@ from pyspark.sql import types as T
 from lyceum.functions.text import blank_to_null
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+CORRUPT = "corrupt_record"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False, keep_corrupt: bool = False
+) -> DataFrame:
     """Landing CSV: header row, comma, double quote; ``NULL``, ``null`` and empty fields are NULL.
 
     ``path`` may be a file, a folder or a glob.  The schema is given, so no pass is spent on
-    inference, and fields that do not parse become NULL.
+    inference, and fields that do not parse become NULL; ``keep_corrupt`` adds the whole line of such a
+    row in ``corrupt_record``, for the quarantine.  ``multi_line`` reads quoted line breaks; such
+    files are not split between tasks, so leave it off for large files without them.
     """
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     rows = (
         spark.read.schema(schema)
+        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("header", True)
         .option("sep", ",")
         .option("quote", '"')

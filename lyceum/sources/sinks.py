@@ -22,7 +22,7 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 
 def write_csv(df: DataFrame, path: str) -> int:
     rows, seen = counted(df)
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return seen.get["rows"]
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+_RUN: ContextVar[str | None] = ContextVar("scratch_run", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/lyceum/{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_folder(spark) + '/lyceum'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """One folder for everything staged inside, removed at the end, also after an error.
+
+    A result that is still to be read must be written before the run ends.  Interactive use outside a run keeps its
+    staged tables: remove the ``lyceum`` folder below ``spark.checkpoint.dir`` when no session needs it.
+    """
+    outer = _RUN.get()
+    if outer is not None:  # part of a larger run, which removes everything
+        yield outer
+        return
+    folder = f"{shared_folder(spark)}/lyceum/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Five-minute attendance windows per course, as a stream and as its batch twin.
 
-Distinct students are exact.  The state is split by a hash of the student, so a course that
-receives a large share of the events is spread over ``STUDENT_BUCKETS`` state rows per window;
-no student is in two buckets, so the bucket results add up.
+Distinct students are exact: the state has one fixed-width row per window, course and student, so
+a course that receives a large share of the events is spread over all tasks, and readers add up.
 
-Update mode sends a window again whenever it changes.  The sink therefore writes one folder per
-micro-batch (a retried batch overwrites its own folder) and readers keep the last version of
-each state row; nothing already written is rewritten.
+Update mode sends a row again whenever it changes.  The sink therefore writes one partition per
+day of windows and micro-batch (a retried batch overwrites its own, an empty one writes none) and
+readers keep the last version of each state row.  A read from some time on opens the partitions of
+those days only, however old the stream is; ``compact`` rewrites the days that are closed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,16 +21,18 @@ from lyceum.operators.ranking import latest_per_key
 from lyceum.plans import loads
 from lyceum.schemas import ATTENDANCE_EVENT, FACT_ATTENDANCE
 from lyceum.sources.readers import parse_payload
+from lyceum.sources.staging import stage
 
 # Timing of the job and the alert limit.
 WINDOW = "5 minutes"
 WATERMARK = "10 minutes"
 TRIGGER = "30 seconds"
 ALERT_BELOW = 60.0
-STUDENT_BUCKETS = 16
+PARTITIONS = ["window_day", "batch_id"]
 
 _KEYS = ["window_start", "window_end", "course_id"]
-_COUNTS = ["total_events", "present_count", "absent_count", "late_count", "unique_students"]
+_COUNTS = ["total_events", "present_count", "absent_count", "late_count"]
+_STATE = ["window_start", "course_id", "student_id"]
 
 
 def decode(records: DataFrame, schema: T.StructType = ATTENDANCE_EVENT) -> DataFrame:
@@ -53,16 +55,15 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")}).drop("window")
 
 
-def bucket_windows(events: DataFrame, buckets: int = STUDENT_BUCKETS) -> DataFrame:
-    """Streaming aggregation: one row per window, course and student bucket."""
-    bucket = F.pmod(F.xxhash64("student_id"), F.lit(buckets)).cast("int")
-    rows = (
-        events.withWatermark("event_time", WATERMARK)
-        .withColumn("bucket", bucket)
-        .groupBy(F.window("event_time", WINDOW), "course_id", "bucket")
-        .agg(*_status_counts(), F.size(F.collect_set("student_id")).cast("bigint").alias("unique_students"))
-    )
-    return _flat(rows)
+def student_windows(events: DataFrame) -> DataFrame:
+    """Counts per window, course and student, of a table or (behind a watermark) of a stream."""
+    rows = events.withWatermark("event_time", WATERMARK) if events.isStreaming else events
+    return _flat(rows.groupBy(F.window("event_time", WINDOW), "course_id", "student_id").agg(*_status_counts()))
+
+
+def day_of(start: Column) -> Column:
+    """Partition of a window: its day as a number such as 20240102."""
+    return F.date_format(start, "yyyyMMdd").cast("int")
 
 
 def rated(windows: DataFrame, alert_below: float = ALERT_BELOW) -> DataFrame:
@@ -73,45 +74,71 @@ def rated(windows: DataFrame, alert_below: float = ALERT_BELOW) -> DataFrame:
     )
 
 
-def totals(bucket_rows: DataFrame) -> DataFrame:
-    """Bucket rows added up per window and course."""
-    return rated(bucket_rows.groupBy(*_KEYS).agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+def totals(student_rows: DataFrame) -> DataFrame:
+    """Student rows added up per window and course; events without a student are no student."""
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    return rated(student_rows.groupBy(*_KEYS).agg(*sums, F.count("student_id").alias("unique_students")))
 
 
 def batch_windows(events: DataFrame) -> DataFrame:
     """The same result over a finished table."""
-    per_student = events.groupBy(F.window("event_time", WINDOW), "course_id", "student_id").agg(*_status_counts())
-    sums = [F.sum(c).alias(c) for c in _COUNTS[:-1]]
-    rows = _flat(per_student).groupBy(*_KEYS).agg(*sums, F.count("student_id").alias("unique_students"))
-    return rated(rows)
+    return totals(student_windows(events))
 
 
-def current_state(spark: SparkSession, path: str, since: object = None) -> DataFrame:
-    """Latest version of every window, optionally only windows from ``since`` on."""
+def state_rows(spark: SparkSession, path: str, since: object = None) -> DataFrame:
+    """Latest version of every state row, optionally only of windows from ``since`` on."""
     rows = spark.read.parquet(path)
     if since is not None:
-        rows = rows.filter(F.col("window_start") >= F.lit(since))
-    return totals(latest_per_key(rows, ["window_start", "course_id", "bucket"], [F.col("batch_id").desc()]))
+        start = F.lit(since).cast("timestamp")
+        rows = rows.filter((F.col("window_day") >= day_of(start)) & (F.col("window_start") >= start))
+    return latest_per_key(rows, _STATE, [F.col("batch_id").desc()])
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the latest state rows to a new folder in the layout of the sink."""
-    rows = spark.read.parquet(path)
-    latest_per_key(rows, ["window_start", "course_id", "bucket"], [F.col("batch_id").desc()]).write.partitionBy(
-        "batch_id"
-    ).parquet(target)
+def current_state(spark: SparkSession, path: str, since: object = None) -> DataFrame:
+    """Latest version of every window, optionally only windows from ``since`` on."""
+    return totals(state_rows(spark, path, since))
+
+
+def compact(spark: SparkSession, path: str, before: object) -> int:
+    """Rewrite each day of windows before the day ``before`` (days that no batch writes to any more) as one version.
+
+    The rows are staged first and a day is replaced as a whole, so a reader sees the old or the new files.
+    Returns the number of days rewritten.
+    """
+    closed = spark.read.parquet(path).filter(F.col("window_day") < day_of(F.lit(before).cast("timestamp")))
+    several = closed.select(*PARTITIONS).distinct().groupBy("window_day").count().filter("count > 1")
+    days = [r.window_day for r in several.collect()]
+    if not days:
+        return 0
+    kept = stage(latest_per_key(closed.filter(F.col("window_day").isin(days)), _STATE, [F.col("batch_id").desc()]), "compacted")
+    for day in days:  # one write per closed day
+        rows = kept.filter(F.col("window_day") == day).drop("window_day")
+        last = rows.agg(F.max("batch_id")).first()[0]
+        rows.withColumn("batch_id", F.lit(last)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            "batch_id"
+        ).parquet(f"{path}/window_day={day}")
+    return len(days)
 
 
 def batch_sink(path: str, alerts_path: str | None = None):
-    """``foreachBatch`` function: one folder per micro-batch, then alerts for the windows it touched."""
+    """``foreachBatch`` function: the batch's state rows by day, then alerts for the windows it touched."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = f"{path}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(folder)
-        written = spark.read.schema(batch.schema).parquet(folder)
+        keyed = batch.withColumns({"window_day": day_of(F.col("window_start")), "batch_id": F.lit(batch_id).cast("bigint")})
+        (
+            # Few files per day; a day that holds most rows is split between tasks.
+            keyed.hint("rebalance", "window_day")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PARTITIONS)
+            .parquet(path)
+        )
+        if alerts_path is None:
+            return
+        written = spark.read.schema(keyed.schema).parquet(path).filter(F.col("batch_id") == batch_id)
         first = written.agg(F.min("window_start")).first()[0]
-        if first is None or alerts_path is None:
+        if first is None:
             return
         touched = written.select("window_start", "course_id").distinct()
         state = current_state(spark, path, since=first).join(touched, ["window_start", "course_id"], "left_semi")
@@ -120,6 +147,11 @@ def batch_sink(path: str, alerts_path: str | None = None):
     return write
 
 
+def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
+    """The last word of the alert output on each window: its latest row."""
+    return latest_per_key(spark.read.parquet(alerts_path), ["window_start", "course_id"], [F.col("batch_id").desc()])
+
+
 def start(
     events: DataFrame,
     path: str,
@@ -127,11 +159,10 @@ def start(
     *,
     alerts_path: str | None = None,
     available_now: bool = False,
-    buckets: int = STUDENT_BUCKETS,
 ) -> StreamingQuery:
     """Run the job: every 30 seconds, or over everything available and then stop."""
     writer = (
-        bucket_windows(events, buckets)
+        student_windows(events)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(batch_sink(path, alerts_path))
@@ -143,7 +174,7 @@ def start(
 def start_console(events: DataFrame, checkpoint: str) -> StreamingQuery:
     """Monitoring output on the console in update mode."""
     return (
-        bucket_windows(events)
+        student_windows(events)
         .writeStream.format("console")
         .outputMode("update")
         .option("checkpointLocation", checkpoint)

@@ -67,7 +67,7 @@ def main() -> None:
     from lyceum.session import build_session
 
     spark = build_session(
-        "oracle-check", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
+        "oracle-check", os.environ.get("ORACLE_MASTER", "local[8]"), spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
     )
     spark.sparkContext.setLogLevel("ERROR")
