@@ -207,6 +207,8 @@ def _run(
     least = {"students": 100, "enrollments": 500, "attendance": 1000, **(minimums or {})}
     run_id, started = str(uuid.uuid4()), datetime.now(timezone.utc)
     counts: dict[str, int] = {}
+    # The large extracts are parsed once; checks, staging tables and facts read the copy.
+    raw = {**raw, **{k: stage(raw[k], f"landed-{k}") for k in ("enrollments", "attendance")}}
 
     order = [c for c in ("arrival", "enrollment_date", "email") if c in raw["students"].columns]
     checked = stage(cleaning.check_students(raw["students"], order, as_of), "checked-students")
