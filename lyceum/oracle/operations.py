@@ -283,7 +283,28 @@ _FACTS = """facts AS (
         WHERE isodow(attendance_date) <= 5 AND status IS NOT NULL)
   WHERE rn = 1)"""
 
+_FIRST = "DATE '2001-07-01'"
+_CHECKED_FIRST = (
+    _CHECKED.replace("latest", "latest1").replace("checked", "checked1").replace("FROM forms", f"FROM forms WHERE enrollment_date < {_FIRST}")
+    .replace("DATE '2002-01-01'", _FIRST).replace("> 2003", "> 2002")
+)
+_LOADED = with_(
+    PERF, ATT, FORMS, _CHECKED, _CHECKED_FIRST, f"v1 AS ({_CLEAN.replace('FROM checked ', 'FROM checked1 ')})", f"v2 AS ({_CLEAN})",
+    "fresh AS (SELECT * FROM v2 WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.student_id = v2.student_id AND v1.row_hash = v2.row_hash))",
+    "ids AS (SELECT student_id FROM v1 UNION SELECT student_id FROM v2)",
+    "known AS (SELECT p_partkey FROM part JOIN nation ON n_nationkey = CAST(split_part(p_brand, '#', 2) AS BIGINT) - 1)",
+    """met AS (SELECT DISTINCT c_name AS student_id, course_key, date_key FROM att JOIN customer ON c_custkey = student_key
+      JOIN known ON p_partkey = course_key WHERE isodow(attendance_date) <= 5 AND status IS NOT NULL)""",
+    "present AS (SELECT met.* FROM met JOIN v1 USING (student_id) UNION ALL SELECT met.* FROM met JOIN fresh USING (student_id))",
+)
+
 SQL |= {
+    "load_two_deliveries": _LOADED + """SELECT 'dim_student' AS table_name, count(*) AS row_count, count(*) AS keys
+        FROM (SELECT student_id FROM v1 UNION ALL SELECT student_id FROM fresh)
+      UNION ALL SELECT 'dim_student_current', count(*), count(*) FROM ids
+      UNION ALL SELECT 'fact_performance', count(DISTINCT l_orderkey || '-' || l_linenumber), count(DISTINCT l_orderkey || '-' || l_linenumber) FROM perf JOIN customer ON c_custkey = student_key JOIN ids ON c_name = ids.student_id
+        JOIN known ON p_partkey = course_key
+      UNION ALL SELECT 'fact_attendance', count(*), count(DISTINCT course_key) FROM present""",
     "attendance_stream_json": SQL["attendance_stream"].replace("course_id,", "course_id,", 1),
     "attendance_stream_alerts": SQL["attendance_alerts"],
     "csv_round_trip": """SELECT o_orderkey, 'said "' || o_orderpriority || '",' || chr(10) || 'then ' || o_orderstatus AS note,
