@@ -194,7 +194,7 @@ def train(x: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings) ->
     rows = (
         x.filter(~held_out()).join(votes(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ).select("x", "y").toArrow()
-    table = np.asarray(rows["x"].combine_chunks().flatten(), float).reshape(len(rows), -1)
+    table = np.asarray(rows["x"].combine_chunks().flatten(), float).reshape(len(rows), len(FEATURES))
     return fit(table, np.asarray(rows["y"], float), **settings)
 
 
@@ -206,7 +206,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(*sent.value)
         for batch in batches:
-            table = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
+            table = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, len(FEATURES))
             p = predict(model, table) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
