@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyceum.llm.tables import release, sized, small_batches
@@ -40,6 +40,7 @@ KEY = 40
 PERIOD, COVER = 31, [1, 5, 11, 24, 25, 27]
 BLOCK_BYTES = 2 << 20
 BUCKET = 10_000
+_BITS = 7
 
 
 def _raw(text: str | None) -> bytes:
@@ -83,17 +84,30 @@ def anchors(texts: list[bytes], length: int = LENGTH, key: int = KEY) -> dict[st
 
 
 def _anchor_rows(docs: DataFrame, only_bucket: bool, length: int, key: int) -> DataFrame:
-    names = ["h"] if only_bucket else ["h", "x", "d", "p", "s", "e"]
-    kinds = {"h": "long", "x": "long", "d": "long", "p": "int", "s": "int", "e": "int"}
+    """Bucket ``h`` of each anchor, and unless only that is asked for its context ``x``, document ``d`` and place ``l``:
+    one number with ``p`` in front, the starts before it and their count less one in ``_BITS`` bits each."""
+    names = ["h"] if only_bucket else ["h", "x", "d", "l"]
+    if length - key >= 1 << _BITS:
+        raise ValueError("a window must hold fewer starts than 2 ** _BITS")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 found = anchors([_raw(t) for t in texts], length, key)
                 found["d"] = part.column("doc_id").to_numpy(False)[found["doc"]]
-                yield pa.RecordBatch.from_arrays([pa.array(found[n].astype(np.int64 if kinds[n] == "long" else np.int32)) for n in names], names)
+                found["l"] = (found["p"] << 2 * _BITS) | (found["p"] - found["s"] << _BITS) | (found["e"] - found["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[n].astype(np.int64)) for n in names], names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _first_start(place: str) -> Column:
+    mask = F.lit((1 << _BITS) - 1)
+    return (F.shiftright(place, 2 * _BITS) - F.shiftright(place, _BITS).bitwiseAND(mask)).cast("int")
+
+
+def _last_start(place: str) -> Column:
+    return (_first_start(place) + F.col(place).bitwiseAND(F.lit((1 << _BITS) - 1))).cast("int")
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -211,8 +225,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``h, n, d, s, context`` with the bytes of each wanted ``h, n, d, s, e``; staged."""
     lists = stage(wanted.groupBy(F.col("d").alias("doc")).agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("l")), "wanted-contexts")
-    row = max(64, 40 * (wanted.count() // max(1, lists.count())))
-    joined = docs.join(sized(lists, row), docs["doc_id"] == lists["doc"]).select("doc", "text", "l")
+    joined = docs.join(lists, docs["doc_id"] == lists["doc"]).select("doc", "text", "l")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,13 +271,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, key: int = KEY, bucket: int
     docs = small_batches(docs.filter("doc_id is not null").select("doc_id", "text"))
     twice = stage(_anchor_rows(docs, True, length, key).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared-buckets")
     release(spark)
-    places = stage(_anchor_rows(docs, False, length, key).join(sized(twice, 16), "h"), "shared-anchors")
+    places = stage(_anchor_rows(docs, False, length, key).join(twice, "h"), "shared-anchors")
     release(spark)
-    context = stage(places.groupBy("h", "x").agg(F.min(F.struct("d", "p", "s", "e")).alias("f"), F.count("*").alias("m")), "distinct-contexts")
-    again = places.join(context.filter("m > 1").select("h", "x", F.col("f.d").alias("fd"), F.col("f.p").alias("fp")), ["h", "x"])
-    copies = stage(again.filter("d <> fd or p <> fp").select("d", F.col("s").alias("a"), (F.col("e") + length).alias("b")), "copied-ranges")
+    context = stage(places.groupBy("h", "x").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("m")), "distinct-contexts")
+    again = places.join(context.filter("m > 1").select("h", "x", F.col("f.d").alias("fd"), F.col("f.l").alias("fl")), ["h", "x"])
+    copies = stage(
+        again.filter("d <> fd or l <> fl").select("d", _first_start("l").alias("a"), (_last_start("l") + length).alias("b")), "copied-ranges"
+    )
     crowded = context.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = stage(context.join(crowded, "h").select("h", "n", "f.d", "f.s", "f.e"), "crowded-contexts")
+    chosen = context.join(crowded, "h").select("h", "n", "f.d", "f.l")
+    wanted = stage(chosen.select("h", "n", "d", _first_start("l").alias("s"), _last_start("l").alias("e")), "crowded-contexts")
     release(spark)
     texts = _contexts(docs, wanted, length)
     small = texts.filter(F.col("n") <= bucket)
