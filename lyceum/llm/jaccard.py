@@ -195,7 +195,8 @@ def near_classes(
     spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = spread.select("doc_id", "text", "grp", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
     found = stage(
-        units.groupBy("grp", "x", "y").applyInPandas(lambda pdf: _verify(pdf, n, threshold), "a long, b long, links long"),
+        # Dealt anew: the join's partitioning by group would keep all blocks of a large group in one task.
+        units.repartition("grp", "x", "y").groupBy("grp", "x", "y").applyInPandas(lambda pdf: _verify(pdf, n, threshold), "a long, b long, links long"),
         "verified-links",
     )
     release(spark)
