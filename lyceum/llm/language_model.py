@@ -43,7 +43,11 @@ TRAIN_ONE_IN = 8
 ROUNDS = 2
 WINDOW = 16
 BATCH = 96
+#: Training texts that are sorted by length together, so that a batch has texts of like length.
+POOL = 2_048
 RATE = 0.02
+#: Tokens that are scored at a time, unless one batch of texts has more.
+SCORED_TOKENS = 1_500_000
 END = b""  # no word is empty
 OTHER_SLOT, END_SLOT = 0, 1
 FLUSH = 200_000
@@ -133,7 +137,7 @@ def initial(vocab: Vocabulary, seed: int = 5) -> Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _step(model: Model, slot: np.ndarray, h: np.ndarray) -> tuple:
@@ -181,6 +185,34 @@ def log_probability(model: Model, h: np.ndarray, slot: np.ndarray, grads: list |
     return out, back
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials down each column; ``x`` is used up."""
+    top = x.max(0)
+    x -= top
+    np.exp(x, out=x)
+    return top + np.log(x.sum(0))
+
+
+def log_scores(model: Model, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """``log_probability`` without gradients: words down, tokens across, so that every reduction runs over whole rows."""
+    order = np.argsort(slot // PER_CLASS, kind="stable")
+    own_class, place = slot[order] // PER_CLASS, slot[order] % PER_CLASS
+    state = np.ascontiguousarray(h[order].T)
+    token = np.arange(len(slot))
+    x = model.to_class.T @ state + model.class_bias[:, None]
+    logs = x[own_class, token].astype(np.float64)
+    logs -= _log_sum(x)
+    cut = np.searchsorted(own_class, np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cut)):
+        a, b = cut[c], cut[c + 1]
+        x = model.to_word[c].T @ state[:, a:b] + model.word_bias[c][:, None]
+        logs[a:b] += x[place[a:b], token[: b - a]]
+        logs[a:b] -= _log_sum(x)
+    out = np.empty(len(slot))
+    out[order] = logs
+    return out
+
+
 def _windows(sequences: list[np.ndarray], batch: int, window: int) -> Iterator[tuple]:
     """Groups of texts of like length, longest first: ``(rows, slots, live)`` window by window.  ``slots`` is rows x (window + 1) with the
     token read before each one scored; ``live`` the number of tokens each row has in the window."""
@@ -197,7 +229,7 @@ def _windows(sequences: list[np.ndarray], batch: int, window: int) -> Iterator[t
             yield start, rows[:going], slots[:going, start : start + window + 1], np.minimum(size[:going] - start, window)
 
 
-def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 512, window: int = 32) -> np.ndarray:
+def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 2048, window: int = 32) -> np.ndarray:
     """Natural log-probability of each whole sequence of slots."""
     out = np.zeros(len(sequences))
     h = np.zeros((0, HIDDEN), np.float32)
@@ -208,7 +240,7 @@ def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 512, win
             h = _step(model, slots[:, t], h)[0]
             states[t] = h
         inside = np.arange(int(live[0]))[:, None] < live
-        logs, _ = log_probability(model, states[inside], slots[:, 1 : int(live[0]) + 1].T[inside])
+        logs = log_scores(model, states[inside], slots[:, 1 : int(live[0]) + 1].T[inside])
         out += np.bincount(np.broadcast_to(rows, inside.shape)[inside], logs, len(out))
     return out
 
@@ -306,7 +338,7 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = TRAIN_ONE_IN, rounds
             for batch in batches:
                 for _, texts in text_slices(batch):
                     waiting.extend(to_slots(tokens(text)) for text in texts)
-                    if len(waiting) >= 4 * BATCH:
+                    if len(waiting) >= POOL:
                         trainer.learn(waiting)
                         waiting = []
             if waiting:
@@ -353,10 +385,23 @@ def score(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, kno
         slot_of = np.array([table.get(w, OTHER_SLOT) for w in words] + [OTHER_SLOT], np.int32)
         log_count = np.log10(np.append(known_counts, 0) + 1.0)  # the last for words that are not here
         log_other = np.where(slot_of == OTHER_SLOT, log_count, 0.0)
+        names = ["doc_id", "n_tokens", "n_known", "base", "other", "n_other", "rest"]
+        held: dict[str, list] = {k: [] for k in names}
+        sequences: list[np.ndarray] = []
+
+        def scored() -> pa.RecordBatch:
+            rest = pa.array(held["rest"], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
+            columns = [pa.array(held["doc_id"], pa.int64()), *(pa.array(held[k]) for k in names[1:-1]), rest]
+            columns.append(pa.array(score_texts(own, sequences) / np.log(10)))
+            for values in held.values():
+                values.clear()
+            sequences.clear()
+            return pa.RecordBatch.from_arrays(columns, [*names, "model"])
+
+        # Texts of several batches are scored together: a step then moves more of them at once.
         for batch in batches:
             for part, texts in text_slices(batch, limit=2 << 20):
-                out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "other", "n_other", "rest")}
-                sequences = []
+                held["doc_id"].extend(part.column("doc_id").to_pylist())
                 for text in texts:
                     words_ = tokens(text)
                     at = np.fromiter((number.get(w, -1) for w in words_), np.int64, len(words_))
@@ -364,21 +409,19 @@ def score(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, kno
                     if not len(words):
                         slot[-1] = END_SLOT
                     sequences.append(slot)
-                    out["n_tokens"].append(len(at))
-                    out["n_known"].append(int((at >= 0).sum()))
-                    out["base"].append(float(log_count[at].sum()))
-                    out["other"].append(float(log_other[at].sum()))
-                    out["n_other"].append(int((slot == OTHER_SLOT).sum()))
+                    held["n_tokens"].append(len(at))
+                    held["n_known"].append(int((at >= 0).sum()))
+                    held["base"].append(float(log_count[at].sum()))
+                    held["other"].append(float(log_other[at].sum()))
+                    held["n_other"].append(int((slot == OTHER_SLOT).sum()))
                     rest = Counter(words_[i] for i in np.flatnonzero(at < 0))
-                    out["rest"].append([{"w": w, "n": n} for w, n in rest.items() if w != END])
-                model_log = score_texts(own, sequences) / np.log(10)
-                kinds = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(out[k]) for k in ("n_tokens", "n_known", "base", "other", "n_other")), pa.array(model_log), pa.array(out["rest"], kinds)],
-                    ["doc_id", "n_tokens", "n_known", "base", "other", "n_other", "model", "rest"],
-                )
+                    held["rest"].append([{"w": w, "n": n} for w, n in rest.items() if w != END])
+                if sum(held["n_tokens"]) >= SCORED_TOKENS:
+                    yield scored()
+        if sequences:
+            yield scored()
 
-    kind = "doc_id long, n_tokens long, n_known long, base double, other double, n_other long, model double, rest array<struct<w: binary, n: long>>"
+    kind = "doc_id long, n_tokens long, n_known long, base double, other double, n_other long, rest array<struct<w: binary, n: long>>, model double"
     partial = stage(docs.mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "lm-partial")
     release(spark)
     rest = partial.select("rid", F.inline("rest")).join(counts, "w").groupBy("rid")
