@@ -74,8 +74,8 @@ def test_department_pass_counts(spark, performance):
     names = spark.createDataFrame([(10, "CS", "Eng"), (20, "BA", "Biz")], "department_key long, department_name string, college string")
     rows = performance.withColumn("grade_letter", F.when(F.col("grade_points") == 0, "F").otherwise("B"))
     out = {r["department_key"]: r for r in departments.metrics(rows, names).filter("semester = 'Fall 2024'").collect()}
-    # The withdrawn and the audited row are not part of the metrics.
-    assert (out[10]["courses_taken"], out[10]["courses_passed"], out[10]["enrolled_students"]) == (4, 4, 2)
+    # The withdrawn row is not part of the metrics; the audited one is taken but not passed.
+    assert (out[10]["courses_taken"], out[10]["courses_passed"], out[10]["enrolled_students"]) == (5, 4, 2)
     assert (out[20]["fail_count"], out[20]["fail_rate"], out[20]["median_gpa"]) == (1, 33.33, 2.3)
     assert set(out) == {10, 20}
 
