@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -120,11 +120,17 @@ def touched_days(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.filter(F.col("date_key").isin(days)).select(*schemas.FACT_ATTENDANCE.names)
 
 
+def _among(column: str, values: list) -> Column:
+    """``column`` is one of ``values``.  A missing or empty value stands in the partition of NULL."""
+    same = F.coalesce(F.col(column).isin([v for v in values if v is not None]), F.lit(False))
+    return same | F.col(column).isNull() if None in values or "" in values else same
+
+
 def touched_semesters(stored: DataFrame, touched: DataFrame) -> DataFrame:
     """Stored rows of the semesters in ``touched`` (at most one row per partition), as literals too."""
     names = [r[0] for r in touched.select("semester").distinct().collect()]
     years = [r[0] for r in touched.select("academic_year").distinct().collect()]
-    chosen = stored.filter(F.col("semester").isin(names) & F.col("academic_year").isin(years))
+    chosen = stored.filter(_among("semester", names) & _among("academic_year", years))
     return chosen.select(*schemas.FACT_PERFORMANCE.names)
 
 
@@ -150,7 +156,9 @@ def upsert_performance_table(
     parts = [df.select(*FACT_PARTITIONS).distinct() for df in (known, new, dated(days))]
     touched = stage(parts[0].union(parts[1]).union(parts[2]).distinct(), "semesters-touched")
     current = touched_semesters(stored, touched)
-    recorded = dated(attendance).join(touched, FACT_PARTITIONS, "left_semi")
+    days_of, semesters = dated(attendance).alias("a"), touched.alias("s")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FACT_PARTITIONS]
+    recorded = days_of.join(semesters, same, "left_semi")
     merged = backfill_attendance(merge_performance(current, new), recorded)
     sinks.overwrite_partitions(merged, path, FACT_PARTITIONS)
 

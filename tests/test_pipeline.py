@@ -179,6 +179,21 @@ def test_an_enrollment_stays_in_the_semester_it_was_stored_in(spark, tmp_path):
     assert [(r["enrollment_id"], r["semester"], r["grade_letter"]) for r in stored] == [("E1", "Fall 2024", "B")]
 
 
+@pytest.mark.parametrize("semester, year", [(None, "2024-2025"), ("Fall 2024", None), (None, None), ("", "2024-2025")])
+def test_facts_without_a_semester_outlast_the_next_delivery(spark, tmp_path, semester, year):
+    path = str(tmp_path / "fact")
+
+    def facts(*ids):
+        rows = [dict(enrollment_id=i, student_key=1, course_key=1, academic_year=year, semester=semester, row_hash="x") for i in ids]
+        return spark.createDataFrame([[r.get(n) for n in schemas.FACT_PERFORMANCE.names] for r in rows], schemas.FACT_PERFORMANCE)
+
+    none = spark.createDataFrame([], schemas.FACT_ATTENDANCE)
+    for ids in (("E1", "E2"), ("E2", "E3")):
+        loads.upsert_performance_table(spark, path, facts(*ids), none, none.select("date_key"))
+    stored = loads.existing(spark, path, schemas.FACT_PERFORMANCE).collect()
+    assert sorted(r["enrollment_id"] for r in stored) == ["E1", "E2", "E3"]
+
+
 def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
     assert loads.existing(spark, str(tmp_path / "none"), schemas.FACT_ATTENDANCE).isEmpty()
     with pytest.raises(Exception):
