@@ -6,7 +6,8 @@
    the counts behind the slot, with one count added to each and one for all unknown words; all probabilities add up to 1.
 3. A gated recurrent unit is trained by backpropagation through time, cut off after a window while the state goes on.
    Tasks train copies of one initial model on their own training documents; copies are averaged in a tree of
-   aggregations, weighted by tokens, and that is done ``ROUNDS`` times.  The initial output biases are the counts, so an
+   aggregations, weighted by tokens, and that is done ``ROUNDS`` times.  Every training document is learnt from once, whole,
+   in one of the rounds.  The initial output biases are the counts, so an
    untrained model is a smoothed unigram model.
 4. Every text is scored whole; its state goes from window to window.  Counts of the ``KNOWN`` most frequent words go with the
    tasks; other words, each of them rare, meet their counts in a shuffled join.
@@ -18,7 +19,7 @@ unknown words and a model without training; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,13 +39,12 @@ SLOTS = CLASSES * PER_CLASS
 HIDDEN = 16
 #: Words whose counts are sent with the tasks; the others are joined.
 KNOWN = 50_000
-#: One in so many training documents (by hash) also trains the recurrent weights: a fixed share, so it grows with the corpus.
-TRAIN_ONE_IN = 8
 ROUNDS = 2
 WINDOW = 16
-BATCH = 96
-#: Training texts that are sorted by length together, so that a batch has texts of like length.
-POOL = 2_048
+#: Texts that are learnt side by side: at first, at most, and the tokens after which one more is.
+FIRST_LANES, LANES, LANE_TOKENS = 96, 512, 4_096
+#: Windows that are joined when few texts are left.
+WIDEST = 8
 RATE = 0.02
 #: Tokens that are scored at a time, unless one batch of texts has more.
 SCORED_TOKENS = 1_500_000
@@ -140,49 +140,58 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _step(model: Model, slot: np.ndarray, h: np.ndarray) -> tuple:
-    """New state after reading ``slot``, and what its gradient needs."""
+def _step(model: Model, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """New state after reading ``slot``."""
     n = HIDDEN
     given, own = model.embed[slot] + model.bias, h @ model.recur
     gates = _sigmoid(given[:, : 2 * n] + own[:, : 2 * n])
     update, reset = gates[:, :n], gates[:, n:]
     fresh = np.tanh(given[:, 2 * n :] + reset * own[:, 2 * n :])
-    return h + update * (fresh - h), (update, reset, fresh, own[:, 2 * n :], h)
+    return h + update * (fresh - h)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities down each column and their logs; ``x`` is used up."""
+    x -= x.max(0)
+    p = np.exp(x)
+    total = p.sum(0)
+    x -= np.log(total)
+    p /= total
+    return p, x
 
 
 def log_probability(model: Model, h: np.ndarray, slot: np.ndarray, grads: list | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each slot after state ``h``; with ``grads`` also adds weight gradients and returns that of ``h``."""
-    own_class, place = slot // PER_CLASS, slot % PER_CLASS
-    row = np.arange(len(slot))
-    by_class = _log_softmax(h @ model.to_class + model.class_bias)
-    out = by_class[row, own_class].astype(np.float64)
+    """Natural log-probability of each slot after state ``h``; with ``grads`` also adds weight gradients and returns that of ``h``.
+    Words down, tokens across, so that every reduction runs over whole rows."""
+    order = np.argsort(slot // PER_CLASS, kind="stable")
+    own_class, place = slot[order] // PER_CLASS, slot[order] % PER_CLASS
+    state = np.ascontiguousarray(h[order].T)
+    token = np.arange(len(slot))
+    d, logs = _softmax(model.to_class.T @ state + model.class_bias[:, None])
+    out = np.empty(len(slot))
+    sums = logs[own_class, token].astype(np.float64)
     back = None
     if grads is not None:
-        d = np.exp(by_class)
-        d[row, own_class] -= 1
-        grads[3] += h.T @ d
-        grads[4] += d.sum(0)
-        back = d @ model.to_class.T
-    order = np.argsort(own_class, kind="stable")
-    cut = np.searchsorted(own_class[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cut[c] : cut[c + 1]]
-        if not len(at):
-            continue
-        inside = _log_softmax(h[at] @ model.to_word[c] + model.word_bias[c])
-        out[at] += inside[np.arange(len(at)), place[at]]
+        d[own_class, token] -= 1
+        grads[3] += state @ d.T
+        grads[4] += d.sum(1)
+        back = model.to_class @ d
+    cut = np.searchsorted(own_class, np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cut)):
+        a, b = cut[c], cut[c + 1]
+        d, logs = _softmax(model.to_word[c].T @ state[:, a:b] + model.word_bias[c][:, None])
+        sums[a:b] += logs[place[a:b], token[: b - a]]
         if grads is not None:
-            d = np.exp(inside)
-            d[np.arange(len(at)), place[at]] -= 1
-            grads[5][c] += h[at].T @ d
-            grads[6][c] += d.sum(0)
-            back[at] += d @ model.to_word[c].T
-    return out, back
+            d[place[a:b], token[: b - a]] -= 1
+            grads[5][c] += state[:, a:b] @ d.T
+            grads[6][c] += d.sum(1)
+            back[:, a:b] += model.to_word[c] @ d
+    out[order] = sums
+    if back is None:
+        return out, None
+    d_h = np.empty_like(h)
+    d_h[order] = back.T
+    return out, d_h
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -237,7 +246,7 @@ def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 2048, wi
         h = np.zeros((len(rows), HIDDEN), np.float32) if start == 0 else h[: len(rows)]
         states = np.empty((int(live[0]), len(rows), HIDDEN), np.float32)
         for t in range(int(live[0])):
-            h = _step(model, slots[:, t], h)[0]
+            h = _step(model, slots[:, t], h)
             states[t] = h
         inside = np.arange(int(live[0]))[:, None] < live
         logs = log_scores(model, states[inside], slots[:, 1 : int(live[0]) + 1].T[inside])
@@ -246,44 +255,87 @@ def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 2048, wi
 
 
 class Trainer:
-    """Adam steps over windows of texts; the state is carried, its gradient is cut at the window's start."""
+    """Adam steps over windows of lanes.  A lane reads whole texts one after another: the state is carried through a text and
+    starts from zero with the next one; its gradient is cut at the window's start.  Lanes are added as tokens are learnt."""
 
     def __init__(self, model: Model):
         self.model = model
         self.first, self.second = ([np.zeros_like(p) for p in model] for _ in range(2))
         self.steps = self.tokens = 0
-
-    def learn(self, sequences: list[np.ndarray]) -> None:
-        h = None
-        for start, rows, slots, live in _windows(sequences, BATCH, WINDOW):
-            h = np.zeros((len(rows), HIDDEN), np.float32) if start == 0 else h[: len(rows)]
-            h = self._window(h, slots, live)
-
-    def _window(self, h: np.ndarray, slots: np.ndarray, live: np.ndarray) -> np.ndarray:
-        model, n, span = self.model, HIDDEN, int(live[0])
+        self.waiting: deque[np.ndarray] = deque()
+        self.lanes: list[tuple[np.ndarray, int]] = []  # the text that each lane reads, and how far
+        self.h = np.zeros((0, HIDDEN), np.float32)
+
+    def learn(self, sequences: list[np.ndarray], last: bool = True) -> None:
+        """Learns from every token of the texts; without ``last``, texts that are begun or wait go on with the next call."""
+        self.waiting.extend(sorted(sequences, key=len, reverse=True))
+        while len(self.waiting) > LANES or (last and (self.waiting or self.lanes)):
+            self._advance()
+
+    def _advance(self) -> None:
+        """One window of every lane; a lane whose text ends in it begins a text that waits."""
+        wanted = min(max(FIRST_LANES, self.tokens // LANE_TOKENS), LANES)
+        fresh = [(self.waiting.popleft(), 0) for _ in range(min(wanted - len(self.lanes), len(self.waiting)))]
+        h = np.concatenate([self.h, np.zeros((len(fresh), HIDDEN), np.float32)])
+        window = WINDOW * min(max(wanted // max(len(h), 1), 1), WIDEST)  # few lanes read further at a time
+        slots = np.full((len(h), window + 1), END_SLOT, np.int32)
+        starts = np.zeros((len(h), window), bool)
+        live = np.zeros(len(h), np.int64)
+        going, lanes = [], []
+        for k, (text, at) in enumerate(self.lanes + fresh):
+            slots[k, 0] = text[at - 1] if at else END_SLOT
+            n = 0
+            while n < window:
+                if at == len(text):
+                    if not self.waiting:
+                        break
+                    text, at = self.waiting.popleft(), 0
+                if at == 0:
+                    starts[k, n] = True
+                took = text[at : at + window - n]
+                slots[k, n + 1 : n + 1 + len(took)] = took
+                n, at = n + len(took), at + len(took)
+            live[k] = n
+            if at == len(text) and self.waiting:
+                text, at = self.waiting.popleft(), 0
+            if at < len(text):
+                going.append(k)
+                lanes.append((text, at))
+        self.lanes, self.h = lanes, self._window(h, slots, live, starts)[going]
+
+    def _window(self, h: np.ndarray, slots: np.ndarray, live: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        model, n, span = self.model, HIDDEN, int(live.max())
         grads = [np.zeros_like(p) for p in model]
-        kept, states = [], np.empty((span, len(h), n), np.float32)
+        going = (~starts[:, :span].T[:, :, None]).astype(h.dtype)
+        given = model.embed[slots[:, :span].T] + model.bias
+        kind = np.result_type(given, h)
+        gates = np.empty((span, len(h), 2 * n), kind)
+        fresh, own, before, states = (np.empty((span, len(h), n), kind) for _ in range(4))
         for t in range(span):
-            h, parts = _step(model, slots[:, t], h)
-            states[t] = h
-            kept.append(parts)
+            h = np.multiply(h, going[t], out=before[t])
+            moved = h @ model.recur
+            own[t] = moved[:, 2 * n :]
+            gates[t] = _sigmoid(given[t, :, : 2 * n] + moved[:, : 2 * n])
+            np.tanh(given[t, :, 2 * n :] + gates[t, :, n:] * own[t], out=fresh[t])
+            h = np.add(h, gates[t, :, :n] * (fresh[t] - h), out=states[t])
         inside = np.arange(span)[:, None] < live
         _, back = log_probability(model, states[inside], slots[:, 1 : span + 1].T[inside], grads)
         d_states = np.zeros_like(states)
         d_states[inside] = back
+        # What the gradient of a state is multiplied by on its way to the three gates, and to the state before it.
+        update, reset = gates[..., :n], gates[..., n:]
+        to_fresh = update * (1 - fresh * fresh)
+        factors = np.stack([(fresh - before) * update * (1 - update), to_fresh * own * reset * (1 - reset), to_fresh * reset], 2)
+        kept, back_recur = (1 - update) * going, model.recur.T
         dh = np.zeros_like(h)
-        d_in = np.zeros((span, len(h), 3 * n), np.float32)
+        d_own = np.empty_like(factors)
         for t in range(span - 1, -1, -1):
-            update, reset, fresh, own, before = kept[t]
-            dh = dh + d_states[t]
-            d_fresh = dh * update * (1 - fresh * fresh)
-            d_update = dh * (fresh - before) * update * (1 - update)
-            d_reset = d_fresh * own * reset * (1 - reset)
-            d_in[t] = np.concatenate([d_update, d_reset, d_fresh], 1)
-            d_own = np.concatenate([d_update, d_reset, d_fresh * reset], 1)
-            grads[1] += before.T @ d_own
-            dh = dh * (1 - update) + d_own @ model.recur.T
-        flat = d_in.reshape(-1, 3 * n)
+            dh = np.add(dh, d_states[t], out=d_states[t])
+            np.multiply(dh[:, None], factors[t], out=d_own[t])
+            dh = dh * kept[t] + (d_own[t].reshape(-1, 3 * n) @ back_recur) * going[t]
+        grads[1] += before.reshape(-1, n).T @ d_own.reshape(-1, 3 * n)
+        d_own[:, :, 2] = d_states * to_fresh
+        flat = d_own.reshape(-1, 3 * n)
         grads[2] += flat.sum(0)
         read = slots[:, :span].T.ravel()
         order = np.argsort(read, kind="stable")
@@ -297,7 +349,9 @@ class Trainer:
         self.tokens += count
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) / count
         scale = 1 / count * min(1.0, 1.0 / max(norm, 1e-9))
-        rate = RATE * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        # The last, longest texts go on in few lanes: a step over fewer tokens is shorter, so that they do not outweigh the others.
+        share = min(1.0, count / (min(FIRST_LANES, LANES) * WINDOW))
+        rate = RATE * share * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for p, g, a, b in zip(self.model, grads, self.first, self.second):
             g = g * scale
             a += 0.1 * (g - a)
@@ -321,28 +375,25 @@ def _shaped(flat: np.ndarray, like: Model) -> Model:
     return Model(*parts)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> Model:
-    """Rounds of local training and averaging over ``docs``.  Only the average, some 300 kB, comes to the driver."""
+def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = ROUNDS) -> Model:
+    """Rounds of local training and averaging: one pass over ``docs``, of which each round takes its share by hash.  (With
+    ``one_in`` above 1 only that share of them is learnt from.)  Only the average, some 300 kB, comes to the driver."""
     model = initial(vocab)
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(one_in)) == 0).select("text")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(one_in * rounds))
     slots = vocab.slots()
     pieces = 16
-    for _ in range(rounds):
+    for k in range(rounds):
+        chosen = docs.filter(drawn == k).select("text")
         sent = docs.sparkSession.sparkContext.broadcast((tuple(model), slots))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             weights, table = sent.value
             trainer = Trainer(Model(*(p.copy() for p in weights)))
             to_slots = _slot_table(table)
-            waiting: list[np.ndarray] = []
             for batch in batches:
                 for _, texts in text_slices(batch):
-                    waiting.extend(to_slots(tokens(text)) for text in texts)
-                    if len(waiting) >= POOL:
-                        trainer.learn(waiting)
-                        waiting = []
-            if waiting:
-                trainer.learn(waiting)
+                    trainer.learn([to_slots(tokens(text)) for text in texts], last=False)
+            trainer.learn([])
             if trainer.tokens:
                 parts = np.array_split(_flat(trainer.model), pieces)
                 yield pa.RecordBatch.from_arrays(
@@ -366,7 +417,7 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = TRAIN_ONE_IN, rounds
     return model
 
 
-def score(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
+def score(docs: DataFrame, one_in: int = 1, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10."""
     spark = docs.sparkSession
     docs = small_batches(docs.select("doc_id", "text"))

@@ -103,3 +103,47 @@ def test_odd_cases(odd_docs, no_docs):
     lone = odd_docs.filter("doc_id is null")
     only = lm.score(lone).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in only] == [(0, 0, 0.0)]
+
+
+def test_every_training_text_is_learnt_from_whole(spark, small_docs, monkeypatch):
+    """The averages weigh tasks by the tokens that they learnt from: with the defaults these are all tokens of all training texts."""
+    docs = list(zip(small_docs.doc_id.tolist(), small_docs.text.tolist()))
+    frame = lm.training(spark.createDataFrame(docs, "doc_id long, text string"))
+    staged = []
+    monkeypatch.setattr(lm, "stage", lambda df, name, stage=lm.stage: staged.append((name, stage(df, name))) or staged[-1][1])
+    lm.train(frame, lm.vocabulary(lm.count_words(frame)))
+    learnt = sum(df.filter("part = 0").agg({"n": "sum"}).first()[0] or 0 for name, df in staged if name == "lm-copies")
+    assert learnt == base(docs)[0]
+
+
+def test_better_than_counts_with_the_defaults(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lm.score(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
+
+
+def test_lanes_learn_what_texts_learn_alone():
+    """Gradients of texts that share lanes are the sums of those of each text by itself."""
+    _, model = some_model()
+    model = lm.Model(*(p.astype(np.float64) for p in model))
+    rng = np.random.default_rng(6)
+    seqs = [np.append(rng.integers(2, 42, n), lm.END_SLOT).astype(np.int32) for n in (3, 0, 5, 2, 4)]
+
+    class Probe(lm.Trainer):
+        def _adam(self, grads, count):
+            taken.append((count, [g.copy() for g in grads]))
+
+    def learnt(groups):
+        taken.clear()
+        for group in groups:
+            Probe(model).learn(group)
+        return sum(c for c, _ in taken), [sum(g) for g in zip(*(g for _, g in taken))]
+
+    taken, before = [], (lm.WINDOW, lm.FIRST_LANES)
+    lm.WINDOW, lm.FIRST_LANES = 40, 2
+    try:
+        together, alone = learnt([seqs]), learnt([[s] for s in seqs])
+    finally:
+        lm.WINDOW, lm.FIRST_LANES = before
+    assert together[0] == alone[0] == sum(map(len, seqs))
+    assert all(np.allclose(a, b) for a, b in zip(together[1], alone[1]))
