@@ -104,3 +104,86 @@ def host_verdicts() -> str:
 
 
 ORACLE["op6_host_reputation"] = host_verdicts()
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def set_components(share: int, n: int) -> str:
+    """Links of all pairs that share a shingle, and what is reached over them."""
+    return f"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+      FROM documents WHERE doc_id IS NOT NULL
+    ), grams AS MATERIALIZED (
+      SELECT DISTINCT doc_id, list_slice(w, i, i + {n} - 1) AS g FROM (
+        SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+    ), edges AS MATERIALIZED (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= {share} * (p.n + q.n - count(*))
+    ), reach AS (
+      SELECT a AS doc_id, a AS other FROM edges
+      UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a
+    ), least AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
+    FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id"""
+
+
+def whole_number_clusters(k: int, rounds: int, seed: str) -> str:
+    """Every round written out."""
+    parts = [
+        """kept AS MATERIALIZED (
+      SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+        f"""c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('{seed}' || vec_id), v) - 1 AS c, v FROM kept
+      QUALIFY row_number() OVER (ORDER BY sha256('{seed}' || vec_id), v) <= {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+      SELECT vec_id, k.v, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(k.v, c.v)])::BIGINT, c)) AS m
+      FROM kept k CROSS JOIN c{r} c GROUP BY vec_id, k.v)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+      SELECT c.c, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (
+        SELECT c, list(x ORDER BY i) AS v FROM (
+          SELECT m[2] AS c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+          FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY m[2], i) GROUP BY c) n ON n.c = c.c)""")
+    return f"""
+    WITH {', '.join(parts)}
+    SELECT vec_id, m[2]::INT AS cluster, m[1] AS distance, sum(m[1]) OVER (PARTITION BY m[2])::BIGINT AS cluster_inertia,
+           sum(m[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} c ON c.c = m[2]"""
+
+
+def ranked_documents(top: int) -> str:
+    def terms(table: str, key: str) -> str:
+        return f"""SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM {table}"""
+
+    return f"""
+    WITH d AS MATERIALIZED ({terms('documents', 'doc_id')} WHERE doc_id IS NOT NULL),
+    q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(t) AS t FROM ({terms('benchmark', 'item_id')})) GROUP BY ALL),
+    total AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+    tf AS MATERIALIZED (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) GROUP BY ALL),
+    w AS (SELECT t, floor(1000 * ln((2 * any_value(total.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t),
+    scored AS (
+      SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * tf.n * total.n) // total.l))))::BIGINT AS score
+      FROM q JOIN tf USING (t) JOIN w USING (t), total GROUP BY item_id, doc_id)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= {top}"""
+
+
+def _newer() -> dict[str, str]:
+    from lyceum.llm import centroids, lexical, setsketch
+
+    return {
+        "op11_setsketch_dedup": set_components(setsketch.SHARE, setsketch.WORDS),
+        "op12_centroid_clustering": whole_number_clusters(centroids.CENTROIDS, centroids.ROUNDS, centroids.SEED),
+        "op13_lexical_search": ranked_documents(lexical.TOP),
+    }
+
+
+ORACLE |= _newer()

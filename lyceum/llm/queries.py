@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import decontaminate, jaccard, language_model, licences, lines, neighbours, pieces, quality, reputation, suffixes
+from lyceum.llm import centroids, decontaminate, jaccard, language_model, lexical, licences, lines, neighbours, pieces, quality, reputation
+from lyceum.llm import setsketch, suffixes
 from lyceum.llm.tables import documents, read
 
 #: Folder and name of the tokenizer's file; the name of an installed package's file unless a path is set.
@@ -64,8 +65,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op11_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sentencepiece, op2_suffix_dedup, op3_nearest_neighbours, op4_decontamination, op5_language_model, op6_host_reputation, op7_line_dedup, op8_licence_scan, op9_jaccard_join, op10_quality,
+        op1_sentencepiece, op2_suffix_dedup, op3_nearest_neighbours, op4_decontamination, op5_language_model, op6_host_reputation,
+        op7_line_dedup, op8_licence_scan, op9_jaccard_join, op10_quality, op11_setsketch_dedup, op12_centroid_clustering,
+        op13_lexical_search,
     )
 }

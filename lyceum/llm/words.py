@@ -68,8 +68,12 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(texts: list[str | None]) -> Words:
-    parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+def words(texts: list[str | None], ascii_only: bool = False) -> Words:
+    """Words of the texts; with ``ascii_only`` no letters but A-Z are lower-cased."""
+    if ascii_only:
+        parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    else:
+        parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
     blank = SPACE[data]
