@@ -5,11 +5,12 @@ exponentially spaced scale.  Registers of a union are the larger ones of its par
 register about as often as they have elements in common (Ertl 2021).
 
 1. Documents with the same set are one node.  Each set's registers are cut in bands; a band's registers are hashed.
-2. Every set of a bucket is compared with the bucket's smallest node.  The likelihood of the pair's larger, smaller and equal registers,
-   given both sizes, decides: a pair goes if even the threshold explains them worse than the best estimate by ``MARGIN``.
-3. Buckets that still hold several components are compared in full, across components only, in blocks of bounded size.
-4. Components of likely pairs are verified on full sets, likewise: in blocks, then between the blocks' components, and in full only where
-   several components are left.  So a group of near copies costs little more than its size, and no pair is skipped.
+2. Every set of a bucket is compared with the bucket's smallest one, and those that this leaves apart with each other.  The likelihood of the
+   pair's larger, smaller and equal registers, given both sizes, decides: a pair goes if even the threshold explains
+   them worse than the best estimate by ``MARGIN``.
+3. Components of likely pairs are groups, in which links are verified on full sets in the same way.
+4. A bucket or group beyond a block is cut into blocks, each with the smallest set in it; sets that are not joined to it there meet the sets of
+   all other blocks.  So a group of near copies costs little more than its size, and no pair is skipped.
 
 The result is the components of verified links.  No list of pairs is ever written: blocks return edges that span what is linked.
 
@@ -46,6 +47,10 @@ BASE, RATE, LARGEST = 1.001, 20.0, 65_535
 MARGIN = 16.0
 #: Sets of a block and the bytes of their shingle hashes: a task holds two blocks at a time.
 BLOCK, BLOCK_BYTES = 1_000, 8 << 20
+#: Bytes of small buckets that are worked on together.
+UNIT_BYTES = 1 << 20
+#: Pairs whose registers are compared at a time.
+PAIRS = 8_192
 
 
 def choose_bands(share: int = SHARE, miss: float = MISS, registers: int = REGISTERS) -> tuple[int, int]:
@@ -128,10 +133,16 @@ def likely(size_a: np.ndarray, size_b: np.ndarray, regs_a: np.ndarray, regs_b: n
     a, b = regs_a[at], regs_b[at]
     more, less = (a > b).sum(1), (a < b).sum(1)
     na, nb, same = size_a[at].astype(np.float64), size_b[at].astype(np.float64), a.shape[1] - more - less
-    best = estimate(na, nb, more, less, same)
     u, v = na / (na + nb), nb / (na + nb)
     at_bar = likelihood(np.full(len(u), share / 100), u, v, more, less, same)
-    out[at] = (best >= share / 100) | (at_bar >= likelihood(best, u, v, more, less, same) - margin)
+    # The likelihood has one top: where it still rises at the threshold, the best estimate lies above.
+    good = likelihood(np.full(len(u), share / 100 + 1e-4), u, v, more, less, same) >= at_bar
+    rest = np.flatnonzero(~good)
+    if len(rest):
+        u, v, more, less, same = (x[rest] for x in (u, v, more, less, same))
+        best = estimate(na[rest], nb[rest], more, less, same)
+        good[rest] = at_bar[rest] >= likelihood(best, u, v, more, less, same) - margin
+    out[at] = good
     return out
 
 
@@ -176,58 +187,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), count)
 
 
-def _with_centres(members: DataFrame, sets: DataFrame, share: int, count: int) -> DataFrame:
-    """Likely pairs ``a, b`` of a set and the smallest one of a bucket that both are in."""
-    centre = members.groupBy("bucket").agg(F.min("sid").alias("b"))
-    pairs = members.join(centre, "bucket").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
-    left = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = likely(na, nb, _matrix(batch.column("ra"), count), _matrix(batch.column("rb"), count), share)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return small_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb")).mapInArrow(run, "a binary, b binary")
-
-
-def _dealt(members: DataFrame, label: str) -> DataFrame:
-    """``bucket, sid, comp, weight`` (bytes) as units of work across components: ``bucket, x, y, side, sid, comp``.
-
-    A component with more than a block in a bucket has blocks of its own, which need not meet each other; the others
-    share blocks.  A unit is one block, or two of which only pairs across count.
-    """
-
-    def parts(sets: str, size: str):
-        return F.greatest(F.ceil(F.col(sets) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
-
-    held = members.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).withColumn("nb", parts("m", "w"))
-    small = F.col("nb") == 1
-    shape = held.groupBy("bucket").agg(
-        F.count("*").alias("comps"), F.sum(F.when(small, F.col("m"))).alias("m0"), F.sum(F.when(small, F.col("w"))).alias("w0"),
-        F.collect_list(F.when(~small, F.struct("comp", "nb"))).alias("large"),
-    ).filter("comps > 1")
-    rest = F.when(F.col("m0") > 0, parts("m0", "w0")).otherwise(0)
-    own = F.flatten(F.transform("large", lambda c: F.transform(F.sequence(F.lit(0), c["nb"] - 1), lambda k: F.struct(c["comp"].alias("of"), k.alias("k")))))
-    shared = F.when(rest > 0, F.transform(F.sequence(F.lit(0), rest - 1), lambda k: F.struct(F.lit(None).cast("binary").alias("of"), k.alias("k"))))
-    blocks = F.concat(own, F.coalesce(shared, F.array().cast("array<struct<of: binary, k: int>>")))
-    shape = stage(shape.select("bucket", rest.alias("rest"), blocks.alias("blocks")), f"{label}-blocks")
-    mine = F.when(small, F.struct(F.lit(None).cast("binary").alias("of"), F.pmod(F.xxhash64("comp"), F.col("rest")).cast("int").alias("k"))).otherwise(
-        F.struct(F.col("comp").alias("of"), F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int").alias("k"))
-    )
-    placed = members.join(held.select("bucket", "comp", "nb"), ["bucket", "comp"]).join(shape, "bucket").withColumn("mine", mine)
-    meets = F.filter("blocks", lambda b: b["of"].isNull() | F.col("mine.of").isNull() | (b["of"] != F.col("mine.of")))
-    spread = placed.withColumn("other", F.explode(meets))
-    key = lambda c: F.concat_ws("/", F.coalesce(F.hex(F.col(f"{c}.of")), F.lit("")), F.col(f"{c}.k").cast("string"))
-    named = spread.select("bucket", "sid", "comp", key("mine").alias("p"), key("other").alias("q"))
-    return named.select(
-        "bucket", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.when(F.col("p") == F.col("q"), 2).otherwise((F.col("p") > F.col("q")).cast("int")).alias("side"), "sid", "comp",
-    )
-
-
-def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest with the components of the pairs ``i, j`` of ``n`` nodes."""
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the pairs ``i, j`` join it to."""
     root = np.arange(n)
     while len(i):
         low = np.minimum(root[i], root[j])
@@ -237,40 +198,64 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndar
         root = root[root]
         if (root == before).all():
             break
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
+    return root
 
 
-def _likely_in_unit(pdf: pd.DataFrame, share: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs of a unit across components, a diagonal of its pairs at a time."""
+def _likely_in_unit(pdf: pd.DataFrame, first: np.ndarray, share: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs of rows of one bucket (``first`` is the bucket's first row): each row with the first, then those that this leaves
+    apart, a diagonal at a time."""
     size, side = pdf["n_shingles"].to_numpy(), pdf["side"].to_numpy()
-    comp = pd.factorize(pdf["comp"])[0]
     regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), count)
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, len(pdf)):
-        i = np.arange(len(pdf) - d)
-        j = i + d
-        fit = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge() -> None:
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        for lo in range(0, len(i), PAIRS):
+            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            good = likely(size[p], size[q], regs[p], regs[q], share)
+            found.append((p[good], q[good]))
+
+    label, row = np.arange(len(pdf)), np.arange(len(pdf))
+    apart = side[row] != 2  # of two blocks only pairs across count
+    if not apart.all():
+        at = row[(row != first) & ~apart]
+        waiting.append((first[at], at))
+        judge()
+        joined = np.concatenate([q for _, q in found])
+        label[joined] = first[joined]
+    open_ = np.bincount(first, label != first, len(pdf))[first] > 1  # buckets with two rows or more apart from the first
+    row = row[open_ | apart]
+    for d in range(1, len(row)):
+        i, j = row[:-d], row[d:]
+        same = first[i] == first[j]
+        if not same.any():
+            break
+        fit = same & (label[i] != label[j]) & np.where(side[i] == 2, i != first[i], side[i] != side[j])
         fit &= 100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])
-        i, j = i[fit], j[fit]
-        if len(i):
-            good = likely(size[i], size[j], regs[i], regs[j], share)
-            found_i.append(i[good])
-            found_j.append(j[good])
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def _linked_in_unit(pdf: pd.DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links of a unit across components: each set in turn meets all later ones of other components, and what is linked becomes
-    one component."""
+        if fit.any():
+            waiting.append((i[fit], j[fit]))
+            if sum(len(x) for x, _ in waiting) >= PAIRS:
+                judge()
+    if waiting:
+        judge()
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return i, j
+
+
+def _linked_in_unit(pdf: pd.DataFrame, first: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links between rows of one bucket: each set in turn meets all later ones that are not yet joined to it."""
     sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-    size, side, comp = np.fromiter(map(len, sets), np.int64, len(sets)), pdf["side"].to_numpy(), pd.factorize(pdf["comp"])[0]
+    size, side, comp = np.fromiter(map(len, sets), np.int64, len(sets)), pdf["side"].to_numpy(), np.arange(len(sets))
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate([[0], np.cumsum(size)])
+    end = np.searchsorted(first, first, "right")  # of each row's bucket
     here = np.zeros(len(values), bool)
     found_i, found_j = [], []
     for i in range(len(sets) - 1):
-        later = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        later = np.arange(i + 1, end[i])
+        later = later[comp[later] != comp[i]]
         if side[i] != 2:
             later = later[side[later] != side[i]]
         later = later[100 * np.minimum(size[later], size[i]) >= share * np.maximum(size[later], size[i])]
@@ -283,44 +268,74 @@ def _linked_in_unit(pdf: pd.DataFrame, share: int) -> tuple[np.ndarray, np.ndarr
         places = np.repeat(start[later] - begin, n) + np.arange(n.sum())
         common = np.add.reduceat(here[code[places]].astype(np.int64), begin)
         here[own] = False
-        good = later[100 * common >= share * (n + size[i] - common)]
-        for j in good:
+        for j in later[100 * common >= share * (n + size[i] - common)]:
             if comp[j] != comp[i]:
-                comp[comp == comp[j]] = comp[i]
+                bucket = comp[first[i] : end[i]]
+                bucket[bucket == comp[j]] = comp[i]
                 found_i.append(i)
                 found_j.append(j)
     return np.array(found_i, np.int64), np.array(found_j, np.int64)
 
 
-def _in_units(units: DataFrame, test: Callable, share: int) -> DataFrame:
-    """Edges ``a, b`` that span what ``test`` links in each unit."""
+def _parts(sets: str, size: str):
+    return F.greatest(F.ceil(F.col(sets) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _in_units(rows: DataFrame, keys: list[str], test: Callable, share: int) -> DataFrame:
+    """``bucket, a, b``: edges that span what ``test`` links in each unit; and rows with a null ``b`` for sets of a bucket in several blocks that
+    are not joined to the bucket's centre."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sid", "side"], ignore_index=True)
-        at, root = _spanning(len(pdf), *test(pdf, share))
-        sid = pdf["sid"].to_numpy()
-        return pd.DataFrame({"a": sid[at], "b": sid[root]})
+        pdf = pdf.sort_values(["bucket", "sid", "side"], ignore_index=True)
+        bucket, sid = pdf["bucket"].to_numpy(), pdf["sid"].to_numpy()
+        first = np.searchsorted(bucket, bucket)
+        root = _spanning(len(pdf), *test(pdf, first, share))
+        at = np.flatnonzero(root != np.arange(len(pdf)))
+        left = np.flatnonzero((pdf["nb"].to_numpy() > 1) & (pdf["side"].to_numpy() == 2) & (root != root[first]))
+        both = np.concatenate([at, left])
+        return pd.DataFrame({"bucket": bucket[both], "a": sid[both], "b": [*sid[root[at]], *[None] * len(left)]})
 
     # Dealt anew: a join's partitioning by bucket would keep all blocks of a large one in one task.
-    return units.repartition("bucket", "x", "y").groupBy("bucket", "x", "y").applyInPandas(run, "a binary, b binary")
+    return rows.repartition(*keys).groupBy(*keys).applyInPandas(run, "bucket long, a binary, b binary")
 
 
-def _roots(edges: DataFrame, label: str) -> DataFrame:
-    return components(edges, label).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+def _connect(members: DataFrame, total_bytes: int, payload: DataFrame, test: Callable, share: int, label: str) -> DataFrame:
+    """Edges ``a, b`` that span what ``test`` links inside the buckets of ``members`` (``bucket, sid, weight``).
 
-
-def _candidates(sets: DataFrame, share: int, count: int) -> DataFrame:
+    A bucket of up to a block is worked on whole, many of them in one unit.  A larger one is cut into blocks, and its smallest set
+    stands in each.  Sets that are joined to it in their block are joined to each other; only the others, few in a group of
+    near copies, have yet to meet the sets of all other blocks.
+    """
+    shape = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("weight").alias("w"), F.min("sid").alias("centre")).filter("m > 1")
+    placed = members.join(shape.select("bucket", "centre", _parts("m", "w").alias("nb")), "bucket")
+    own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
+    blocks = F.when(F.col("sid") == F.col("centre"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own))
+    units = max(1, -(-total_bytes // UNIT_BYTES))
+    unit = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("bucket"), F.lit(units))).otherwise(F.col("bucket"))
+    rows = placed.select("bucket", "sid", "nb", F.explode(blocks).alias("x"), unit.alias("u"), F.lit(2).alias("side"))
+    found = stage(_in_units(rows.join(payload, "sid"), ["u", "x"], test, share), label)
+    edges = found.filter("b is not null").select("a", "b")
+    left = found.filter("b is null").select("bucket", F.col("a").alias("sid"))  # each set once: it is in one block
+    if left.isEmpty():
+        return edges
+    weighed = left.join(members, ["bucket", "sid"])
+    shape2 = weighed.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).select("bucket", _parts("m", "w").alias("lb"))
+    whole = placed.join(shape2, "bucket").select("bucket", "sid", "nb", "lb", own.alias("k"))
+    others = whole.select("bucket", "sid", "nb", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("x"), "k", F.lit(1).alias("side"))
+    spread = whole.join(left, ["bucket", "sid"]).withColumn("x", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("lb")).cast("int"))
+    these = spread.select("bucket", "sid", "nb", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), F.lit(0).alias("side"))
+    pairs = these.union(others).join(payload, "sid")
+    more = stage(_in_units(pairs, ["bucket", "x", "k"], test, share), f"{label}-across")
+    return edges.union(more.filter("b is not null").select("a", "b"))
+
+
+def _candidates(sets: DataFrame, share: int, count: int, bands: int) -> DataFrame:
     """``sid, grp``: components of likely pairs; a set that is likely linked with nothing is not in it."""
-    banded = sets.select("sid", F.explode("bands").alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    members = stage(banded.join(several, "bucket"), "bucket-members")
-    first = stage(_with_centres(members, sets, share, count), "likely-pairs")
-    known = stage(_roots(first, "likely"), "likely-roots")
-    labelled = members.join(known, "sid", "left").select("bucket", "sid", F.coalesce("comp", "sid").alias("comp"), F.lit(2 * count).alias("weight"))
-    units = _dealt(stage(labelled, "bucket-components"), "bucket").join(sets.select("sid", "n_shingles", "regs"), "sid")
-    more = stage(_in_units(units, lambda pdf, s: _likely_in_unit(pdf, s, count), share), "likely-across")
-    both = known.filter("sid <> comp").select(F.col("sid").alias("a"), F.col("comp").alias("b")).union(more)
-    return stage(_roots(both, "likely-all").withColumnRenamed("comp", "grp"), "likely-groups")
+    members = sets.select("sid", F.explode("bands").alias("bucket"), F.lit(2 * count).alias("weight"))
+    payload = sets.select("sid", "n_shingles", "regs")
+    # An eighth of all bands share a bucket, by rule of thumb; the number of units decides nothing else.
+    edges = _connect(members, sets.count() * bands * 2 * count // 8, payload, lambda p, f, s: _likely_in_unit(p, f, s, count), share, "likely")
+    return stage(components(edges, "likely-groups").select(F.col("node").alias("sid"), F.xxhash64("root").alias("grp")), "likely-groups")
 
 
 def _candidate_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int) -> DataFrame:
@@ -338,40 +353,7 @@ def _candidate_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int)
 
     made = small_batches(read).mapInArrow(run, "sid binary, shingles binary")
     one = made.join(sized(chosen.select("sid", "grp"), 64), "sid").groupBy("sid").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
-    return stage(one.withColumn("weight", F.octet_length("shingles")), "candidate-sets")
-
-
-def _verified(full: DataFrame, share: int) -> DataFrame:
-    """Edges ``a, b`` that span the verified links of each group."""
-    payload = full.select("sid", "shingles")
-
-    def blocks(members: DataFrame, round_: int) -> DataFrame:
-        """Links inside blocks of each group."""
-        shape = members.groupBy("grp").agg(
-            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_BYTES), F.lit(1)).cast("int").alias("nb")
-        )
-        dealt = members.join(shape, "grp").withColumn("x", F.pmod(F.xxhash64("sid", F.lit(round_)), F.col("nb")).cast("string"))
-        units = dealt.select(F.col("grp").alias("bucket"), "x", F.col("x").alias("y"), F.lit(2).alias("side"), "sid", F.col("sid").alias("comp"))
-        return stage(_in_units(units.join(payload, "sid"), _linked_in_unit, share), "verified")
-
-    members = full.select("sid", "grp", "weight")
-    edges = blocks(members, 0)
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).filter((F.col("m") > BLOCK) | (F.col("w") > BLOCK_BYTES))
-    large = stage(members.join(sized(stage(sizes.select("grp"), "large-groups"), 32), "grp"), "large-members")
-    round_, left = 1, large.count()
-    while left:
-        known = stage(_roots(edges, "verified-roots"), "verified-comps")
-        labelled = large.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        heads = stage(labelled.filter("sid = comp").select("sid", "grp", "weight"), "heads")  # one set of each component
-        now = heads.count()
-        if now >= left:  # what is left are components that no block joins: every pair across them
-            several = heads.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-            across = stage(labelled.join(several, "grp").select(F.col("grp").alias("bucket"), "sid", "comp", "weight"), "across")
-            units = _dealt(across, "group").join(payload, "sid")
-            return edges.union(stage(_in_units(units, _linked_in_unit, share), "verified-across"))
-        edges = edges.union(blocks(heads, round_))
-        round_, left = round_ + 1, now
-    return edges
+    return stage(one.select("sid", F.col("grp").alias("bucket"), F.octet_length("shingles").alias("weight"), "shingles"), "candidate-sets")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, share: int = SHARE, miss: float = MISS, count: int = REGISTERS) -> DataFrame:
@@ -384,10 +366,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, share: int = SHARE, miss: f
         ),
         "distinct-sets",
     )
-    groups = _candidates(sets, share, count)
+    full = _candidate_sets(docs, sets, _candidates(sets, share, count, bands), n)
     release(docs.sparkSession)
-    full = _candidate_sets(docs, sets, groups, n)
-    roots = _roots(_verified(full, share), "near-components")
+    size = full.agg(F.sum("weight")).first()[0] or 0
+    links = _connect(full.drop("shingles"), size, full.select("sid", "shingles"), _linked_in_unit, share, "verified")
+    roots = components(links, "near-components").select(F.col("node").alias("sid"), F.col("root").alias("comp"))
     release(docs.sparkSession)
     placed = sets.select("sid", "rep").join(roots, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("least"))

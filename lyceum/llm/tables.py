@@ -43,12 +43,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on undirected edges ``(a, b)``; minima by aggregation, so a hub is pre-aggregated."""
+#: Edges of a written file, and files at least.
+FILE_ROWS, MIN_FILES = 200_000, 8
+#: Bytes of a row of nodes and minima, at most; nodes are numbers or short digests.
+NODE_BYTES = 96
+
+
+def _stars(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step on ``count`` undirected edges ``(a, b)``; minima by aggregation, so a hub is pre-aggregated.  While the minima are
+    few they go to the edges, which then need no shuffle."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.filter("b < a")
     least = side.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m"))
-    joined = side.join(least, side.a == least.n)
+    few = 2 * count * NODE_BYTES <= BROADCAST_BYTES  # two nodes an edge at most
+    joined = side.join(F.broadcast(least) if few else least, side.a == least.n)
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -65,6 +73,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     A round's checksum tells when nothing changes.
     """
 
+    def step(df: DataFrame, count: int) -> DataFrame:
+        # A large-star step keeps the number of edges or lowers it.
+        out = _stars(_stars(df, True, count), False, count)
+        return stage(out.coalesce(max(MIN_FILES, -(-count // FILE_ROWS))), label)
+
     def mark(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
@@ -72,7 +85,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     before = mark(now)
     while before[0]:
-        now = stage(_stars(_stars(now, True), False), label)
+        now = step(now, before[0])
         after = mark(now)
         if after == before:
             break
