@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lyceum.oracle.base import ATT, DEPT, FORMS, LINES, PERF, SEM, STUDENT, big, half_up, pct, with_
+from lyceum.oracle.base import ATT, DEPT, FORMS, LINES, PERF, SEM, STUDENT, big, half_up, mean, pct, units, with_
 
 _ONE_PER_DAY = """daily AS (
   SELECT * FROM att QUALIFY row_number() OVER (
@@ -337,3 +337,40 @@ SQL |= {
     )
     + SQL["scd2_student"][SQL["scd2_student"].index("SELECT old.*"):],
 }
+
+
+_ENROLLED_ONCE = """once AS (
+  SELECT p.*, c_name AS student_id, CAST(c_nationkey AS VARCHAR) AS department_id, o_orderdate, 1 + p_size % 4 AS credits
+  FROM perf p JOIN customer ON c_custkey = student_key JOIN orders ON o_orderkey = p.l_orderkey JOIN part ON p_partkey = course_key
+  QUALIFY row_number() OVER (PARTITION BY p.l_orderkey, l_linenumber ORDER BY CAST(course_key AS VARCHAR) DESC, instructor_key DESC,
+    final_score DESC, attendance_pct DESC, midterm_score DESC, grade_letter DESC) = 1),
+taken AS (
+  SELECT * FROM once WHERE course_key IN (SELECT p_partkey FROM known) AND NOT is_withdrawn AND NOT is_incomplete AND grade_points IS NOT NULL)"""
+
+
+def _gpa_rows(version: int, where: str, effective: str) -> str:
+    """Full recompute of the semester and running GPA of the facts a version holds."""
+    run = "OVER (PARTITION BY student_id, effective_date ORDER BY academic_year, semester ROWS UNBOUNDED PRECEDING)"
+    return f"""SELECT *, least(4.0::DOUBLE, {half_up(
+        f"sum({units('semester_gpa', 3)} * credit_hours_attempted) {run}", f"sum(credit_hours_attempted) {run} * 1000", 3
+    )}) AS cumulative_gpa, {version} AS version
+    FROM (SELECT student_id, {effective} AS effective_date, department_id, academic_year, semester,
+      least(4.0::DOUBLE, {half_up(f"sum({units('grade_points * credits', 4)})", "sum(credits) * 10000", 3)}) AS semester_gpa,
+      CAST(sum(CASE WHEN is_passing THEN credits ELSE 0 END) AS BIGINT) AS credit_hours_earned, CAST(sum(credits) AS BIGINT) AS credit_hours_attempted,
+      count(*) AS courses_taken, count(*) FILTER (WHERE is_passing) AS courses_passed, {mean('attendance_pct', 2, 2)} AS avg_attendance_pct
+      FROM taken WHERE {where} GROUP BY ALL)"""
+
+
+_EARLY = f"o_orderdate < {_FIRST} AND student_id IN (SELECT student_id FROM v1)"
+_AUDITED = f"(SELECT count(*) FROM ({_CLEAN}))", "(SELECT count(*) FROM checked WHERE errors <> '')"
+SQL |= {
+    "published_semester_gpa": _LOADED.rstrip() + ",\n" + _ENROLLED_ONCE + _gpa_rows(1, _EARLY, _FIRST) + " UNION ALL " + _gpa_rows(
+        2, "student_id IN (SELECT student_id FROM ids)",
+        f"CASE WHEN NOT ({_EARLY}) AND student_id IN (SELECT student_id FROM fresh) THEN DATE '2002-01-01' ELSE {_FIRST} END",
+    ),
+    "refused_delivery": with_(PERF, FORMS, _CHECKED) + f"""SELECT 'full_load' AS pipeline, 'REFUSED' AS status,
+      CAST({_AUDITED[0]} + {_AUDITED[1]} AS BIGINT) AS rows_extracted, 0::BIGINT AS rows_loaded, {_AUDITED[1]} AS rows_rejected,
+      (SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM perf) AS staged_enrollments, 3::BIGINT AS checked_tables, 0::BIGINT AS merged_facts""",
+    "load_quarantine": with_(FORMS, _CHECKED)
+    + "SELECT 'students' AS entity_type, form_id, student_id, email, errors AS validation_errors FROM checked WHERE errors <> ''",
+}

@@ -6,8 +6,8 @@ import logging
 import uuid
 from collections.abc import Mapping
 from datetime import date, datetime, timezone
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,8 +16,10 @@ from lyceum import schemas
 from lyceum.functions import calendar, text
 from lyceum.operators import cleaning, gpa, keys, merge, quality, ranking
 from lyceum.plans import attendance as att
+from lyceum.plans import gpa_refresh
 from lyceum.sources import readers, sinks
 from lyceum.sources.staging import scratch_run, stage
+from lyceum.sources.warehouse import InPlace, Snapshot, Store, existing
 
 log = logging.getLogger(__name__)
 
@@ -31,6 +33,8 @@ ATTENDANCE_KEYS = ["student_key", "course_key", "date_key"]
 ATTENDANCE_UPDATES = ("status", "is_present", "is_excused", "minutes_late")
 BACKFILL_KEYS = ["student_key", "course_key", *gpa.PERIOD]
 FACT_PARTITIONS = ["academic_year", "semester"]
+# How a load ended.
+SUCCESS, REFUSED, FAILED = "SUCCESS", "REFUSED", "FAILED"
 
 
 def enrollment_hash(rows: DataFrame) -> DataFrame:
@@ -108,9 +112,13 @@ def upsert_attendance_table(spark: SparkSession, path: str, incoming: DataFrame)
 
     The day is part of the key, so only the days of the delivery are read, merged and overwritten.
     """
+    sinks.overwrite_partitions(attendance_of_days(existing(spark, path, schemas.FACT_ATTENDANCE), incoming), path, ["date_key"])
+
+
+def attendance_of_days(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored and incoming rows of the days of the delivery, merged."""
     new = stage(incoming, "attendance-incoming")
-    merged = merge_attendance(touched_days(existing(spark, path, schemas.FACT_ATTENDANCE), new), new)
-    sinks.overwrite_partitions(merged, path, ["date_key"])
+    return merge_attendance(touched_days(stored, new), new)
 
 
 def touched_days(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -149,8 +157,15 @@ def upsert_performance_table(
     stored (found by a scan of three columns) and the semesters of the attendance ``days`` that
     were loaded.  The table is partitioned by semester; other partitions are not touched.
     """
-    new = stage(incoming, "performance-incoming")
     stored = existing(spark, path, schemas.FACT_PERFORMANCE)
+    sinks.overwrite_partitions(performance_of_semesters(stored, incoming, attendance, days)[0], path, FACT_PARTITIONS)
+
+
+def performance_of_semesters(
+    stored: DataFrame, incoming: DataFrame, attendance: DataFrame, days: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Stored and incoming enrollments of the semesters concerned, merged, and these semesters."""
+    new = stage(incoming, "performance-incoming")
     ids = new.select("enrollment_id")
     known = stored.select("enrollment_id", *FACT_PARTITIONS).join(ids, "enrollment_id", "left_semi")
     parts = [df.select(*FACT_PARTITIONS).distinct() for df in (known, new, dated(days))]
@@ -159,8 +174,7 @@ def upsert_performance_table(
     days_of, semesters = dated(attendance).alias("a"), touched.alias("s")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FACT_PARTITIONS]
     recorded = days_of.join(semesters, same, "left_semi")
-    merged = backfill_attendance(merge_performance(current, new), recorded)
-    sinks.overwrite_partitions(merged, path, FACT_PARTITIONS)
+    return backfill_attendance(merge_performance(current, new), recorded), touched
 
 
 def backfill_attendance(performance: DataFrame, attendance: DataFrame) -> DataFrame:
@@ -181,16 +195,6 @@ def from_raw_enrollments(enrollments: DataFrame) -> DataFrame:
     return gpa.cumulative_gpa(semesters, student="student_id")
 
 
-def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A table of the warehouse folder, empty before its first load."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def run(
     spark: SparkSession,
     raw: Mapping[str, DataFrame],
@@ -198,23 +202,53 @@ def run(
     as_of: date,
     *,
     minimums: Mapping[str, int] | None = None,
+    pass_rate: float | None = None,
+    versions: bool = False,
 ) -> dict[str, int]:
     """Load one delivery: clean, check, stage, merge dimensions and facts, refresh the aggregate.
 
     ``raw`` holds students, courses, instructors, departments, enrollments and attendance.  Each
     table is written once and read back by the steps after it, so no step recomputes another.
     Returns the row count of every table written.  What is staged on the way is removed at the end.
+
+    With ``pass_rate`` a delivery of which fewer percent of all checks pass is refused after staging and before any merge.
+    A refused delivery and a failed load leave a row in the run log.  With ``versions`` all dimensions and facts become visible
+    together at the end (``sources.warehouse.Snapshot``).
     """
+    store: Store = Snapshot(spark, warehouse) if versions else InPlace(spark, warehouse)
+    run_id, started = str(uuid.uuid4()), datetime.now(timezone.utc)
+    counts: dict[str, int] = {}
+
+    def log_run(status: str) -> None:
+        finished = datetime.now(timezone.utc)
+        record = sinks.run_record(
+            spark, run_id, "full_load", status, f"{started:%Y-%m-%d %H:%M:%S}", f"{finished:%Y-%m-%d %H:%M:%S}",
+            extracted=counts.get("stg_students", 0) + counts.get("rejected", 0),
+            loaded=sum(v for k, v in counts.items() if k.startswith(("dim_", "fact_"))) if status == SUCCESS else 0,
+            rejected=counts.get("rejected", 0),
+        )
+        sinks.append_rows(record, f"{warehouse}/etl_run_log")
+
     with scratch_run(spark):
-        return _run(spark, raw, warehouse, as_of, minimums)
+        try:
+            _run(spark, raw, warehouse, store, as_of, run_id, counts, minimums, pass_rate)
+            store.publish()
+        except quality.QualityGateError:
+            log_run(REFUSED)
+            raise
+        except Exception:
+            log_run(FAILED)
+            raise
+        log_run(SUCCESS)
+    log.info("load %s finished: %s", run_id, counts)
+    return counts
 
 
 def _run(
-    spark: SparkSession, raw: Mapping[str, DataFrame], warehouse: str, as_of: date, minimums: Mapping[str, int] | None
-) -> dict[str, int]:
+    spark: SparkSession, raw: Mapping[str, DataFrame], warehouse: str, store: Store, as_of: date, run_id: str,
+    counts: dict[str, int], minimums: Mapping[str, int] | None, pass_rate: float | None,
+) -> None:
     least = {"students": 100, "enrollments": 500, "attendance": 1000, **(minimums or {})}
-    run_id, started = str(uuid.uuid4()), datetime.now(timezone.utc)
-    counts: dict[str, int] = {}
     # The large extracts are parsed once; checks, staging tables and facts read the copy.
     raw = {**raw, **{k: stage(raw[k], f"landed-{k}") for k in ("enrollments", "attendance")}}
 
@@ -223,21 +257,25 @@ def _run(
     clean, bad = stage(cleaning.accepted(checked), "clean-students"), cleaning.rejected(checked)
     report = stage(quality.validate_students(clean, least["students"]), "student-report")
     sinks.append_rows(quality.quality_log(report, "STG_STUDENTS", run_id), f"{warehouse}/data_quality_log")
-    quality.require_no_failure(report, "STG_STUDENTS")
+    reports = [report]
     for name, lines in (
         ("STG_ENROLLMENTS", quality.validate_enrollments(raw["enrollments"], clean, least["enrollments"])),
         ("STG_ATTENDANCE", quality.validate_attendance(raw["attendance"], least["attendance"])),
     ):
-        sinks.append_rows(quality.quality_log(lines, name, run_id), f"{warehouse}/data_quality_log")
+        reports.append(stage(lines, "report"))
+        sinks.append_rows(quality.quality_log(reports[-1], name, run_id), f"{warehouse}/data_quality_log")
 
     staged = {"students": clean, **{k: raw[k] for k in ("courses", "instructors", "enrollments", "attendance")}}
     for entity, rows in staged.items():
         counts[f"stg_{entity}"] = sinks.load_staging(rows, warehouse, entity, source_file=entity)
     counts["rejected"] = sinks.load_rejected(bad, warehouse, "students")
+    # Staged rows and the quarantine stay for inspection; nothing below runs for a delivery that is refused.
+    quality.require_no_failure(report, "STG_STUDENTS")
+    if pass_rate is not None and not quality.gate(reduce(DataFrame.unionByName, reports), pass_rate):
+        raise quality.QualityGateError(f"run {run_id} passed less than {pass_rate} % of its checks")
 
     def numbered(name: str, schema: StructType, incoming: DataFrame, natural: str, key: str) -> DataFrame:
-        path = f"{warehouse}/{name}"
-        old = existing(spark, path, schema)
+        old = store.read(name, schema)
         fresh = incoming.join(old.select(natural), natural, "left_anti")
         shaped = fresh.select(
             *(
@@ -245,8 +283,8 @@ def _run(
                 for f in schema.fields
             )
         )
-        counts[name] = sinks.replace_table(keys.append_with_keys(old, shaped.drop(key), [natural], key), path)
-        return spark.read.schema(schema).parquet(path)
+        counts[name] = store.replace(name, keys.append_with_keys(old, shaped.drop(key), [natural], key))
+        return store.read(name, schema)
 
     departments = numbered(
         "dim_department", schemas.DIM_DEPARTMENT, raw["departments"], "department_id", "department_key"
@@ -257,49 +295,37 @@ def _run(
         "dim_instructor", schemas.DIM_INSTRUCTOR, raw["instructors"].join(dept, "department_id"),
         "instructor_id", "instructor_key",
     )
-    students = _load_students(spark, clean.join(dept, "department_id"), f"{warehouse}/dim_student", as_of, counts)
+    students = _load_students(store, clean.join(dept, "department_id"), as_of, counts)
 
-    performance_path, attendance_path = f"{warehouse}/fact_performance", f"{warehouse}/fact_attendance"
     present = stage(
         attendance_rows(raw["attendance"], students, courses, default_instructor(instructors)), "attendance-rows"
     )
-    upsert_attendance_table(spark, attendance_path, present)
-    attendance = existing(spark, attendance_path, schemas.FACT_ATTENDANCE)
+    stored = store.read("fact_attendance", schemas.FACT_ATTENDANCE)
+    store.overwrite("fact_attendance", attendance_of_days(stored, present), ["date_key"])
+    attendance = store.read("fact_attendance", schemas.FACT_ATTENDANCE)
     counts["fact_attendance"] = attendance.count()
 
     incoming = performance_rows(raw["enrollments"], students, courses, instructors)
-    upsert_performance_table(spark, performance_path, incoming, attendance, present.select("date_key").distinct())
-    facts = existing(spark, performance_path, schemas.FACT_PERFORMANCE)
+    stored = store.read("fact_performance", schemas.FACT_PERFORMANCE)
+    merged, touched = performance_of_semesters(stored, incoming, attendance, present.select("date_key").distinct())
+    store.overwrite("fact_performance", merged, FACT_PARTITIONS)
+    facts = store.read("fact_performance", schemas.FACT_PERFORMANCE)
     counts["fact_performance"] = facts.count()
-    counts["fact_semester_gpa"] = sinks.write_table(
-        refresh_semester_gpa(facts), f"{warehouse}/fact_semester_gpa", partition_by=FACT_PARTITIONS
-    )
-    finished = datetime.now(timezone.utc)
-    record = sinks.run_record(
-        spark, run_id, "full_load", "SUCCESS", f"{started:%Y-%m-%d %H:%M:%S}", f"{finished:%Y-%m-%d %H:%M:%S}",
-        extracted=counts["stg_students"] + counts["rejected"],
-        loaded=sum(v for k, v in counts.items() if k.startswith(("dim_", "fact_"))),
-        rejected=counts["rejected"],
-    )
-    sinks.append_rows(record, f"{warehouse}/etl_run_log")
-    log.info("load %s finished: %s", run_id, counts)
-    return counts
+    counts["fact_semester_gpa"] = gpa_refresh.refresh(store, facts, touched)
 
 
-def _load_students(
-    spark: SparkSession, clean: DataFrame, path: str, as_of: date, counts: dict[str, int]
-) -> DataFrame:
+def _load_students(store: Store, clean: DataFrame, as_of: date, counts: dict[str, int]) -> DataFrame:
     """Type-2 merge of the student dimension; new versions get keys after the highest one."""
     schema = schemas.DIM_STUDENT
-    old = existing(spark, path, schema)
+    old = store.read("dim_student", schema)
     attributes = [f.name for f in schema.fields if f.name not in ("student_key", *merge.VALIDITY)]
     source = clean.select(*attributes).withColumn("student_key", F.lit(None).cast("bigint"))
     state = stage(merge.scd2(old, source, "student_id", as_of), "dim-student")
     kept = state.filter(F.col("student_key").isNotNull())
     fresh = state.filter(F.col("student_key").isNull()).drop("student_key")
     result = keys.append_with_keys(kept, fresh, ["student_id"], "student_key")
-    counts["dim_student"] = sinks.replace_table(result.select(*schema.names), path)
-    return spark.read.schema(schema).parquet(path)
+    counts["dim_student"] = store.replace("dim_student", result.select(*schema.names))
+    return store.read("dim_student", schema)
 
 
 def read_extracts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lyceum import schemas
 from lyceum.functions import text
 from lyceum.operators import cleaning, governance, gpa, keys, merge, quality, ranking
 from lyceum.plans import attendance as att
 from lyceum.plans import courses, departments, loads, overview, risk, students, views
-from lyceum.sources import campus, date_dim, readers, sinks, staging
+from lyceum.sources import campus, date_dim, readers, sinks, staging, warehouse
 from lyceum.streaming import attendance as stream
 
 AS_OF = date(2002, 1, 1)
@@ -893,12 +894,16 @@ def _delivery(spark, sf, before: str | None) -> dict[str, DataFrame]:
     }
 
 
+def _load_twice(spark, sf, folder: str, versions: bool = False) -> None:
+    least = {"students": 1, "enrollments": 1, "attendance": 1}
+    for before, as_of in ((FIRST_DELIVERY, date.fromisoformat(FIRST_DELIVERY)), (None, AS_OF)):
+        loads.run(spark, _delivery(spark, sf, before), folder, as_of, minimums=least, versions=versions)
+
+
 def _loaded(spark, sf) -> str:
     """Warehouse after two deliveries."""
     folder = staging.scratch_path(spark, "warehouse")
-    least = {"students": 1, "enrollments": 1, "attendance": 1}
-    loads.run(spark, _delivery(spark, sf, FIRST_DELIVERY), folder, date.fromisoformat(FIRST_DELIVERY), minimums=least)
-    loads.run(spark, _delivery(spark, sf, None), folder, AS_OF, minimums=least)
+    _load_twice(spark, sf, folder)
     return folder
 
 
@@ -923,6 +928,50 @@ def load_two_deliveries(spark, sf):
     return merged
 
 
+@query
+def published_semester_gpa(spark, sf):
+    """Semester GPA of both versions that two deliveries publish, each brought up to date from the semesters it touched."""
+    folder = staging.scratch_path(spark, "versions")
+    _load_twice(spark, sf, folder, versions=True)
+    found = []
+    for version in (1, 2):
+        store = warehouse.Snapshot(spark, folder, version)
+        people = store.read("dim_student", schemas.DIM_STUDENT).select("student_key", "student_id", "effective_date")
+        owners = store.read("dim_department", schemas.DIM_DEPARTMENT).select("department_key", "department_id")
+        rows = store.read("fact_semester_gpa", schemas.FACT_SEMESTER_GPA).join(people, "student_key").join(owners, "department_key")
+        found.append(rows.drop("student_key", "department_key").withColumn("version", F.lit(version)))
+    return found[0].unionByName(found[1])
+
+
+def _refused(spark, sf) -> str:
+    """Folder of a load that asks for more passed checks than there are."""
+    folder = staging.scratch_path(spark, "refused")
+    least = {"students": 1, "enrollments": 1, "attendance": 1}
+    try:
+        loads.run(spark, _delivery(spark, sf, None), folder, AS_OF, minimums=least, pass_rate=101.0)
+    except quality.QualityGateError:
+        return folder
+    raise AssertionError("the delivery was not refused")
+
+
+@query
+def refused_delivery(spark, sf):
+    """Run log of a refused delivery, with what lies in staging and in the warehouse."""
+    folder = _refused(spark, sf)
+    rows = spark.read.parquet(f"{folder}/etl_run_log").select("pipeline", "status", "rows_extracted", "rows_loaded", "rows_rejected")
+    staged = spark.read.parquet(f"{folder}/stg_enrollments").agg(F.count("*").alias("staged_enrollments"))
+    checks = spark.read.parquet(f"{folder}/data_quality_log").agg(F.count_distinct("table_name").alias("checked_tables"))
+    merged = loads.existing(spark, f"{folder}/fact_performance", schemas.FACT_PERFORMANCE).agg(F.count("*").alias("merged_facts"))
+    return rows.join(staged).join(checks).join(merged)
+
+
+@query
+def load_quarantine(spark, sf):
+    """What a load sets aside: rejected registrations with their errors."""
+    rows = spark.read.parquet(f"{_refused(spark, sf)}/stg_rejected_students")
+    return rows.select("entity_type", "form_id", "student_id", "email", "validation_errors")
+
+
 # --- governance on rows -------------------------------------------------------------------
 
 

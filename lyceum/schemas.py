@@ -79,6 +79,8 @@ FACT_SEMESTER_GPA = _struct(
     credit_hours_earned="l", credit_hours_attempted="l", courses_taken="l", courses_passed="l",
     avg_attendance_pct="d",
 )
+# A student's sum of thousandths of a GPA times credits, and of credits, over all semesters.
+SEMESTER_GPA_TOTALS = _struct(student_key="l", units="l", credits="l")
 
 ETL_RUN_LOG = _struct(
     run_id="s", pipeline="s", status="s", started_at="ts", finished_at="ts", duration_secs="l", rows_extracted="l",
