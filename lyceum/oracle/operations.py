@@ -374,3 +374,26 @@ SQL |= {
     "load_quarantine": with_(FORMS, _CHECKED)
     + "SELECT 'students' AS entity_type, form_id, student_id, email, errors AS validation_errors FROM checked WHERE errors <> ''",
 }
+
+_DELIVERED = """span AS (SELECT min(epoch_us(event_time)) AS low, max(epoch_us(event_time)) AS high FROM att),
+delivered AS (
+  SELECT att.*, time_bucket(INTERVAL '5 minutes', event_time) AS slot,
+    CAST(floor((epoch_us(event_time) - low) * 4::DOUBLE / (high - low + 1)) AS INTEGER) + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END AS delivery
+  FROM att, span),
+judged AS (
+  SELECT d.*, coalesce(epoch_us(slot) + 300000000 <= (SELECT max(epoch_us(b.event_time)) FROM delivered b WHERE b.delivery < d.delivery) - 600000000, FALSE) AS too_late
+  FROM delivered d)"""
+_HALF = """(SELECT * FROM (SELECT att.* REPLACE (coalesce(minutes_late, 0) AS minutes_late),
+    row_number() OVER (PARTITION BY student_key, course_key, date_key ORDER BY status, coalesce(minutes_late, 0), source_system) AS rn
+  FROM att JOIN customer ON c_custkey = student_key JOIN part ON p_partkey = course_key
+  WHERE isodow(attendance_date) <= 5 AND status IS NOT NULL AND event_id % 2 = {k}) WHERE rn = 1)"""
+SQL |= {
+    "stream_with_late_events": with_(ATT, _DELIVERED, _WINDOWS.replace("FROM att", "FROM judged WHERE NOT too_late"))
+    + "SELECT *, attendance_rate < 60 AS absence_alert FROM windows",
+    "stream_late_events": with_(ATT, _DELIVERED)
+    + "SELECT event_id, event_time, course_key AS course_id, delivery AS batch_id FROM judged WHERE too_late",
+    "attendance_fact_replay": with_(ATT) + f"""SELECT student_key, course_key, date_key,
+      CASE WHEN b.status IS NOT NULL THEN b.status ELSE a.status END AS status,
+      CASE WHEN a.status IS NULL OR b.status <> a.status THEN b.minutes_late ELSE a.minutes_late END AS minutes_late
+      FROM {_HALF.format(k=0)} a FULL JOIN {_HALF.format(k=1)} b USING (student_key, course_key, date_key)""",
+}

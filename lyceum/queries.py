@@ -16,6 +16,7 @@ from lyceum.plans import attendance as att
 from lyceum.plans import courses, departments, loads, overview, risk, students, views
 from lyceum.sources import campus, date_dim, readers, sinks, staging, warehouse
 from lyceum.streaming import attendance as stream
+from lyceum.streaming import ledger
 
 AS_OF = date(2002, 1, 1)
 CURRENT_PERIOD = ("2000-2001", "Fall 2000")
@@ -729,6 +730,55 @@ def attendance_stream_alerts(spark, sf):
     return _naive(alerts).select("window_start", F.col("course_id").cast("bigint").alias("course_id"), "attendance_rate")
 
 
+def _deliveries(spark, sf) -> DataFrame:
+    """Events with the delivery that brings them: one per quarter of their time; every seventh event is one delivery late."""
+    rows = campus.attendance_events(spark, sf)
+    low, high = rows.agg(F.min(F.unix_micros("event_time")), F.max(F.unix_micros("event_time"))).first()
+    quarter = F.floor((F.unix_micros("event_time") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1)).cast("int")
+    return rows.withColumn("delivery", quarter + F.when(F.col("event_id") % 7 == 3, 1).otherwise(0))
+
+
+def _ledgered(spark, sf) -> str:
+    """Folder of a stream that gets five deliveries, of which the third comes twice and an old one last."""
+    base = staging.scratch_path(spark, "ledgered")
+    rows = staging.stage(_deliveries(spark, sf), "deliveries")
+    sink = ledger.event_sink(base)
+    columns = ["event_id", "event_time", F.col("course_key").alias("course_id"), F.col("student_key").alias("student_id"), "status"]
+    for number in (0, 1, 2, 2, 3, 4, 1):
+        sink(rows.filter(F.col("delivery") == number).select(*columns), number)
+    return base
+
+
+@query
+def stream_with_late_events(spark, sf):
+    """Windows of a stream in which every seventh event comes a delivery late: what is kept, per window and course."""
+    return _naive(ledger.windows(spark, _ledgered(spark, sf)))
+
+
+@query
+def stream_late_events(spark, sf):
+    """The events that came after their window had closed, kept aside."""
+    rows = ledger.late_events(spark, _ledgered(spark, sf))
+    return rows.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "course_id", F.col("batch_id").cast("int").alias("batch_id"))
+
+
+@query
+def attendance_fact_replay(spark, sf):
+    """Attendance facts from two batches, the first of which is replayed after the second."""
+    base = staging.scratch_path(spark, "fact-replay")
+    teacher = loads.default_instructor(campus.instructors(spark, sf))
+    half = campus.attendance_events(spark, sf).withColumn("half", F.col("event_id") % 2)
+    people = campus.students(spark, sf).select("student_key", "student_id")
+    sink = ledger.fact_sink(f"{base}/facts", base)
+    for number in (0, 1, 1, 0):
+        raw = half.filter(F.col("half") == number).join(people, "student_key").select(
+            "student_id", F.col("course_key").cast("string").alias("course_id"), F.col("attendance_date").cast("string").alias("attendance_date"),
+            "status", "source_system", "minutes_late",
+        )
+        sink(loads.attendance_rows(raw, campus.students(spark, sf), campus.courses(spark, sf), teacher), number)
+    return spark.read.schema(schemas.FACT_ATTENDANCE).parquet(f"{base}/facts").select("student_key", "course_key", "date_key", "status", "minutes_late")
+
+
 def _replayed(spark, sf) -> tuple[str, str]:
     """Window and alert folders of a replay in four deliveries that are cut between windows."""
     rows = campus.attendance_events(spark, sf)

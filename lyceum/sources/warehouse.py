@@ -36,7 +36,7 @@ def partition_folders(rows: DataFrame, partition_by: Sequence[str]) -> list[str]
     return sorted("/".join(named.getPartitionPathString(c, v or None) for c, v in zip(partition_by, row)) for row in values)
 
 
-class _Files:
+class Files:
     """The file system of a folder, whichever it is."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -87,7 +87,7 @@ class InPlace:
     def overwrite(self, name: str, df: DataFrame, partition_by: Sequence[str], cleared: Sequence[str] = ()) -> None:
         """Replaces the partitions that ``df`` has rows for, and removes those in the folders ``cleared``."""
         sinks.overwrite_partitions(df, f"{self.folder}/{name}", partition_by)
-        files = _Files(self.spark, self.folder)
+        files = Files(self.spark, self.folder)
         for part in cleared:
             files.delete(f"{self.folder}/{name}/{part}")
 
@@ -100,7 +100,7 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, folder: str, version: int | None = None):
         self.spark, self.folder = spark, folder
-        self._files = _Files(spark, folder)
+        self._files = Files(spark, folder)
         found = self.versions()
         self.version = (found[-1] if found else 0) if version is None else version
         text = self._files.read(self._file(self.version)) if self.version else "{}"
