@@ -10,8 +10,9 @@ Items are few beside documents.  While their grams fit ``ITEM_BYTES`` they are b
 Beyond that, document grams meet the signatures, and then the full items, in shuffled joins.
 
 Cases: null texts count as empty; an item of 1 to n - 1 words has one gram of all its words, found wherever these words
-stand in a row; an item without words is in no document; rows that repeat an item_id or a doc_id are one item or document
-with the grams of all its rows; rows without an id are left out; other columns are not read.
+stand in a row; an item without words is in no document; rows that repeat an item_id are one item with the grams of all its rows; rows
+that repeat a doc_id are judged each on its own, and the largest number found counts; rows without an id are left out; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -158,10 +159,11 @@ def _find_shuffled(docs: DataFrame, known: DataFrame, containment: float, n: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                ids, w = part.column("doc_id").to_numpy(False), words(texts)
+                ids, texts_, w = part.column("doc_id").to_numpy(False), part.column("x").to_numpy(False), words(texts)
                 for size in sizes:
                     g = grams(w, size, whole_short=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[g.doc]), pa.array(g.hash.view(np.int64))], ["doc_id", "h"])
+                    columns = [pa.array(ids[g.doc]), pa.array(texts_[g.doc]), pa.array(g.hash.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "h"])
 
     # An item's k smallest hashes: the number per item is bounded by its own length.
     item = known.groupBy("item_id").agg(F.count("*").alias("q"))
@@ -170,11 +172,13 @@ def _find_shuffled(docs: DataFrame, known: DataFrame, containment: float, n: int
     item = item.withColumn("k", F.least("q", lack(largest).cast("long") + SPARE)).withColumn("lack", lack(F.col("q")))
     by = known.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
     signature = by.join(item, "item_id").select("item_id", "k", "lack", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
-    doc_grams = docs.mapInArrow(run, "doc_id long, h long")
-    hits = doc_grams.join(signature, "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("s"), F.first("k").alias("k"), F.first("lack").alias("lack"))
-    candidates = stage(hits.filter("s >= greatest(k - lack, 1)").select("doc_id", "item_id"), "candidate-items")
-    found = doc_grams.join(candidates.select("doc_id").distinct(), "doc_id").join(known, "h")
-    counted = found.join(candidates, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_found"))
+    row = ["doc_id", "x"]  # x tells the texts of a repeated doc_id apart
+    doc_grams = docs.withColumn("x", F.xxhash64("text")).mapInArrow(run, "doc_id long, x long, h long")
+    hits = doc_grams.join(signature, "h").groupBy(*row, "item_id").agg(F.count_distinct("h").alias("s"), F.first("k").alias("k"), F.first("lack").alias("lack"))
+    candidates = stage(hits.filter("s >= greatest(k - lack, 1)").select(*row, "item_id"), "candidate-items")
+    found = doc_grams.join(candidates.select(*row).distinct(), row).join(known, "h")
+    per_row = found.join(candidates, [*row, "item_id"]).groupBy(*row, "item_id").agg(F.count_distinct("h").alias("n_found"))
+    counted = per_row.groupBy("doc_id", "item_id").agg(F.max("n_found").alias("n_found"))
     return (
         counted.join(item.select("item_id", F.col("q").alias("n_grams")), "item_id")
         .filter(F.col("n_found") >= F.ceil(F.lit(containment) * F.col("n_grams") - 1e-9))

@@ -145,7 +145,7 @@ def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", ignore_index=True)
+    pdf = pdf.sort_values("key", ignore_index=True)
     texts = pdf["text"].tolist()
     sets: list[np.ndarray] = []
     for lo, hi in slices(texts):
@@ -156,7 +156,7 @@ def _verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     side = np.full(len(pdf), 2) if own == other else (pdf["block"] == other).to_numpy().astype(np.int64)
     i, j = linked(sets, side, threshold)
     links = np.bincount(i, minlength=len(pdf)) + np.bincount(j, minlength=len(pdf))
-    ids = pdf["doc_id"].to_numpy()
+    ids = pdf["key"].to_numpy()
     hit = links > 0
     return pd.DataFrame({"a": ids[hit], "b": ids[_roots(len(pdf), i, j)][hit], "links": links[hit]})
 
@@ -173,40 +173,38 @@ def near_classes(
         signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")),
         "distinct-texts",
     )
-    exploded = texts.select("rep", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    edges = exploded.join(buckets, "band").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    groups = stage(components(edges, "candidates").select(F.col("node").alias("rep"), F.col("root").alias("grp")), "candidate-groups")
+    exploded = texts.select("key", F.explode("bands").alias("band"))
+    buckets = exploded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    edges = exploded.join(buckets, "band").filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    roots = components(edges, "candidates").select(F.col("node").alias("key"), F.xxhash64("root").alias("grp"))
+    groups = stage(roots.join(texts.select("key", "rep"), "key"), "candidate-groups")
     release(spark)
 
     chosen = docs.filter("doc_id is not null").select("doc_id", "text")
-    with_text = (
-        chosen.join(sized(groups, 32), chosen["doc_id"] == groups["rep"])
-        .join(sized(texts.select("rep", F.col("key").alias("rep_key")), 64), "rep")
-        .select("doc_id", "text", "grp", "rep_key")
-    )
-    # A repeated doc_id may carry other texts; the representative's own text is what was signed.
+    with_text = chosen.join(sized(groups, 80), chosen["doc_id"] == groups["rep"]).select("text", "grp", F.col("key").alias("rep_key"))
+    # A repeated doc_id may carry other texts; every text has the key that was signed.
     digest = _digest_filter(with_text)
     sizes = digest.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
     split = sizes.select(
         "grp", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("nb")
     )
-    dealt = digest.join(split, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    dealt = digest.join(split, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    units = spread.select("doc_id", "text", "grp", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    units = spread.select("key", "text", "grp", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
     found = stage(
         # Dealt anew: the join's partitioning by group would keep all blocks of a large group in one task.
-        units.repartition("grp", "x", "y").groupBy("grp", "x", "y").applyInPandas(lambda pdf: _verify(pdf, n, threshold), "a long, b long, links long"),
+        units.repartition("grp", "x", "y").groupBy("grp", "x", "y").applyInPandas(lambda pdf: _verify(pdf, n, threshold), "a binary, b binary, links long"),
         "verified-links",
     )
     release(spark)
     root = components(found.select("a", "b"), "near-classes")
-    counted = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
+    counted = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
+    placed = texts.select("key", "rep", "n_copies").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     per_text = (
-        texts.select("key", "rep", "n_copies")
-        .join(root.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(counted, "rep", "left")
-        .select("key", "rep", "n_copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        placed.join(least, "root")
+        .join(counted, "key", "left")
+        .select("key", "rep", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     return signed.select("doc_id", "key").join(per_text, "key").select(
         "doc_id", "class_id", F.col("rep").alias("text_id"), "n_copies", "n_links"
@@ -214,7 +212,7 @@ def near_classes(
 
 
 def _digest_filter(df: DataFrame) -> DataFrame:
-    """Staged ``doc_id, text, grp`` once per representative text."""
+    """``key, text, grp`` of each candidate text, once; staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +221,10 @@ def _digest_filter(df: DataFrame) -> DataFrame:
                     hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() == k
                     for t, k in zip(texts, part.column("rep_key").to_pylist())
                 ]
-                yield part.filter(pa.array(same, pa.bool_())).drop_columns(["rep_key"])
+                yield part.filter(pa.array(same, pa.bool_())).rename_columns(["text", "grp", "key"])
 
-    kept = small_batches(df).mapInArrow(run, "doc_id long, text string, grp long")
-    return stage(kept, "candidate-texts").dropDuplicates(["doc_id"])
+    kept = small_batches(df).mapInArrow(run, "text string, grp long, key binary")
+    return stage(kept, "candidate-texts").dropDuplicates(["key"])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ then line) is taken out, so that no text vanishes from the corpus.
 
 Cases: a line is compared without blanks at its ends; empty lines are kept and never counted; a null text counts as empty and
 comes back empty; a null site is no site; documents without a doc_id are counted as sites but returned unchanged; rows
-that repeat a doc_id are one document with equal line numbers; a text may become empty; other columns pass through,
+that repeat a doc_id and its text are one document, those with another text are documents of their own; a text may become empty; other columns pass through,
 whatever their names.
 """
 
@@ -27,21 +27,21 @@ MARGIN = 0.1
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """Non-empty lines: ``d`` doc_id, ``i`` line number from 0, ``s`` site, and ``h``, ``n`` as the line's key."""
+    """Non-empty lines: ``d`` doc_id, ``x`` hash of the text, ``i`` line number from 0, ``s`` site, and ``h``, ``n`` as the line's key."""
     exploded = docs.select(
-        F.col("doc_id").alias("d"), F.col(site).cast("string").alias("s"), F.posexplode(F.split(F.col("text"), "\n")).alias("i", "t")
+        F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), F.col(site).cast("string").alias("s"), F.posexplode(F.split(F.col("text"), "\n")).alias("i", "t")
     ).withColumn("t", F.trim("t"))
-    return exploded.filter("t <> ''").select("d", "i", "s", F.xxhash64("t").alias("h"), F.length("t").alias("n"))
+    return exploded.filter("t <> ''").select("d", "x", "i", "s", F.xxhash64("t").alias("h"), F.length("t").alias("n"))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys ``h, n`` of lines on at least ``min_sites`` sites, with their first place ``d0, i0``; staged."""
+    """Keys ``h, n`` of lines on at least ``min_sites`` sites, with their first place ``d0, i0, x0``; staged."""
     lines = _lines(docs, site)
     spread = stage(
         lines.groupBy("h", "n")
         .agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("s", LOG_K)).alias("sites"),
-            F.min(F.when(F.col("d").isNotNull(), F.struct("d", "i"))).alias("first"),
+            F.min(F.when(F.col("d").isNotNull(), F.struct("d", "i", "x"))).alias("first"),
         )
         .filter(F.col("sites") >= min_sites * (1 - MARGIN)),
         "line-spread",
@@ -54,7 +54,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     far = spread.filter(F.col("sites") > min_sites * (1 + MARGIN))
     close = spread.join(exact.filter(F.col("exact") >= min_sites), ["h", "n"]).select(*far.columns)
     both = far.union(close)
-    return stage(both.select("h", "n", F.col("first.d").alias("d0"), F.col("first.i").alias("i0")), "boilerplate")
+    return stage(both.select("h", "n", F.col("first.d").alias("d0"), F.col("first.i").alias("i0"), F.col("first.x").alias("x0")), "boilerplate")
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -63,21 +63,28 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
 
 
 def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``__d`` and the sorted numbers ``__gone`` of its lines to take out, for documents that have any; staged."""
+    """``__d, __x`` (doc_id and hash of the text) and the sorted numbers ``__gone`` of its lines to take out, for documents that have any;
+    staged."""
     found = boilerplate(docs, site, min_sites)
-    hits = _lines(docs.filter("doc_id is not null"), site).join(sized(found, 32), ["h", "n"])
-    later = hits.filter((F.col("d") != F.col("d0")) | (F.col("i") != F.col("i0")))
-    return stage(later.groupBy(F.col("d").alias("__d")).agg(F.sort_array(F.collect_set("i")).alias("__gone")), "removed-lines")
+    hits = _lines(docs.filter("doc_id is not null"), site).join(sized(found, 40), ["h", "n"])
+    later = hits.filter((F.col("d") != F.col("d0")) | (F.col("i") != F.col("i0")) | (F.col("x") != F.col("x0")))
+    return stage(later.groupBy(F.col("d").alias("__d"), F.col("x").alias("__x")).agg(F.sort_array(F.collect_set("i")).alias("__gone")), "removed-lines")
 
 
 def _kept(text: Column, gone: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
+    """Lines whose numbers are not in ``gone`` (sorted): one mark per line up to the last of these, in a single pass."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.size(gone) - 1))
+    marks = F.flatten(F.zip_with(gone, before, lambda g, p: F.concat(F.array_repeat(F.lit(False), g - p - 1), F.array(F.lit(True)))))
+    lines = F.zip_with(F.split(text, "\n"), marks, lambda t, out: F.when(~F.coalesce(out, F.lit(False)), t))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))  # nulls are left out
 
 
 def _without(docs: DataFrame, gone: DataFrame, extra: bool = False) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
-    out = docs.join(sized(gone, 64), docs["doc_id"] == gone["__d"], "left")
+    numbers = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
+    row = 64 + 4 * numbers // max(1, gone.count())
+    same = (docs["doc_id"] == gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__x"])
+    out = docs.join(sized(gone, row), same, "left")
     columns = [_kept(text, F.col("__gone")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns]
     if extra:
         filled = F.size(F.filter(F.split(text, "\n"), lambda t: F.trim(t) != ""))

@@ -67,3 +67,12 @@ def test_odd_cases(spark, odd_docs, no_docs):
     left = d.drop_contaminated(odd_docs, bench)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 5
     assert d.find(no_docs, bench).count() == 0 and d.find(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_rows_of_a_doc_id_are_judged_alike_at_every_size(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    words = item.split()
+    docs = spark.createDataFrame([(1, " ".join(words[:8])), (1, " ".join(words[4:])), (2, "x " + item), (2, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = [sorted(tuple(r) for r in d.find(docs, items, item_bytes=size).collect()) for size in (d.ITEM_BYTES, 0)]
+    assert found[0] == found[1] == [(2, 7, 8, 8, 1.0)]

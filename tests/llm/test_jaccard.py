@@ -73,6 +73,14 @@ def test_a_large_group_in_blocks(spark, small_blocks):
     assert {c for c, _, _ in got.values()} == {0}
 
 
+def test_a_doc_id_with_two_texts(spark):
+    """Each text keeps its links."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_odd_cases(odd_docs, no_docs):
     rows = {r.doc_id: r for r in jaccard.near_classes(odd_docs).collect()}
     assert rows[1].class_id == rows[2].class_id == rows[3].class_id == 1 and rows[1].n_copies == 2

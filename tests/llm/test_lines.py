@@ -47,6 +47,13 @@ def test_all_rows_and_columns_stay(odd_docs):
     assert lines.with_lengths(out).filter("n_chars <> length(text)").count() == 0
 
 
+def test_a_doc_id_with_two_texts_and_a_long_text(spark):
+    rows = [(k, f"menu\nown {k}", f"s{k}") for k in range(10)]
+    rows += [(50, "menu\nown 50", "s1"), (50, "precious\nother", "s2"), (51, "\n".join(["menu", "mine"] * 30_000), "s3")]
+    got = sorted((r.doc_id, r.text) for r in lines.drop_boilerplate(make(spark, rows)).collect() if r.doc_id >= 50)
+    assert got == [(50, "own 50"), (50, "precious\nother"), (51, "\n".join(["mine"] * 30_000))]
+
+
 def test_native_plan(odd_docs):
     plan = lines.report(odd_docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
