@@ -295,3 +295,15 @@ SQL: dict[str, str] = {
     "gpa_tier_filter": with_(SEM) + """SELECT *, 'average' AS gpa_tier FROM sem
       WHERE semester_gpa BETWEEN 2.5 AND 3.5 AND semester_gpa < 3.0 AND avg_attendance_pct BETWEEN 60 AND 90""",
 }
+
+SQL |= {
+    "scholarship_ranks": with_(STUDENT) + """SELECT student_key, department_key, scholarship_amount,
+      rank() OVER (ORDER BY scholarship_amount DESC) AS overall_rank, dense_rank() OVER (ORDER BY scholarship_amount DESC) AS overall_dense,
+      rank() OVER (PARTITION BY department_key ORDER BY scholarship_amount DESC) AS dept_rank,
+      dense_rank() OVER (PARTITION BY department_key ORDER BY scholarship_amount DESC) AS dept_dense FROM student""",
+    "student_pages": with_(STUDENT) + """, placed AS (
+      SELECT student_key, student_id, scholarship_amount, row_number() OVER (ORDER BY scholarship_amount DESC, student_key) - 1 AS place,
+        count(*) OVER () * 3 // 4 AS deep FROM student)
+      SELECT student_key, student_id, scholarship_amount, CASE WHEN place < 50 THEN 0 ELSE deep END AS page_offset FROM placed WHERE place < 50
+      UNION ALL SELECT student_key, student_id, scholarship_amount, deep FROM placed WHERE place >= deep AND place < deep + 50 AND place >= 50""",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lyceum import schemas
 from lyceum.functions import text
-from lyceum.operators import cleaning, governance, gpa, keys, merge, quality, ranking
+from lyceum.operators import cleaning, governance, gpa, keys, merge, quality, ranges, ranking
 from lyceum.plans import attendance as att
 from lyceum.plans import courses, departments, loads, overview, risk, students, views
 from lyceum.sources import campus, date_dim, readers, sinks, staging, warehouse
@@ -294,6 +294,25 @@ def student_list_page(spark, sf):
     return students.list_page(kept, limit=50, offset=100)
 
 
+@query
+def scholarship_ranks(spark, sf):
+    """Ranks by scholarship, of which nearly every student has another, overall and within the department."""
+    rows = campus.students(spark, sf).select("student_key", "department_key", "scholarship_amount")
+    overall = ranges.with_ranks(rows, "scholarship_amount").withColumnsRenamed({"rank": "overall_rank", "dense_rank": "overall_dense"})
+    return ranges.with_ranks(overall, "scholarship_amount", ["department_key"]).withColumnsRenamed({"rank": "dept_rank", "dense_rank": "dept_dense"})
+
+
+@query
+def student_pages(spark, sf):
+    """First page and one past three quarters of a listing by scholarship, from a directory of its ranges."""
+    order = [F.col("scholarship_amount").desc(), F.col("student_key").asc()]
+    path = staging.scratch_path(spark, "student-pages")
+    ranges.write_pages(campus.students(spark, sf).select("student_key", "student_id", "scholarship_amount"), path, order, ranges=8)
+    deep = ranges.total_rows(spark, path) * 3 // 4
+    pages = [ranges.read_page(spark, path, order, at, 50).withColumn("page_offset", F.lit(at).cast("bigint")) for at in (0, deep)]
+    return pages[0].unionByName(pages[1])
+
+
 @query
 def student_risk_factors(spark, sf):
     return risk.risk_factors(students.listing(campus.semester_gpa(spark, sf), campus.students(spark, sf)))
