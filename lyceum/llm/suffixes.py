@@ -16,7 +16,8 @@ Sorting every suffix of the corpus would move many times its size.  Only suffixe
    their ``length`` bytes, again combined before the shuffle.
 
 Cases: null counts as empty; texts shorter than ``length`` keep every byte; rows without a doc_id are returned whole and take no
-part; rows that repeat a doc_id are one document, whose equal places are the same place; other columns are not read.
+part; rows that repeat a doc_id and its text are one document, whose equal places are the same place; rows that repeat a
+doc_id with another text are documents of their own, ordered by the hash of their texts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and ``v``, which tells the texts of one doc_id apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("v"))
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, key: int = KEY) -> dict[str, np.ndarray]:
     """Anchors of all texts: ``doc`` index, place ``p``, first and last start ``s`` and ``e`` it stands for, bucket ``h`` and
     context ``x``."""
@@ -84,9 +90,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, key: int = KEY) -> dict[st
 
 
 def _anchor_rows(docs: DataFrame, only_bucket: bool, length: int, key: int) -> DataFrame:
-    """Bucket ``h`` of each anchor, and unless only that is asked for its context ``x``, document ``d`` and place ``l``:
-    one number with ``p`` in front, the starts before it and their count less one in ``_BITS`` bits each."""
-    names = ["h"] if only_bucket else ["h", "x", "d", "l"]
+    """Bucket ``h`` of each anchor, and unless only that is asked for its context ``x``, document ``d, v`` (doc_id and text
+    hash) and place ``l``: one number with ``p`` in front, the starts before it and their count less one in ``_BITS`` bits each."""
+    names = ["h"] if only_bucket else ["h", "x", "d", "v", "l"]
     if length - key >= 1 << _BITS:
         raise ValueError("a window must hold fewer starts than 2 ** _BITS")
 
@@ -94,7 +100,9 @@ def _anchor_rows(docs: DataFrame, only_bucket: bool, length: int, key: int) -> D
         for batch in batches:
             for part, texts in text_slices(batch):
                 found = anchors([_raw(t) for t in texts], length, key)
-                found["d"] = part.column("doc_id").to_numpy(False)[found["doc"]]
+                if not only_bucket:
+                    found["d"] = part.column("doc_id").to_numpy(False)[found["doc"]]
+                    found["v"] = part.column("v").to_numpy(False)[found["doc"]]
                 found["l"] = (found["p"] << 2 * _BITS) | (found["p"] - found["s"] << _BITS) | (found["e"] - found["s"])
                 yield pa.RecordBatch.from_arrays([pa.array(found[n].astype(np.int64)) for n in names], names)
 
@@ -197,51 +205,54 @@ def equal_starts(bucket: np.ndarray, contexts: list[bytes], length: int = LENGTH
 
 
 def _resolve(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeated byte ranges ``d, a, b`` (b exclusive) found in one block of contexts."""
-    d, s = pdf["d"].to_numpy(np.int64), pdf["s"].to_numpy(np.int64)
+    """Repeated byte ranges ``d, v, a, b`` (b exclusive) found in one block of contexts."""
+    d, v, s = (pdf[n].to_numpy(np.int64) for n in "dvs")
     context, offset, klass = equal_starts(pdf["h"].to_numpy(), pdf["context"].to_list(), length)
     start = s[context] + offset
-    order = np.lexsort((start, d[context], klass))
-    klass, doc, start = klass[order], d[context][order], start[order]
+    order = np.lexsort((start, v[context], d[context], klass))
+    klass, doc, text, start = klass[order], d[context][order], v[context][order], start[order]
     if not len(klass):
-        return pd.DataFrame({"d": [], "a": [], "b": []})
-    place = np.concatenate([[0], np.cumsum((klass[1:] != klass[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))])
+        return pd.DataFrame({"d": [], "v": [], "a": [], "b": []})
+    other = (klass[1:] != klass[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    place = np.concatenate([[0], np.cumsum(other | (start[1:] != start[:-1]))])
     lead = np.concatenate([[True], klass[1:] != klass[:-1]])
     least = place[np.maximum.accumulate(np.where(lead, np.arange(len(klass)), 0))]
     later = place != least
-    return _runs(doc[later], start[later], length)
+    return _runs(doc[later], text[later], start[later], length)
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
+    order = np.lexsort((start, text, doc))
+    doc, text, start = doc[order], text[order], start[order]
     if not len(doc):
-        return pd.DataFrame({"d": [], "a": [], "b": []})
-    fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]))
+        return pd.DataFrame({"d": [], "v": [], "a": [], "b": []})
+    other = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    fresh = np.flatnonzero(np.concatenate([[True], other | (start[1:] > start[:-1] + 1)]))
     last = np.append(fresh[1:], len(doc)) - 1
-    return pd.DataFrame({"d": doc[fresh], "a": start[fresh], "b": start[last] + length})
+    return pd.DataFrame({"d": doc[fresh], "v": text[fresh], "a": start[fresh], "b": start[last] + length})
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``h, n, d, s, context`` with the bytes of each wanted ``h, n, d, s, e``; staged."""
-    lists = stage(wanted.groupBy(F.col("d").alias("doc")).agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("l")), "wanted-contexts")
-    joined = docs.join(lists, docs["doc_id"] == lists["doc"]).select("doc", "text", "l")
+    """``h, n, d, v, s, context`` with the bytes of each wanted ``h, n, d, v, s, e``; staged."""
+    lists = stage(wanted.groupBy("d", "v").agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("l")), "wanted-contexts")
+    joined = docs.withColumnRenamed("doc_id", "d").join(lists, ["d", "v"]).select("d", "v", "text", "l")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_slices(batch):
-                out: dict[str, list] = {k: [] for k in ("h", "n", "d", "s", "context")}
-                for doc, text, wanted_ in zip(rows.column("doc").to_pylist(), texts, rows.column("l").to_pylist()):
+                out: dict[str, list] = {k: [] for k in ("h", "n", "d", "v", "s", "context")}
+                columns = (rows.column(n).to_pylist() for n in ("d", "v", "l"))
+                for doc, hashed, wanted_, text in zip(*columns, texts):
                     raw = _raw(text)
                     for w in wanted_:
                         part = raw[w["s"] : w["e"] + length]
                         if len(part) == w["e"] + length - w["s"]:
-                            for k, v in (("h", w["h"]), ("n", w["n"]), ("d", doc), ("s", w["s"]), ("context", part)):
-                                out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                            for values, value in zip(out.values(), (w["h"], w["n"], doc, hashed, w["s"], part)):
+                                values.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
-    return stage(joined.mapInArrow(run, "h long, n long, d long, s int, context binary"), "contexts")
+    return stage(joined.mapInArrow(run, "h long, n long, d long, v long, s int, context binary"), "contexts")
 
 
 def _large(contexts: DataFrame, length: int) -> DataFrame:
@@ -251,43 +262,43 @@ def _large(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
-                digests, d, a = [], [], []
-                for doc, s, c in zip(part.column("d").to_pylist(), part.column("s").to_pylist(), part.column("context").to_pylist()):
+                digests, d, v, a = [], [], [], []
+                for doc, text, s, c in zip(*(part.column(n).to_pylist() for n in ("d", "v", "s", "context"))):
                     many = len(c) - length + 1
                     digests.extend(hashlib.blake2b(c[k : k + length], digest_size=16).digest() for k in range(many))
                     d.extend([doc] * many)
+                    v.extend([text] * many)
                     a.extend(range(s, s + many))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(d, pa.int64()), pa.array(a, pa.int32())], ["g", "d", "a"])
+                values = [pa.array(digests, pa.binary()), pa.array(d, pa.int64()), pa.array(v, pa.int64()), pa.array(a, pa.int32())]
+                yield pa.RecordBatch.from_arrays(values, ["g", "d", "v", "a"])
 
-    starts = contexts.mapInArrow(run, "g binary, d long, a int")
-    first = starts.groupBy("g").agg(F.min(F.struct("d", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    later = starts.join(first, "g").filter((F.col("d") != F.col("f.d")) | (F.col("a") != F.col("f.a")))
-    return later.select("d", "a", (F.col("a") + length).alias("b"))
+    starts = contexts.mapInArrow(run, "g binary, d long, v long, a int")
+    first = starts.groupBy("g").agg(F.min(F.struct("d", "v", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    later = starts.join(first, "g").filter(F.struct("d", "v", "a") != F.col("f"))
+    return later.select("d", "v", "a", (F.col("a") + length).alias("b"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, key: int = KEY, bucket: int = BUCKET) -> DataFrame:
-    """``doc``, and its repeated byte ranges as arrays ``a`` and ``b`` (b exclusive): maximal runs in order; staged."""
+    """``d, v`` of a document, and its repeated byte ranges as arrays ``a`` and ``b`` (b exclusive): maximal runs in order; staged."""
     spark = docs.sparkSession
-    docs = small_batches(docs.filter("doc_id is not null").select("doc_id", "text"))
+    docs = small_batches(_keyed(docs.filter("doc_id is not null")))
     twice = stage(_anchor_rows(docs, True, length, key).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared-buckets")
     release(spark)
     places = stage(_anchor_rows(docs, False, length, key).join(twice, "h"), "shared-anchors")
     release(spark)
-    context = stage(places.groupBy("h", "x").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("m")), "distinct-contexts")
-    again = places.join(context.filter("m > 1").select("h", "x", F.col("f.d").alias("fd"), F.col("f.l").alias("fl")), ["h", "x"])
-    copies = stage(
-        again.filter("d <> fd or l <> fl").select("d", _first_start("l").alias("a"), (_last_start("l") + length).alias("b")), "copied-ranges"
-    )
+    context = stage(places.groupBy("h", "x").agg(F.min(F.struct("d", "v", "l")).alias("f"), F.count("*").alias("m")), "distinct-contexts")
+    again = places.join(context.filter("m > 1").select("h", "x", "f"), ["h", "x"]).filter(F.struct("d", "v", "l") != F.col("f"))
+    copies = stage(again.select("d", "v", _first_start("l").alias("a"), (_last_start("l") + length).alias("b")), "copied-ranges")
     crowded = context.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    chosen = context.join(crowded, "h").select("h", "n", "f.d", "f.l")
-    wanted = stage(chosen.select("h", "n", "d", _first_start("l").alias("s"), _last_start("l").alias("e")), "crowded-contexts")
+    chosen = context.join(crowded, "h").select("h", "n", "f.d", "f.v", "f.l")
+    wanted = stage(chosen.select("h", "n", "d", "v", _first_start("l").alias("s"), _last_start("l").alias("e")), "crowded-contexts")
     release(spark)
     texts = _contexts(docs, wanted, length)
     small = texts.filter(F.col("n") <= bucket)
     total = small.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
-    sorted_ = small.select("h", "d", "s", "context", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")).groupBy("block")
-    resolved = sorted_.applyInPandas(lambda pdf: _resolve(pdf, length), "d long, a int, b int")
+    sorted_ = small.select("h", "d", "v", "s", "context", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")).groupBy("block")
+    resolved = sorted_.applyInPandas(lambda pdf: _resolve(pdf, length), "d long, v long, a int, b int")
     ranges = copies.union(resolved).union(_large(texts.filter(F.col("n") > bucket), length))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,16 +312,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, key: int = KEY, bucket: int
                 fresh = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
                 starts.append(a[fresh])
                 ends.append(b[np.append(fresh[1:], len(a)) - 1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["doc", "a", "b"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("v"), *lists], ["d", "v", "a", "b"])
 
-    listed = ranges.groupBy(F.col("d").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("l"))
-    return stage(listed.mapInArrow(merge, "doc long, a array<long>, b array<long>"), "repeated-ranges")
+    listed = ranges.groupBy("d", "v").agg(F.collect_list(F.struct("a", "b")).alias("l"))
+    return stage(listed.mapInArrow(merge, "d long, v long, a array<long>, b array<long>"), "repeated-ranges")
 
 
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
     spans = gone.agg(F.coalesce(F.sum(F.size("a")), F.lit(0))).first()[0]
-    row = 48 + 16 * spans // max(1, gone.count())
-    return docs.join(sized(gone, row), docs["doc_id"] == gone["doc"], "left").select("doc_id", "text", "a", "b")
+    row = 56 + 16 * spans // max(1, gone.count())
+    keyed = _keyed(docs).withColumnRenamed("doc_id", "d")
+    return keyed.join(sized(gone, row), ["d", "v"], "left").select(F.col("d").alias("doc_id"), "text", "a", "b")
 
 
 def keep(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -66,6 +66,22 @@ def test_difference_cover_has_a_shift_for_every_pair():
             assert {(a + shifts[a, b]) % suffixes.PERIOD, (b + shifts[a, b]) % suffixes.PERIOD} <= cover
 
 
+def test_rows_of_one_doc_id_with_other_texts_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    shared, own, third = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, shared), (2, shared), (2, own), (3, own), (3, third), (3, third), (4, own + third)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, r.n_bytes) for r in suffixes.digests(frame).collect())
+    assert got == [(1, 0, 300), (2, 0, 300), (2, 300, 300), (3, 0, 300), (3, 0, 300), (3, 300, 300), (4, 600, 600)]
+
+
+def test_one_string_in_two_texts_of_a_doc_id_stays_once(spark):
+    rng = random.Random(9)
+    shared, x, y = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    frame = spark.createDataFrame([(5, shared + "X" + x), (5, shared + "Y" + y)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffixes.digests(frame).collect()) == [0, 200]
+
+
 def test_odd_cases(odd_docs, no_docs):
     rows = suffixes.digests(odd_docs).collect()
     assert len(rows) == odd_docs.count()
