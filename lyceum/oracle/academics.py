@@ -225,6 +225,14 @@ SQL: dict[str, str] = {
            WHEN repeat_risk_score >= 6 THEN 'Academic Probation Review – Dean Notification'
            ELSE 'Advisor Outreach Recommended' END AS recommended_action
       FROM x {_NAMED} WHERE total_risk_score >= 25""",
+    "student_look_backs": with_(CUM) + f"""SELECT student_key, department_key, academic_year, semester, semester_gpa, cumulative_gpa,
+      avg_attendance_pct, lag(semester_gpa) OVER ({_T}) AS prev_gpa_1sem, lag(semester_gpa, 2) OVER ({_T}) AS prev_gpa_2sem,
+      lag(avg_attendance_pct) OVER ({_T}) AS prev_attendance_1sem,
+      {half_up(f"sum({units('semester_gpa', 3)}) {_THREE}", f"count(semester_gpa) {_THREE} * 1000", 2)} AS rolling_3sem_gpa,
+      {half_up(f"sum({units('avg_attendance_pct', 2)}) {_THREE}", f"count(avg_attendance_pct) {_THREE} * 100", 2)} AS rolling_3sem_attendance,
+      count(*) FILTER (WHERE semester_gpa < 2.0) {_SO_FAR} AS low_gpa_semester_count,
+      count(*) FILTER (WHERE avg_attendance_pct < 75) {_SO_FAR} AS low_attendance_semester_count,
+      CAST(row_number() OVER ({_T}) AS INTEGER) AS semester_sequence FROM cum""",
     "probation": with_(CUM, STUDENT, DEPT, f"""x AS (
       SELECT *, count(*) OVER ({_T} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_low_gpa_semesters
       FROM cum WHERE semester_gpa < 2.0)""")

@@ -258,6 +258,7 @@ SQL: dict[str, str] = {
       department_key, student_type, scholarship, -1.0::DOUBLE AS scholarship_amount, is_current FROM student""",
     "rls_fact_dept_admin": with_(SEM, DEPT, _GRANTS)
     + f"SELECT department_key, count(*) AS visible_rows FROM sem WHERE department_key IN {_MY_DEPT} GROUP BY 1",
+    "rls_fact_pruned": with_(SEM, DEPT, _GRANTS) + f"SELECT * FROM sem WHERE department_key IN {_MY_DEPT}",
     "rls_fact_instructor": with_(SEM) + """SELECT * FROM sem WHERE department_key IN (
       SELECT s_nationkey FROM supplier WHERE s_name = 'Supplier#000000001' AND s_acctbal > 0)""",
     "rls_student_instructor": with_(STUDENT) + """SELECT student_key, student_id, department_key FROM student
@@ -312,6 +313,7 @@ SQL |= {
       o_orderstatus = 'P' AS is_corrupt FROM orders""",
     "json_round_trip": """SELECT s_suppkey AS instructor_key, s_name AS instructor_id, CAST(s_nationkey AS BIGINT) AS department_key,
       s_acctbal > 0 AS is_active FROM supplier""",
+    "interleaved_table": "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity FROM lineitem",
     "clustered_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "staging_reload": """SELECT 'students.csv' AS source_file, TRUE AS is_valid, count(*) AS row_count FROM customer
       UNION ALL SELECT 'attendance.csv', TRUE, 2 * count(*) FROM events""",

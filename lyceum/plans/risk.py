@@ -61,15 +61,25 @@ def _three_term_mean(column: str, digits: int) -> Column:
     return total / (F.count(column).over(_last_three()) * F.lit(10**digits))
 
 
-def _history(semesters: DataFrame) -> DataFrame:
-    """Look-backs of both models: one shuffle on the student, one sort, bounded partitions."""
-    gpa_units = F.sum(scaled(F.col("semester_gpa"), 3)).over(_last_three())
-    gpa_count = F.count("semester_gpa").over(_last_three())
+def _three_term_shown(column: str, digits: int) -> Column:
+    """The same mean, rounded to two digits."""
+    total = F.sum(scaled(F.col(column), digits)).over(_last_three())
+    return half_up(total, F.count(column).over(_last_three()) * F.lit(10**digits), 2)
+
+
+def history(semesters: DataFrame) -> DataFrame:
+    """Each semester with its look-backs: one shuffle on the student, one sort, bounded partitions.
+
+    Look-backs that a caller does not select are pruned from the window.
+    """
     return semesters.withColumns(
         {
             "prev_gpa": F.lag("semester_gpa", 1).over(_time()),
+            "prev_gpa_2sem": F.lag("semester_gpa", 2).over(_time()),
+            "prev_attendance": F.lag("avg_attendance_pct", 1).over(_time()),
             "gpa_mean3": _three_term_mean("semester_gpa", 3),
-            "gpa_mean3_shown": half_up(gpa_units, gpa_count * F.lit(1000), 2),
+            "gpa_mean3_shown": _three_term_shown("semester_gpa", 3),
+            "attendance_mean3_shown": _three_term_shown("avg_attendance_pct", 2),
             "low_gpa_semester_count": F.count_if(F.col("semester_gpa") < PROBATION_GPA).over(_so_far()),
             "low_attendance_semester_count": F.count_if(F.col("avg_attendance_pct") < LOW_ATTENDANCE).over(_so_far()),
             "semester_sequence": F.row_number().over(_time()),
@@ -77,6 +87,16 @@ def _history(semesters: DataFrame) -> DataFrame:
     )
 
 
+def look_backs(semesters: DataFrame) -> DataFrame:
+    """What the models know of a student's past at each semester, without a score."""
+    return history(semesters).select(
+        "student_key", "department_key", *PERIOD, "semester_gpa", "cumulative_gpa", "avg_attendance_pct",
+        F.col("prev_gpa").alias("prev_gpa_1sem"), "prev_gpa_2sem", F.col("prev_attendance").alias("prev_attendance_1sem"),
+        F.col("gpa_mean3_shown").alias("rolling_3sem_gpa"), F.col("attendance_mean3_shown").alias("rolling_3sem_attendance"),
+        "low_gpa_semester_count", "low_attendance_semester_count", "semester_sequence",
+    )
+
+
 def early_warning(semesters: DataFrame, students: DataFrame, departments: DataFrame, floor: int = 30) -> DataFrame:
     """Additive model: low GPA, low attendance, a fall against the three-semester mean, missing credits."""
     gpa, att = F.col("semester_gpa"), F.col("avg_attendance_pct")
@@ -120,7 +140,7 @@ def scoring(semesters: DataFrame, students: DataFrame, departments: DataFrame, f
     }
     total = sum((F.col(name) for name in parts), start=F.lit(0))
     scored = (
-        _history(semesters)
+        history(semesters)
         .withColumns(parts)
         .withColumn("total_risk_score", F.least(F.lit(100), total))
         .filter(F.col("total_risk_score") >= floor)

@@ -180,6 +180,11 @@ def risk_early_warning(spark, sf):
     )
 
 
+@query
+def student_look_backs(spark, sf):
+    return risk.look_backs(campus.semester_gpa_full(spark, sf))
+
+
 @query
 def risk_scoring(spark, sf):
     return risk.scoring(
@@ -648,6 +653,19 @@ def rls_fact_dept_admin(spark, sf):
     return rows.groupBy("department_key").agg(F.count(F.lit(1)).alias("visible_rows"))
 
 
+@query
+def rls_fact_pruned(spark, sf):
+    """Department grants on facts laid out by department: the scan opens the partitions of granted departments only."""
+    facts = campus.semester_gpa(spark, sf)
+    path = staging.scratch_path(spark, "gpa-by-department")
+    sinks.write_clustered(facts, path, partition_by=["department_key"], cluster_by=["student_key"])
+    depts = campus.departments(spark, sf)
+    return governance.visible_facts(
+        spark.read.schema(facts.schema).parquet(path), ADMIN, grants=governance.keyed_grants(_grants(spark, sf), depts),
+        departments=depts, instructors=campus.instructors(spark, sf),
+    ).select(*facts.columns)
+
+
 @query
 def rls_fact_instructor(spark, sf):
     return governance.visible_facts(
@@ -865,6 +883,15 @@ def clustered_table(spark, sf):
     return readers.read_table(spark, target, "parquet").select(*orders.columns)
 
 
+@query
+def interleaved_table(spark, sf):
+    """Lines laid out by course and day at once: a filter on either skips files."""
+    lines = campus.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
+    path = staging.scratch_path(spark, "lines-interleaved")
+    sinks.write_interleaved(lines, path, keys=["l_partkey", "l_shipdate"])
+    return readers.read_table(spark, path, "parquet").select(*lines.columns)
+
+
 @query
 def staging_reload(spark, sf):
     """Staging tables after two deliveries: students are replaced, attendance is appended."""

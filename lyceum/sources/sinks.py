@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum.sources.staging import stage
@@ -76,6 +76,45 @@ def write_clustered(
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+#: Bits of each key in an interleaved order: 2 ** bits - 1 bounds per key come to the driver.
+ORDER_BITS = 8
+
+
+def _quantile(key: str, bounds: Sequence | None, bits: int) -> Column:
+    """Number of ``bounds`` that are not above the key, by halving; 0 for a null key."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    limits = F.array(*map(F.lit, bounds))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+    return F.aggregate(
+        halves, F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) <= F.col(key), at + step).otherwise(at)
+    ).cast("long")
+
+
+def write_interleaved(
+    df: DataFrame, path: str, *, keys: Sequence[str], files: int | None = None, bits: int = ORDER_BITS
+) -> None:
+    """Table whose files are narrow on each of several number, date or time keys, so that a filter on any of them skips files.
+
+    Rows are ordered by the bits of their keys' quantiles, taken in turns; a hash of the row after that splits rows that are equal on all
+    keys over several files.  ``df`` is read twice: once for the quantiles, which are sketches merged by aggregation.
+    """
+    if bits * len(keys) > 62:
+        raise ValueError("the interleaved bits must fit one long")
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    bounds = df.agg(*(F.percentile_approx(k, shares).alias(str(i)) for i, k in enumerate(keys))).first()
+    free = "_" * (1 + max(map(len, df.columns)))  # longer than any column, so no name clashes
+    places = {f"{free}{i}": _quantile(k, bounds[i], bits) for i, k in enumerate(keys)}
+    order = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i in range(len(keys)):
+            order = order.bitwiseOR(F.shiftleft(F.shiftright(f"{free}{i}", bit).bitwiseAND(F.lit(1)), bit * len(keys) + i))
+    placed = df.withColumns(places).withColumn(f"{free}order", order).withColumn(f"{free}split", F.xxhash64(*df.columns))
+    by = [f"{free}order", f"{free}split"]
+    ranged = placed.repartitionByRange(files, *by) if files else placed.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).select(*df.columns).write.mode("overwrite").parquet(path)
+
+
 def write_bucketed(
     df: DataFrame, name: str, *, by: str, buckets: int, path: str | None = None, partition_by: Sequence[str] = ()
 ) -> None:
