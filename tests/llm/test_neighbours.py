@@ -43,6 +43,18 @@ def test_graph_of_unnormed_vectors():
     assert all((a < len(a)).all() and (a >= -1).all() for a in layers)
 
 
+def test_recall_on_uneven_lengths(spark):
+    rng = np.random.default_rng(4)
+    gauss = rng.normal(size=(4_000, 64)).astype(np.float32)
+    uneven = (rng.normal(size=(4_000, 64)) * rng.lognormal(0, 0.7, (4_000, 1))).astype(np.float32)
+    for x in (gauss, uneven):
+        frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "v": x.tolist()}), "id long, v array<float>")
+        got = neighbours.search(frame, shard_rows=1_500).toPandas()
+        want = brute(dict(enumerate(x)), 20)
+        assert len(got) == 20 * len(want)
+        assert sum(len({i for i, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id")) / len(got) >= 0.97
+
+
 def test_odd_cases(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (20, None), (40, []), (60, [0.0, 0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (None, v), (0, v), (140, [1.0, 2.0, 3.0])]
