@@ -56,18 +56,20 @@ def upsert(
     *,
     update: Sequence[str],
     changed: tuple[str, ...],
+    insert: bool = True,
 ) -> DataFrame:
     """Rows of ``source`` replace or join those of ``target``.
 
     A matched row takes the ``update`` columns from the source when any ``changed`` column
     differs (a NULL on either side does not count as different); its other columns stay.
-    Unmatched source rows are inserted.  Both sides have one row per key.
+    Unmatched source rows are inserted, or left out without ``insert``: a small ``source`` can then be broadcast.
+    Both sides have one row per key.
     """
     columns = target.columns
     left = target.select(F.struct(*columns).alias("t"), *(F.col(k).alias(f"_t_{k}") for k in keys))
     right = source.select(F.struct(*columns).alias("s"), *(F.col(k).alias(f"_s_{k}") for k in keys))
     match = _same_keys(keys)
-    joined = left.join(right, match, "full")
+    joined = left.join(right, match, "full" if insert else "left")
     is_new = F.col("t").isNull()
     differs = F.lit(False)
     for name in changed:

@@ -38,7 +38,8 @@ def opened_rows(store: Store, touched: list) -> DataFrame:
     stored = store.read(TABLE, schemas.FACT_SEMESTER_GPA)
     order = semester_order(F.col("academic_year"), F.col("semester"))
     spark = stored.sparkSession
-    first = spark.createDataFrame([(p.academic_year, p.semester) for p in touched], "academic_year string, semester string")
+    periods = [F.struct(*(F.lit(p[c]).cast("string").alias(c) for c in gpa.PERIOD)) for p in touched]
+    first = spark.range(1).select(F.inline(F.array(*periods)))
     low = first.agg(F.min(F.coalesce(order, F.lit(-1)))).first()[0]  # one row per partition
     known = stored.select(*gpa.PERIOD).distinct().filter((order >= F.lit(low)) | order.isNull()).collect()
     return stored.filter(in_partitions(known))

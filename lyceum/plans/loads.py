@@ -95,9 +95,9 @@ def attendance_rows(raw: DataFrame, students: DataFrame, courses: DataFrame, ins
     )
 
 
-def merge_performance(target: DataFrame, source: DataFrame) -> DataFrame:
+def merge_performance(target: DataFrame, source: DataFrame, *, insert: bool = True) -> DataFrame:
     """Upsert on the enrollment id where the hash differs."""
-    return merge.upsert(target, source, ["enrollment_id"], update=PERFORMANCE_UPDATES, changed=("row_hash",))
+    return merge.upsert(target, source, ["enrollment_id"], update=PERFORMANCE_UPDATES, changed=("row_hash",), insert=insert)
 
 
 def merge_attendance(target: DataFrame, source: DataFrame, *, update: bool = True) -> DataFrame:
@@ -153,8 +153,8 @@ def upsert_performance_table(
 ) -> None:
     """Upsert enrollments and bring their attendance up to date, in the semesters concerned only.
 
-    Those are the semesters of the incoming rows, the semesters in which their ids are already
-    stored (found by a scan of three columns) and the semesters of the attendance ``days`` that
+    Those are the semesters of the incoming rows that are new or differ from the stored ones, the semesters in which
+    their ids are already stored (found by a scan of four columns) and the semesters of the attendance ``days`` that
     were loaded.  The table is partitioned by semester; other partitions are not touched.
     """
     stored = existing(spark, path, schemas.FACT_PERFORMANCE)
@@ -165,21 +165,48 @@ def performance_of_semesters(
     stored: DataFrame, incoming: DataFrame, attendance: DataFrame, days: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Stored and incoming enrollments of the semesters concerned, merged, and these semesters."""
-    new = stage(incoming, "performance-incoming")
-    ids = new.select("enrollment_id")
-    known = stored.select("enrollment_id", *FACT_PARTITIONS).join(ids, "enrollment_id", "left_semi")
-    parts = [df.select(*FACT_PARTITIONS).distinct() for df in (known, new, dated(days))]
-    touched = stage(parts[0].union(parts[1]).union(parts[2]).distinct(), "semesters-touched")
+    new = stage(changed_rows(stored, incoming), "performance-incoming")
+    known = new.filter("_known").select(*(F.col(f"_{c}").alias(c) for c in FACT_PARTITIONS))
+    new_parts = new.select(*FACT_PARTITIONS).distinct()
+    touched = stage(known.distinct().union(new_parts).union(dated(days.distinct()).select(*FACT_PARTITIONS)).distinct(), "semesters-touched")
     current = touched_semesters(stored, touched)
-    days_of, semesters = dated(attendance).alias("a"), touched.alias("s")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FACT_PARTITIONS]
-    recorded = days_of.join(semesters, same, "left_semi")
-    return backfill_attendance(merge_performance(current, new), recorded), touched
+    # Attendance of a semester without enrollments has nothing to bring up to date.
+    enrolled = stage(current.select(*FACT_PARTITIONS).distinct().union(new_parts).distinct(), "semesters-enrolled")
+    recorded = dated(attendance)
+    for semesters in (touched, enrolled):
+        recorded = _of_semesters(recorded, semesters)
+    actual = stage(att.student_course_pct(recorded), "attendance-pct")
+    columns = schemas.FACT_PERFORMANCE.names
+    # Most of a delivery is new or as stored; staged apart, few updates are broadcast and no stored row is shuffled.
+    updates = stage(new.filter("_known").select(*columns), "performance-updates")
+    inserts = new.filter(~F.col("_known")).select(*columns)
+    merged = merge_performance(current, updates, insert=False).unionByName(inserts)
+    return _backfill(merged, actual), touched
+
+
+def changed_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming rows that a merge would insert or update, with whether their id is stored (``_known``) and its semester there.
+
+    A delivery repeats what earlier ones brought; rows with the stored hash change nothing, so their semesters stay closed.
+    """
+    there = stored.select(
+        F.col("enrollment_id").alias("_id"), F.col("row_hash").alias("_hash"), *(F.col(c).alias(f"_{c}") for c in FACT_PARTITIONS)
+    )
+    met = incoming.join(there, F.col("enrollment_id") == F.col("_id"), "left").withColumn("_known", F.col("_id").isNotNull())
+    return met.filter(~F.col("_known") | F.coalesce(F.col("row_hash") != F.col("_hash"), F.lit(False))).drop("_id", "_hash")
+
+
+def _of_semesters(rows: DataFrame, semesters: DataFrame) -> DataFrame:
+    left, right = rows.alias("a"), semesters.alias("s")
+    return left.join(right, [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FACT_PARTITIONS], "left_semi")
 
 
 def backfill_attendance(performance: DataFrame, attendance: DataFrame) -> DataFrame:
     """Replace the attendance percentage of enrollments by what the attendance records say."""
-    actual = att.student_course_pct(attendance)
+    return _backfill(performance, att.student_course_pct(attendance))
+
+
+def _backfill(performance: DataFrame, actual: DataFrame) -> DataFrame:
     return merge.update_from(performance, actual, BACKFILL_KEYS, {"attendance_pct": "actual_pct"})
 
 
@@ -250,7 +277,7 @@ def _run(
 ) -> None:
     least = {"students": 100, "enrollments": 500, "attendance": 1000, **(minimums or {})}
     # The large extracts are parsed once; checks, staging tables and facts read the copy.
-    raw = {**raw, **{k: stage(raw[k], f"landed-{k}") for k in ("enrollments", "attendance")}}
+    raw = {**raw, "attendance": stage(raw["attendance"], "landed-attendance")}
 
     order = [c for c in ("arrival", "enrollment_date", "email") if c in raw["students"].columns]
     checked = stage(cleaning.check_students(raw["students"], order, as_of), "checked-students")
@@ -258,6 +285,7 @@ def _run(
     report = stage(quality.validate_students(clean, least["students"]), "student-report")
     sinks.append_rows(quality.quality_log(report, "STG_STUDENTS", run_id), f"{warehouse}/data_quality_log")
     reports = [report]
+    raw["enrollments"] = _landed(spark, raw["enrollments"], warehouse, "enrollments", counts)
     for name, lines in (
         ("STG_ENROLLMENTS", quality.validate_enrollments(raw["enrollments"], clean, least["enrollments"])),
         ("STG_ATTENDANCE", quality.validate_attendance(raw["attendance"], least["attendance"])),
@@ -265,7 +293,7 @@ def _run(
         reports.append(stage(lines, "report"))
         sinks.append_rows(quality.quality_log(reports[-1], name, run_id), f"{warehouse}/data_quality_log")
 
-    staged = {"students": clean, **{k: raw[k] for k in ("courses", "instructors", "enrollments", "attendance")}}
+    staged = {"students": clean, **{k: raw[k] for k in ("courses", "instructors", "attendance")}}
     for entity, rows in staged.items():
         counts[f"stg_{entity}"] = sinks.load_staging(rows, warehouse, entity, source_file=entity)
     counts["rejected"] = sinks.load_rejected(bad, warehouse, "students")
@@ -314,6 +342,15 @@ def _run(
     counts["fact_semester_gpa"] = gpa_refresh.refresh(store, facts, touched)
 
 
+def _landed(spark: SparkSession, rows: DataFrame, warehouse: str, entity: str, counts: dict[str, int]) -> DataFrame:
+    """``rows`` of an entity whose staging table is replaced by a delivery, as read back from that table."""
+    table = f"stg_{entity}"
+    if any(f"/{table}/" in f for f in rows.inputFiles()):  # never over the files that are read
+        rows = stage(rows, f"landed-{entity}")
+    counts[table] = sinks.load_staging(rows, warehouse, entity, source_file=entity)
+    return spark.read.schema(rows.schema).parquet(f"{warehouse}/{table}")
+
+
 def _load_students(store: Store, clean: DataFrame, as_of: date, counts: dict[str, int]) -> DataFrame:
     """Type-2 merge of the student dimension; new versions get keys after the highest one."""
     schema = schemas.DIM_STUDENT

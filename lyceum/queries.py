@@ -928,14 +928,20 @@ def view_attendance_summary(spark, sf):
 
 def _raw_enrollments(spark, sf):
     """Enrollments as extracts bring them: natural keys, raw grades, labels and text dates."""
-    lines, term = campus.enrollment_lines(spark, sf), campus.labelled_terms(spark, sf)
+    return _enrollment_extract(spark, sf).drop("l_orderkey", "l_linenumber")
+
+
+def _enrollment_extract(spark, sf):
+    """The same with the keys of their lines.  Students meet orders, not lines, so a line is moved once, by its order."""
     people = campus.students(spark, sf).select("student_key", "student_id")
     teachers = campus.instructors(spark, sf).select("instructor_key", "instructor_id")
-    joined = lines.join(term, lines.l_orderkey == term.o_orderkey).join(people, "student_key").join(teachers, "instructor_key")
+    day = F.to_date(F.col("enrollment_date_key").cast("string"), "yyyyMMdd").cast("string")
+    term = campus.labelled_terms(spark, sf).join(people, "student_key").withColumn("enrollment_date", day)
+    lines = campus.enrollment_lines(spark, sf).join(teachers, "instructor_key")
+    joined = lines.join(term, lines.l_orderkey == term.o_orderkey)
     return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("enrollment_id"), "student_id",
-        F.col("course_key").cast("string").alias("course_id"), "instructor_id", "semester", "academic_year",
-        F.to_date(F.col("enrollment_date_key").cast("string"), "yyyyMMdd").cast("string").alias("enrollment_date"), "grade",
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("enrollment_id"), "student_id",
+        F.col("course_key").cast("string").alias("course_id"), "instructor_id", "semester", "academic_year", "enrollment_date", "grade",
         "grade_points", "attendance_pct", "assignments_completed", "assignments_total", "midterm_score", "final_score",
     )
 
@@ -975,7 +981,10 @@ def _delivery(spark, sf, before: str | None) -> dict[str, DataFrame]:
     )
     # Line numbers repeat within some orders; an extract has one row per enrollment.
     order = ["course_id", "instructor_id", "final_score", "attendance_pct", "midterm_score", "grade"]
-    enrollments = ranking.latest_per_key(_raw_enrollments(spark, sf), ["enrollment_id"], [F.col(c).desc() for c in order])
+    # The date is the order's, so all lines of an enrollment are in the delivery or none.
+    lines = _enrollment_extract(spark, sf)
+    lines = lines if before is None else lines.filter(F.col("enrollment_date") < before)
+    enrollments = ranking.latest_per_key(lines, ["l_orderkey", "l_linenumber"], [F.col(c).desc() for c in order])
     teachers = campus.instructors(spark, sf).join(campus.departments(spark, sf), "department_key")
     owner = campus.departments(spark, sf).select(F.col("department_key"), "department_id")
     return {
@@ -985,7 +994,7 @@ def _delivery(spark, sf, before: str | None) -> dict[str, DataFrame]:
             "department_id", F.col("department_key").cast("string")
         ).drop("department_key", "course_key"),
         "instructors": teachers.withColumn("department_id", F.col("department_key").cast("string")).select("instructor_id", "department_id", "is_active"),
-        "enrollments": enrollments if before is None else enrollments.filter(F.col("enrollment_date") < before),
+        "enrollments": enrollments.drop("l_orderkey", "l_linenumber"),
         "attendance": _raw_attendance(spark, sf),
     }
 

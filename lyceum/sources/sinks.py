@@ -53,10 +53,12 @@ def replace_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = ())
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions that ``df`` has rows for; the result is written aside first."""
-    kept = stage(df, "partitions")
+    """Replace only the partitions that ``df`` has rows for.
+
+    A dynamic overwrite writes all new files aside and moves them at its commit, so ``df`` may read the partitions it replaces.
+    """
     (
-        kept.write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)

@@ -26,7 +26,12 @@ def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
+
+
+def no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty: joins with it need no shuffle."""
+    return spark.createDataFrame([], schema).limit(0)
 
 
 def partition_folders(rows: DataFrame, partition_by: Sequence[str]) -> list[str]:
@@ -117,7 +122,7 @@ class Snapshot:
     def read(self, name: str, schema: StructType) -> DataFrame:
         folders = self._tables.get(name)
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
         base = f"{self.folder}/{name}"
         paths = sorted(f"{base}/{load}/{part}".rstrip("/") for part, load in folders.items())
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)

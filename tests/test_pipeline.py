@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lyceum import jobs, schemas
 from lyceum.operators.quality import QualityGateError
 from lyceum.plans import loads, views
-from lyceum.sources import date_dim
+from lyceum.sources import date_dim, sinks
 
 AS_OF = date(2024, 10, 1)
 SMALL = {"students": 3, "enrollments": 3, "attendance": 3}
@@ -198,3 +198,26 @@ def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
     assert loads.existing(spark, str(tmp_path / "none"), schemas.FACT_ATTENDANCE).isEmpty()
     with pytest.raises(Exception):
         loads.existing(spark, "nosuchscheme://x/y", schemas.FACT_ATTENDANCE).count()
+
+
+def test_rows_as_stored_open_no_semester(spark, tmp_path):
+    path = str(tmp_path / "fact")
+
+    def facts(*changes):
+        base = dict(student_key=1, course_key=1, academic_year="2024-2025", semester="Fall 2024", final_score=5.0, row_hash="x")
+        return spark.createDataFrame([[{**base, **c}.get(n) for n in schemas.FACT_PERFORMANCE.names] for c in changes], schemas.FACT_PERFORMANCE)
+
+    one, two = {"enrollment_id": "E1"}, {"enrollment_id": "E2", "semester": "Spring 2025"}
+    none = loads.existing(spark, str(tmp_path / "none"), schemas.FACT_ATTENDANCE)
+    days = none.select("date_key")
+    loads.upsert_performance_table(spark, path, facts(one, two), none, days)
+    stored = loads.existing(spark, path, schemas.FACT_PERFORMANCE)
+    same, touched = loads.performance_of_semesters(stored, facts(one, two), none, days)
+    assert same.isEmpty() and touched.isEmpty()
+    # An update takes a value that became NULL, and an overwrite may read the partitions it replaces.
+    changed = facts(one, {**two, "row_hash": "y", "final_score": None}, {"enrollment_id": "E3", "semester": "Spring 2025"})
+    merged, touched = loads.performance_of_semesters(stored, changed, none, days)
+    assert [r["semester"] for r in touched.collect()] == ["Spring 2025"]
+    sinks.overwrite_partitions(merged, path, loads.FACT_PARTITIONS)
+    after = loads.existing(spark, path, schemas.FACT_PERFORMANCE).select("enrollment_id", "row_hash", "final_score").collect()
+    assert sorted(map(tuple, after)) == [("E1", "x", 5.0), ("E2", "y", None), ("E3", "x", 5.0)]
