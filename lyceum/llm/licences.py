@@ -4,9 +4,11 @@ A paragraph is a run of lines up to a line that ends a sentence or one without l
 itself is a paragraph of its own, and the other lines of its run are one.  So notices that are wrapped over lines or stand in
 comments are read whole.  Paragraphs that hold a signal word are scored by a multinomial logistic regression on
 sparse counts of word 1- and 2-grams (hashed).  It learns from the templates, sentences about licences that license nothing,
-and ``sample`` ordinary paragraphs of the corpus (those with the smallest hashes, each whole).  A paragraph is given the best family if the
+and the ordinary paragraphs of the whole corpus, of which one half by hash is learnt from and the other calibrates.  Weights are learnt for the
+buckets of the fixed sentences; all others are 0.  Ordinary paragraphs with the same of these buckets are one row with their number, so what
+is learnt from grows with the different rows.  A paragraph is given the best family if the
 family's probability is above a limit, and is ``unknown`` otherwise; the limit is calibrated so that at most ``false_rate``
-of a second sample of ordinary paragraphs, with template words mixed in, would pass.  A family is confirmed when a template of it has at least
+of the second half of the ordinary paragraphs, with template words mixed in, would pass.  A family is confirmed when a template of it has at least
 ``MATCH`` of its word pairs in the paragraph.
 
 A paragraph without any signal word is no licence paragraph: no template is without one, so none could be confirmed.
@@ -29,10 +31,14 @@ from lyceum.llm.tables import BROADCAST_BYTES
 from lyceum.sources.staging import stage
 
 UNKNOWN = "unknown"
-SAMPLE = 2_000
+#: All ordinary paragraphs together weigh as much as this many rows, or their number if that is less.
+ORDINARY_WEIGHT = 2_000
 FALSE_RATE = 0.01
 MATCH = 0.8
 BUCKETS = 1 << 13
+#: Template words that are mixed into ordinary paragraphs for the limit, rows of a partition to learn from, and steps of the limit.
+MIXED = "the terms of the license"
+FIT_ROWS, LIMIT_STEPS = 50_000, 1_000_000
 #: A line after which a paragraph ends: no letters and digits, or a full stop that does not follow a single letter.
 BREAK = r"""^[^\p{L}\p{N}]*$|(?<!\b\p{L})[.!?]["')\s]*$"""
 #: Stems of which every licence notice holds one.
@@ -92,8 +98,8 @@ NEGATIVES = [
 
 def tokens(text: Column) -> Column:
     """Lower-case words, marks at their ends dropped; version numbers stay whole."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.+©-]+", " "), " ")
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.+©-]+", " ")
+    return F.array_remove(F.split(F.regexp_replace(words, r"(?<![^ ])[.+-]+|[.+-]+(?![^ ])", ""), " "), "")
 
 
 def pairs(words: Column) -> Column:
@@ -104,8 +110,15 @@ def pairs(words: Column) -> Column:
 
 def _grams(df: DataFrame) -> DataFrame:
     """``t`` as counted 1- and 2-grams: ``features``, and its distinct pairs ``p``."""
-    split = df.withColumn("w", tokens(F.col("t"))).withColumn("p", pairs(F.col("w"))).withColumn("g", F.concat("w", "p"))
-    return HashingTF(numFeatures=BUCKETS, inputCol="g", outputCol="features", binary=True).transform(split)
+    return _hashed(df.withColumn("w", tokens(F.col("t"))).withColumn("p", pairs(F.col("w"))).withColumn("g", F.concat("w", "p")))
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return HashingTF(numFeatures=BUCKETS, inputCol="g", outputCol="features", binary=True).transform(df)
+
+
+def _buckets() -> Column:
+    return F.unwrap_udt("features").getField("indices")
 
 
 def _signals(text: Column) -> Column:
@@ -148,29 +161,41 @@ def _share(own: Column, template: list[str]) -> Column:
     return F.size(F.array_intersect(own, F.array(*map(F.lit, template)))) / len(template)
 
 
-def _ordinary(docs: DataFrame, sample: int) -> DataFrame:
-    """``t, part``: two bounded samples of ordinary paragraphs, by smallest hashes."""
+def _ordinary(docs: DataFrame, known: dict[int, str]) -> DataFrame:
+    """``part, g, n``: every ordinary paragraph, as grams of its ``known`` buckets, counted; those of part 1 have ``MIXED`` before them."""
     runs = docs.select(F.explode(_runs(F.col("text"))).alias("r")).select(F.array_join("r.lines", "\n").alias("t"))
-    chosen = runs.filter((F.trim("t") != "") & ~_signals(F.col("t"))).select("t", F.xxhash64("t").alias("o")).orderBy("o", "t").limit(2 * sample)
-    return stage(chosen.select("t", F.pmod("o", F.lit(2)).alias("part")), "ordinary-paragraphs")
+    chosen = runs.filter((F.trim("t") != "") & ~_signals(F.col("t")))
+    halves = chosen.select("t", F.pmod(F.xxhash64("t"), F.lit(2)).alias("part"))
+    mixed = halves.withColumn("t", F.when(F.col("part") == 1, F.concat(F.lit(MIXED + " "), "t")).otherwise(F.col("t")))
+    gram_of = F.array(*(F.lit(known.get(i)) for i in range(BUCKETS)))
+    grams = F.filter(F.transform(_buckets(), lambda i: F.get(gram_of, i)), lambda g: g.isNotNull())
+    kept = _grams(mixed).select("part", grams.alias("g"))
+    return stage(kept.groupBy("part", "g").agg(F.count(F.lit(1)).alias("n")), "ordinary-paragraphs")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, false_rate: float = FALSE_RATE) -> tuple[PipelineModel, list[str], float]:
+def train(docs: DataFrame, false_rate: float = FALSE_RATE) -> tuple[PipelineModel, list[str], float]:
     """Classifier, its class names and the calibrated limit."""
     spark = docs.sparkSession
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     number = {f: float(i) for i, f in enumerate(families)}
     # A notice is seen alone and with a stranger's words around it.
     positive = [(text, number[f]) for f, text in TEMPLATES] + [(f"Notice: {text} See the file for details.", number[f]) for f, text in TEMPLATES]
-    fixed = spark.createDataFrame(positive + [(t, 0.0) for t in NEGATIVES], "t string, label double")
-    ordinary = _ordinary(docs, sample)
-    rows = fixed.union(ordinary.filter("part = 0").select("t", F.lit(0.0).alias("label")))
+    fixed = _grams(spark.createDataFrame(positive + [(t, 0.0) for t in NEGATIVES], "t string, label double"))
+    # One gram for each bucket of the fixed sentences: it hashes to that bucket again.
+    alone = _hashed(fixed.select(F.explode("g").alias("gram")).distinct().withColumn("g", F.array("gram")))
+    known = {r.i: r.gram for r in alone.groupBy(F.get(_buckets(), F.lit(0)).alias("i")).agg(F.min("gram").alias("gram")).collect()}
+    ordinary = _ordinary(docs, known)
+    learnt = ordinary.filter("part = 0")
+    rows, total = learnt.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = min(1.0, ORDINARY_WEIGHT / total) if total else 1.0
     weight = F.when(F.col("label") == 0.0, F.lit(1.0)).otherwise(F.lit(20.0))
+    usual = _hashed(learnt).select("features", F.lit(0.0).alias("label"), (F.col("n") * F.lit(share)).alias("weight"))
     learner = LogisticRegression(maxIter=60, regParam=1e-3, family="multinomial", weightCol="weight")
-    model = learner.fit(_grams(rows).withColumn("weight", weight).select("features", "label", "weight").coalesce(1))
-    mixed = ordinary.filter("part = 1").select(F.concat(F.lit("the terms of the license "), "t").alias("t")).union(fixed.filter("label = 0").select("t"))
+    model = learner.fit(fixed.select("features", "label", weight.alias("weight")).union(usual).coalesce(1 + rows // FIT_ROWS))
+    mixed = _hashed(ordinary.filter("part = 1")).select("features", "n").union(fixed.filter("label = 0").select("features", F.lit(1).alias("n")))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(families)))
-    limit = model.transform(_grams(mixed)).agg(F.percentile(best, F.lit(1 - false_rate))).first()[0]
+    steps = model.transform(mixed).groupBy((F.ceil(best * LIMIT_STEPS) / LIMIT_STEPS).alias("best")).agg(F.sum("n").alias("n"))
+    limit = steps.agg(F.percentile("best", F.lit(1 - false_rate), F.col("n"))).first()[0]
     return model, families, max(limit or 0.0, 0.5)
 
 
@@ -179,7 +204,7 @@ def _similarity(spark) -> list[tuple[str, list[str]]]:
     return [(r.f, r.p) for r in rows]
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE, false_rate: float = FALSE_RATE) -> DataFrame:
+def scan(docs: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
     """``doc_id, paragraph`` (number of its first line, from 0), ``family``, ``confirmed``, ``similarity`` and ``text`` of each licence paragraph."""
     chosen = docs.select("doc_id", "text")
     templates = _similarity(docs.sparkSession)
@@ -193,7 +218,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE, false_rate: float = FALSE_RATE)
         .filter(_signals(F.col("t"))),
         "licence-paragraphs",
     )
-    model, families, limit = train(chosen, sample, false_rate)
+    model, families, limit = train(chosen, false_rate)
     # Equal paragraphs are scored once: a notice that a third of all documents share costs one row.
     distinct = stage(found.select("t").distinct(), "licence-texts")
     p = vector_to_array("probability")

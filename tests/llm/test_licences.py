@@ -141,3 +141,13 @@ def test_against_a_plain_scan(spark, wrapped_scan):
             want.append((-1 if d is None else d, i, family, round(max(own, default=0.0), 9)))
     found = [(-1 if r.doc_id != r.doc_id else int(r.doc_id), r.paragraph, r.family, round(r.similarity, 9)) for r in got.itertuples()]
     assert sorted(found) == sorted(want)
+
+
+def test_every_ordinary_paragraph_is_counted(spark):
+    """More paragraphs than an earlier sample of 4,000 took; the second half has the template words before it."""
+    docs = spark.range(700).selectExpr("concat_ws('\\n\\n', transform(sequence(1, 10), k -> concat('the terms ', id * 10 + k, ' of rain'))) AS text")
+    of, known = HashingTF(numFeatures=licences.BUCKETS), ["the terms", "of the", "the license", "license the"]
+    counted = licences._ordinary(docs, {of.indexOf(g): g for g in known}).toPandas()
+    assert counted.n.sum() == 7000 and set(counted.part) == {0, 1}
+    for part, grams in counted[["part", "g"]].itertuples(index=False):
+        assert set(grams) >= ({"the terms"} if part == 0 else set(known))
