@@ -20,6 +20,10 @@ fixed negatives; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -39,8 +43,10 @@ BUCKETS = 1 << 13
 #: Template words that are mixed into ordinary paragraphs for the limit, rows of a partition to learn from, and steps of the limit.
 MIXED = "the terms of the license"
 FIT_ROWS, LIMIT_STEPS = 50_000, 1_000_000
-#: A line after which a paragraph ends: no letters and digits, or a full stop that does not follow a single letter.
-BREAK = r"""^[^\p{L}\p{N}]*$|(?<!\b\p{L})[.!?]["')\s]*$"""
+#: Lines after which a paragraph ends: without letters and digits, or with a full stop at the end that does not follow a single letter.
+EMPTY, STOP = r"^[^\p{L}\p{N}]*$", r"""[.!?](?<!\b\p{L}[.!?])["')\s]*$"""
+#: What stands between words: other characters with the marks at either side, or marks at the ends of a text.
+GAP = r"[.+-]*+[^\p{L}\p{N}.+©-][^\p{L}\p{N}©]*+|^[.+-]++|[.+-]++\z"
 #: Stems of which every licence notice holds one.
 SIGNALS = ["licen", "copyright", "permission", "redistribut", "warrant", "public domain", "(c)", "©", "spdx", "all rights reserved"]
 #: Notices of licence families.
@@ -96,16 +102,24 @@ NEGATIVES = [
 ]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a filter and a lambda's body compute an expression wherever it stands in them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words, marks at their ends dropped; version numbers stay whole."""
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.+©-]+", " ")
-    return F.array_remove(F.split(F.regexp_replace(words, r"(?<![^ ])[.+-]+|[.+-]+(?![^ ])", ""), " "), "")
+    words = F.trim(F.regexp_replace(F.lower(text), GAP, " "))
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
+def _neighbours(words: Column) -> Column:
+    """Each word but the last with the one after it; ``words`` is a column or a value computed once."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, i: F.concat(a, F.lit(" "), F.get(words, i + 1)))
 
 
 def pairs(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-                                       F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-                                       lambda a, b: F.concat_ws(" ", a, b)))
+    return _once(words, lambda own: F.array_distinct(_neighbours(own)))
 
 
 def _grams(df: DataFrame) -> DataFrame:
@@ -122,20 +136,19 @@ def _buckets() -> Column:
 
 
 def _signals(text: Column) -> Column:
-    low = F.lower(text)
-    hit = low.contains(SIGNALS[0])
-    for s in SIGNALS[1:]:
-        hit = hit | low.contains(s)
-    return hit
+    return _once(F.lower(text), lambda low: reduce(or_, (low.contains(s) for s in SIGNALS)))
 
 
 def _runs(text: Column) -> Column:
     """Runs of lines: structs of ``line``, the number of the first one, and ``lines``."""
-    lines = F.split(text, "\n")
-    breaks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BREAK), i)), lambda i: i.isNotNull())
-    ends = F.concat(breaks, F.array(F.size(lines) - 1))
-    starts = F.concat(F.array(F.lit(0)), F.transform(breaks, lambda i: i + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("line"), F.slice(lines, a + 1, b - a + 1).alias("lines")))
+
+    def cut(lines: Column) -> Column:
+        breaks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(EMPTY) | x.rlike(STOP), i)), lambda i: i.isNotNull())
+        return _once(breaks, lambda at: F.zip_with(
+            F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1)), F.concat(at, F.array(F.size(lines) - 1)),
+            lambda a, b: F.struct(a.alias("line"), F.slice(lines, a + 1, b - a + 1).alias("lines"))))
+
+    return _once(F.split(text, "\n"), cut)
 
 
 def _marked(templates: list[tuple[str, list[str]]]) -> Column:
@@ -164,13 +177,14 @@ def _share(own: Column, template: list[str]) -> Column:
 def _ordinary(docs: DataFrame, known: dict[int, str]) -> DataFrame:
     """``part, g, n``: every ordinary paragraph, as grams of its ``known`` buckets, counted; those of part 1 have ``MIXED`` before them."""
     runs = docs.select(F.explode(_runs(F.col("text"))).alias("r")).select(F.array_join("r.lines", "\n").alias("t"))
-    chosen = runs.filter((F.trim("t") != "") & ~_signals(F.col("t")))
+    chosen = runs.filter(_once(F.col("t"), lambda t: (F.trim(t) != "") & ~_signals(t)))
     halves = chosen.select("t", F.pmod(F.xxhash64("t"), F.lit(2)).alias("part"))
     mixed = halves.withColumn("t", F.when(F.col("part") == 1, F.concat(F.lit(MIXED + " "), "t")).otherwise(F.col("t")))
     gram_of = F.array(*(F.lit(known.get(i)) for i in range(BUCKETS)))
-    grams = F.filter(F.transform(_buckets(), lambda i: F.get(gram_of, i)), lambda g: g.isNotNull())
-    kept = _grams(mixed).select("part", grams.alias("g"))
-    return stage(kept.groupBy("part", "g").agg(F.count(F.lit(1)).alias("n")), "ordinary-paragraphs")
+    grams = mixed.withColumn("w", tokens(F.col("t"))).select("part", F.concat("w", _neighbours(F.col("w"))).alias("g"))
+    kept = _hashed(grams).select("part", F.filter(_buckets(), lambda i: F.get(gram_of, i).isNotNull()).alias("at"))
+    counted = kept.groupBy("part", "at").agg(F.count(F.lit(1)).alias("n"))
+    return stage(counted.select("part", F.transform("at", lambda i: F.get(gram_of, i)).alias("g"), "n"), "ordinary-paragraphs")
 
 
 def train(docs: DataFrame, false_rate: float = FALSE_RATE) -> tuple[PipelineModel, list[str], float]:

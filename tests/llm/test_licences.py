@@ -151,3 +151,18 @@ def test_every_ordinary_paragraph_is_counted(spark):
     assert counted.n.sum() == 7000 and set(counted.part) == {0, 1}
     for part, grams in counted[["part", "g"]].itertuples(index=False):
         assert set(grams) >= ({"the terms"} if part == 0 else set(known))
+
+
+def test_words_at_odd_marks(spark):
+    texts = ["", " ", ".", "..a", "a..", "a.-b", "a. -b", "- a .b. +", "v2.0, (c) 3.0+;x", "a\n\n.b\r", "é-ß ©. 5", "\U0001d4d0 .\U0001f600. z"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = docs.select("text", licences.tokens(docs.text).alias("w"), licences.pairs(licences.tokens(docs.text)).alias("p")).collect()
+    for text, words, own in got:
+        assert words == plain_tokens(text) and set(own) == plain_pairs(text), text
+
+
+def test_a_text_is_split_and_lowered_once(spark):
+    """The lines of a text were split again for every run of lines, and a text was lowered again for every signal word."""
+    docs = spark.createDataFrame([("a\nb",)], "text string")
+    plan = docs.select(licences._runs(docs.text).alias("r"), licences._signals(docs.text).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == plan.count("lower(") == 1
