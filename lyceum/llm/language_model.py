@@ -48,6 +48,8 @@ WIDEST = 8
 RATE = 0.02
 #: Tokens that are scored at a time, unless one batch of texts has more.
 SCORED_TOKENS = 1_500_000
+#: Tokens whose logits are computed at a time when texts are scored.
+BLOCK = 8_192
 END = b""  # no word is empty
 OTHER_SLOT, END_SLOT = 0, 1
 FLUSH = 200_000
@@ -136,62 +138,88 @@ def initial(vocab: Vocabulary, seed: int = 5) -> Model:
     )
 
 
+def _inputs(model: Model) -> np.ndarray:
+    """Gates down, slots across: what reading a slot gives to the three gates.  States and gates too have texts across, so that
+    every operation runs over whole rows of texts."""
+    return np.ascontiguousarray((model.embed + model.bias).T)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """``x`` is used up."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _step(model: Model, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """New state after reading ``slot``."""
+def _step(inputs: np.ndarray, recur: np.ndarray, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """New state after reading ``slot``; ``recur`` has gates down."""
     n = HIDDEN
-    given, own = model.embed[slot] + model.bias, h @ model.recur
-    gates = _sigmoid(given[:, : 2 * n] + own[:, : 2 * n])
-    update, reset = gates[:, :n], gates[:, n:]
-    fresh = np.tanh(given[:, 2 * n :] + reset * own[:, 2 * n :])
-    return h + update * (fresh - h)
+    given, own = np.take(inputs, slot, axis=1), recur @ h
+    gates = _sigmoid(given[: 2 * n] + own[: 2 * n])
+    fresh = np.tanh(given[2 * n :] + gates[n:] * own[2 * n :])
+    fresh -= h
+    fresh *= gates[:n]
+    fresh += h
+    return fresh
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities down each column and their logs; ``x`` is used up."""
+    """Probabilities down each column, and the log of what each column of ``x``, which is shifted, was divided by."""
     x -= x.max(0)
     p = np.exp(x)
     total = p.sum(0)
-    x -= np.log(total)
-    p /= total
-    return p, x
+    p *= 1 / total
+    return p, np.log(total)
 
 
 def log_probability(model: Model, h: np.ndarray, slot: np.ndarray, grads: list | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of each slot after state ``h``; with ``grads`` also adds weight gradients and returns that of ``h``.
     Words down, tokens across, so that every reduction runs over whole rows."""
-    order = np.argsort(slot // PER_CLASS, kind="stable")
-    own_class, place = slot[order] // PER_CLASS, slot[order] % PER_CLASS
-    state = np.ascontiguousarray(h[order].T)
+    order, own_class, place, state, x = _word_logits(model, h, slot)
     token = np.arange(len(slot))
-    d, logs = _softmax(model.to_class.T @ state + model.class_bias[:, None])
-    out = np.empty(len(slot))
-    sums = logs[own_class, token].astype(np.float64)
-    back = None
+    d, total = _softmax(x)
+    sums = (x[place, token] - total).astype(np.float64)
+    back = np.empty_like(state)
     if grads is not None:
-        d[own_class, token] -= 1
-        grads[3] += state @ d.T
-        grads[4] += d.sum(1)
-        back = model.to_class @ d
-    cut = np.searchsorted(own_class, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(cut)):
-        a, b = cut[c], cut[c + 1]
-        d, logs = _softmax(model.to_word[c].T @ state[:, a:b] + model.word_bias[c][:, None])
-        sums[a:b] += logs[place[a:b], token[: b - a]]
-        if grads is not None:
-            d[place[a:b], token[: b - a]] -= 1
-            grads[5][c] += state[:, a:b] @ d.T
-            grads[6][c] += d.sum(1)
-            back[:, a:b] += model.to_word[c] @ d
+        d[place, token] -= 1
+        for c, a, b in _class_ranges(own_class):
+            grads[5][c] += state[:, a:b] @ d[:, a:b].T
+            grads[6][c] += d[:, a:b].sum(1)
+            np.matmul(model.to_word[c], d[:, a:b], out=back[:, a:b])
+    x = model.to_class.T @ state
+    x += model.class_bias[:, None]
+    d, total = _softmax(x)
+    sums += x[own_class, token] - total
+    out = np.empty(len(slot))
     out[order] = sums
-    if back is None:
+    if grads is None:
         return out, None
-    d_h = np.empty_like(h)
-    d_h[order] = back.T
-    return out, d_h
+    d[own_class, token] -= 1
+    grads[3] += state @ d.T
+    grads[4] += d.sum(1)
+    back += model.to_class @ d
+    d_h = np.empty_like(back)
+    d_h[:, order] = back
+    return out, d_h.T
+
+
+def _class_ranges(own_class: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each class in sorted ``own_class``, and from where to where it stands there."""
+    cut = np.searchsorted(own_class, np.arange(CLASSES + 1)).tolist()
+    return ((c, a, b) for c, (a, b) in enumerate(zip(cut, cut[1:])) if a < b)
+
+
+def _word_logits(model: Model, h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order of the tokens by class; in that order their classes, places in them, states, and the logits of all words of each one's class."""
+    order = np.argsort(slot // PER_CLASS, kind="stable")
+    own_class, place = np.divmod(slot[order], PER_CLASS)
+    state = np.take(h.T, order, axis=1)
+    x = np.take(model.word_bias.T, own_class, axis=1).astype(np.result_type(model.word_bias, state), copy=False)
+    for c, a, b in _class_ranges(own_class):
+        x[:, a:b] += model.to_word[c].T @ state[:, a:b]
+    return order, own_class, place, state, x
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -203,20 +231,20 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def log_scores(model: Model, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """``log_probability`` without gradients: words down, tokens across, so that every reduction runs over whole rows."""
-    order = np.argsort(slot // PER_CLASS, kind="stable")
-    own_class, place = slot[order] // PER_CLASS, slot[order] % PER_CLASS
-    state = np.ascontiguousarray(h[order].T)
+    """``log_probability`` without gradients, for blocks of tokens whose logits stay in a core's cache."""
+    blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(slot), BLOCK)]
+    return np.concatenate([_block_scores(model, h[b], slot[b]) for b in blocks]) if blocks else np.zeros(0)
+
+
+def _block_scores(model: Model, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    order, own_class, place, state, x = _word_logits(model, h, slot)
     token = np.arange(len(slot))
-    x = model.to_class.T @ state + model.class_bias[:, None]
-    logs = x[own_class, token].astype(np.float64)
+    logs = x[place, token].astype(np.float64)
+    logs -= _log_sum(x)
+    x = model.to_class.T @ state
+    x += model.class_bias[:, None]
+    logs += x[own_class, token]
     logs -= _log_sum(x)
-    cut = np.searchsorted(own_class, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(cut)):
-        a, b = cut[c], cut[c + 1]
-        x = model.to_word[c].T @ state[:, a:b] + model.word_bias[c][:, None]
-        logs[a:b] += x[place[a:b], token[: b - a]]
-        logs[a:b] -= _log_sum(x)
     out = np.empty(len(slot))
     out[order] = logs
     return out
@@ -238,18 +266,34 @@ def _windows(sequences: list[np.ndarray], batch: int, window: int) -> Iterator[t
             yield start, rows[:going], slots[:going, start : start + window + 1], np.minimum(size[:going] - start, window)
 
 
+def _tokens_across(steps: np.ndarray) -> np.ndarray:
+    """Steps x values x texts as values x tokens."""
+    return steps.transpose(1, 0, 2).reshape(steps.shape[1], -1)
+
+
+def _steps_first(flat: np.ndarray, span: int) -> np.ndarray:
+    """What ``_tokens_across`` was made from."""
+    return np.ascontiguousarray(flat.reshape(len(flat), span, -1).transpose(1, 0, 2))
+
+
+def _chosen(states: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The states of the tokens ``inside``, one after another across."""
+    flat = _tokens_across(states)
+    return flat if inside.all() else np.take(flat, np.flatnonzero(inside), axis=1)
+
+
 def score_texts(model: Model, sequences: list[np.ndarray], batch: int = 2048, window: int = 32) -> np.ndarray:
     """Natural log-probability of each whole sequence of slots."""
     out = np.zeros(len(sequences))
-    h = np.zeros((0, HIDDEN), np.float32)
+    inputs, recur = _inputs(model), np.ascontiguousarray(model.recur.T)
+    h = np.zeros((HIDDEN, 0), np.float32)
     for start, rows, slots, live in _windows(sequences, batch, window):
-        h = np.zeros((len(rows), HIDDEN), np.float32) if start == 0 else h[: len(rows)]
-        states = np.empty((int(live[0]), len(rows), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(rows)), np.float32) if start == 0 else h[:, : len(rows)]
+        states = np.empty((int(live[0]), HIDDEN, len(rows)), np.float32)
         for t in range(int(live[0])):
-            h = _step(model, slots[:, t], h)
-            states[t] = h
+            h = states[t] = _step(inputs, recur, slots[:, t], h)
         inside = np.arange(int(live[0]))[:, None] < live
-        logs = log_scores(model, states[inside], slots[:, 1 : int(live[0]) + 1].T[inside])
+        logs = log_scores(model, _chosen(states, inside).T, slots[:, 1 : int(live[0]) + 1].T[inside])
         out += np.bincount(np.broadcast_to(rows, inside.shape)[inside], logs, len(out))
     return out
 
@@ -264,7 +308,7 @@ class Trainer:
         self.steps = self.tokens = 0
         self.waiting: deque[np.ndarray] = deque()
         self.lanes: list[tuple[np.ndarray, int]] = []  # the text that each lane reads, and how far
-        self.h = np.zeros((0, HIDDEN), np.float32)
+        self.h = np.zeros((HIDDEN, 0), np.float32)
 
     def learn(self, sequences: list[np.ndarray], last: bool = True) -> None:
         """Learns from every token of the texts; without ``last``, texts that are begun or wait go on with the next call."""
@@ -276,11 +320,12 @@ class Trainer:
         """One window of every lane; a lane whose text ends in it begins a text that waits."""
         wanted = min(max(FIRST_LANES, self.tokens // LANE_TOKENS), LANES)
         fresh = [(self.waiting.popleft(), 0) for _ in range(min(wanted - len(self.lanes), len(self.waiting)))]
-        h = np.concatenate([self.h, np.zeros((len(fresh), HIDDEN), np.float32)])
-        window = WINDOW * min(max(wanted // max(len(h), 1), 1), WIDEST)  # few lanes read further at a time
-        slots = np.full((len(h), window + 1), END_SLOT, np.int32)
-        starts = np.zeros((len(h), window), bool)
-        live = np.zeros(len(h), np.int64)
+        h = np.concatenate([self.h, np.zeros((HIDDEN, len(fresh)), np.float32)], 1)
+        count = h.shape[1]
+        window = WINDOW * min(max(wanted // max(count, 1), 1), WIDEST)  # few lanes read further at a time
+        slots = np.full((count, window + 1), END_SLOT, np.int32)
+        starts = np.zeros((count, window), bool)
+        live = np.zeros(count, np.int64)
         going, lanes = [], []
         for k, (text, at) in enumerate(self.lanes + fresh):
             slots[k, 0] = text[at - 1] if at else END_SLOT
@@ -301,62 +346,81 @@ class Trainer:
             if at < len(text):
                 going.append(k)
                 lanes.append((text, at))
-        self.lanes, self.h = lanes, self._window(h, slots, live, starts)[going]
+        self.lanes, self.h = lanes, self._window(h, slots, live, starts)[:, going]
 
     def _window(self, h: np.ndarray, slots: np.ndarray, live: np.ndarray, starts: np.ndarray) -> np.ndarray:
         model, n, span = self.model, HIDDEN, int(live.max())
         grads = [np.zeros_like(p) for p in model]
-        going = (~starts[:, :span].T[:, :, None]).astype(h.dtype)
-        given = model.embed[slots[:, :span].T] + model.bias
-        kind = np.result_type(given, h)
-        gates = np.empty((span, len(h), 2 * n), kind)
-        fresh, own, before, states = (np.empty((span, len(h), n), kind) for _ in range(4))
-        for t in range(span):
-            h = np.multiply(h, going[t], out=before[t])
-            moved = h @ model.recur
-            own[t] = moved[:, 2 * n :]
-            gates[t] = _sigmoid(given[t, :, : 2 * n] + moved[:, : 2 * n])
-            np.tanh(given[t, :, 2 * n :] + gates[t, :, n:] * own[t], out=fresh[t])
-            h = np.add(h, gates[t, :, :n] * (fresh[t] - h), out=states[t])
+        read = slots[:, :span].T
+        lanes = read.shape[1]
+        inputs, recur = _inputs(model), np.ascontiguousarray(model.recur.T)
+        kind = np.result_type(inputs, h)
+        going = (~starts[:, :span].T).astype(kind)
+        gates, own, before, states = (np.empty((span, k * n, lanes), kind) for k in (3, 1, 1, 1))
+        moved = np.empty((3 * n, lanes), kind)
+        for own_t, h_t, to, ids, goes, gate in zip(own, before, states, read, going, gates):
+            h = np.multiply(h, goes, out=h_t)
+            np.matmul(recur, h, out=moved)
+            own_t[:] = moved[2 * n :]
+            np.take(inputs, ids, axis=1, out=gate, mode="clip")
+            both, new = gate[: 2 * n], gate[2 * n :]
+            both += moved[: 2 * n]
+            _sigmoid(both)
+            new += np.multiply(gate[n : 2 * n], own_t, out=to)
+            np.tanh(new, out=new)
+            h = np.subtract(new, h, out=to)
+            h *= gate[:n]
+            h += h_t
         inside = np.arange(span)[:, None] < live
-        _, back = log_probability(model, states[inside], slots[:, 1 : span + 1].T[inside], grads)
-        d_states = np.zeros_like(states)
-        d_states[inside] = back
+        _, back = log_probability(model, _chosen(states, inside).T, slots[:, 1 : span + 1].T[inside], grads)
+        d_states = np.zeros((n, span * lanes), kind)
+        d_states[:, np.flatnonzero(inside)] = back.T
+        d_states = _steps_first(d_states, span)
         # What the gradient of a state is multiplied by on its way to the three gates, and to the state before it.
-        update, reset = gates[..., :n], gates[..., n:]
+        update, reset, fresh = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         to_fresh = update * (1 - fresh * fresh)
-        factors = np.stack([(fresh - before) * update * (1 - update), to_fresh * own * reset * (1 - reset), to_fresh * reset], 2)
-        kept, back_recur = (1 - update) * going, model.recur.T
+        factors = np.stack([(fresh - before) * update * (1 - update), to_fresh * own * reset * (1 - reset), to_fresh * reset], 1)
+        kept = (1 - update) * going[:, None]
         dh = np.zeros_like(h)
-        d_own = np.empty_like(factors)
-        for t in range(span - 1, -1, -1):
-            dh = np.add(dh, d_states[t], out=d_states[t])
-            np.multiply(dh[:, None], factors[t], out=d_own[t])
-            dh = dh * kept[t] + (d_own[t].reshape(-1, 3 * n) @ back_recur) * going[t]
-        grads[1] += before.reshape(-1, n).T @ d_own.reshape(-1, 3 * n)
-        d_own[:, :, 2] = d_states * to_fresh
-        flat = d_own.reshape(-1, 3 * n)
-        grads[2] += flat.sum(0)
-        read = slots[:, :span].T.ravel()
-        order = np.argsort(read, kind="stable")
-        slot, begin = np.unique(read[order], return_index=True)
-        grads[0][slot] = np.add.reduceat(flat[order], begin, axis=0)
+        d_own = factors
+        for d_t, own_t, keeps, goes in zip(d_states[::-1], d_own[::-1], kept[::-1], going[::-1]):
+            dh = np.add(dh, d_t, out=d_t)
+            own_t *= dh
+            more = model.recur @ own_t.reshape(3 * n, lanes)
+            more *= goes
+            dh = dh * keeps
+            dh += more
+        flat = _tokens_across(d_own.reshape(span, 3 * n, lanes))
+        grads[1] += _tokens_across(before) @ flat.T
+        flat[2 * n :] = _tokens_across(d_states * to_fresh)
+        grads[2] += flat.sum(1)
+        order = np.argsort(read.ravel(), kind="stable")
+        slot, begin = np.unique(read.ravel()[order], return_index=True)
+        grads[0][slot] = np.add.reduceat(np.take(flat, order, axis=1), begin, axis=1).T
         self._adam(grads, int(inside.sum()))
         return h
 
     def _adam(self, grads: list[np.ndarray], count: int) -> None:
         self.steps += 1
         self.tokens += count
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) / count
-        scale = 1 / count * min(1.0, 1.0 / max(norm, 1e-9))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads)) / count
+        scale = float(1 / count * min(1.0, 1.0 / max(norm, 1e-9)))  # a numpy number would widen the weights
         # The last, longest texts go on in few lanes: a step over fewer tokens is shorter, so that they do not outweigh the others.
         share = min(1.0, count / (min(FIRST_LANES, LANES) * WINDOW))
-        rate = RATE * share * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        rate = float(RATE * share * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for p, g, a, b in zip(self.model, grads, self.first, self.second):
-            g = g * scale
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            p -= rate * a / (np.sqrt(b) + 1e-6)
+            g *= scale
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.99
+            g *= g
+            g *= 0.01
+            b += g
+            np.sqrt(b, out=g)
+            g += 1e-6
+            np.divide(a, g, out=g)
+            g *= rate
+            p -= g
 
 
 def _slot_table(vocab_slots: dict[bytes, int]):

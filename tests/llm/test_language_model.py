@@ -147,3 +147,15 @@ def test_lanes_learn_what_texts_learn_alone():
         lm.WINDOW, lm.FIRST_LANES = before
     assert together[0] == alone[0] == sum(map(len, seqs))
     assert all(np.allclose(a, b) for a, b in zip(together[1], alone[1]))
+
+
+def test_one_softmax_over_the_words_of_all_classes(monkeypatch):
+    """Each class had a softmax of its own, mostly over few tokens."""
+    _, model = some_model()
+    h = np.random.default_rng(7).normal(size=(lm.SLOTS, lm.HIDDEN)).astype(np.float32)
+    calls, every = [], np.arange(lm.SLOTS)
+    monkeypatch.setattr(lm, "_softmax", lambda x, softmax=lm._softmax: calls.append(x.shape) or softmax(x))
+    logs, _ = lm.log_probability(model, h, every)
+    assert len(calls) == 2
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    assert np.allclose(lm.log_scores(model, h, every), logs, rtol=1e-5)
