@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -500,18 +501,19 @@ def score(docs: DataFrame, one_in: int = 1, rounds: int = ROUNDS, known: int = K
         slot_of = np.array([table.get(w, OTHER_SLOT) for w in words] + [OTHER_SLOT], np.int32)
         log_count = np.log10(np.append(known_counts, 0) + 1.0)  # the last for words that are not here
         log_other = np.where(slot_of == OTHER_SLOT, log_count, 0.0)
-        names = ["doc_id", "n_tokens", "n_known", "base", "other", "n_other", "rest"]
-        held: dict[str, list] = {k: [] for k in names}
+        names = ["doc_id", "n_tokens", "n_known", "base", "other", "n_other"]
+        held: dict[str, list] = {k: [] for k in [*names, "rest", "w", "n"]}
         sequences: list[np.ndarray] = []
 
         def scored() -> pa.RecordBatch:
-            rest = pa.array(held["rest"], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
-            columns = [pa.array(held["doc_id"], pa.int64()), *(pa.array(held[k]) for k in names[1:-1]), rest]
+            pairs = pa.StructArray.from_arrays([pa.array(held["w"], pa.binary()), pa.array(held["n"], pa.int64())], ["w", "n"])
+            rest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *held["rest"]]), pa.int32()), pairs)
+            columns = [pa.array(held["doc_id"], pa.int64()), *(pa.array(held[k]) for k in names[1:]), rest]
             columns.append(pa.array(score_texts(own, sequences) / np.log(10)))
             for values in held.values():
                 values.clear()
             sequences.clear()
-            return pa.RecordBatch.from_arrays(columns, [*names, "model"])
+            return pa.RecordBatch.from_arrays(columns, [*names, "rest", "model"])
 
         # Texts of several batches are scored together: a step then moves more of them at once.
         for batch in batches:
@@ -529,8 +531,11 @@ def score(docs: DataFrame, one_in: int = 1, rounds: int = ROUNDS, known: int = K
                     held["base"].append(float(log_count[at].sum()))
                     held["other"].append(float(log_other[at].sum()))
                     held["n_other"].append(int((slot == OTHER_SLOT).sum()))
-                    rest = Counter(words_[i] for i in np.flatnonzero(at < 0))
-                    held["rest"].append([{"w": w, "n": n} for w, n in rest.items() if w != END])
+                    rest = Counter(compress(words_, (at < 0).tolist()))
+                    rest.pop(END, None)
+                    held["rest"].append(len(rest))
+                    held["w"].extend(rest)
+                    held["n"].extend(rest.values())
                 if sum(held["n_tokens"]) >= SCORED_TOKENS:
                     yield scored()
         if sequences:
